@@ -21,7 +21,7 @@ EPOCHS = 4
 STEPS = 16_000
 RATE = 0.5
 #: A subword seen in n documents of the sample keeps n / (n + SHRINK) of its part.
-SHRINK = 4
+SHRINK = 2
 #: A word counts so often in a text at most, and so many empty words are averaged with them:
 #: neither one word repeated nor a text of a few words stands out by itself.
 MOST = 2
@@ -128,9 +128,12 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
             bags.append((at.astype(np.int32), np.bincount(back, weight[of]).astype(np.float32)))
         else:
             bags.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-    epochs = max(EPOCHS, -(-STEPS // max(1, len(bags))))
+    # a scarce class takes more turns: one in OTHERS + 1 at least
+    bad, rest = np.flatnonzero(toxic == 1), np.flatnonzero(toxic != 1)
+    turn = np.concatenate([rest, np.resize(bad, max(len(bad), len(rest) // OTHERS))]) if len(bad) else rest
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(turn))))
     for epoch in range(epochs):
-        for i in rng.permutation(len(bags)):
+        for i in rng.permutation(turn):
             at, weight = bags[i]
             v = weight @ e[at]
             z = v @ w + b
