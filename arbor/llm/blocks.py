@@ -2,12 +2,16 @@
 
 A block holds some documents and its distinct pre-tokens; the pre-tokens are
 dealt by hash into buckets, so that a pre-token, wherever it stands, is encoded
-once, in its bucket. Within a block codes ascend by bucket: what comes back
-from the buckets, in their order, is indexed by code. A frequent pre-token
-gives a row a block at most, so none makes a bucket hot."""
+once, in its bucket. Within a block frequent pre-tokens have small codes, and
+each code's bucket is kept: what comes back from a bucket is in the order of
+codes. A frequent pre-token gives a row a block at most, so none makes a bucket
+hot. Blocks are a bucketed table: what comes back goes to them, they don't move."""
 
 from __future__ import annotations
 
+import struct
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,32 +21,38 @@ from pyspark.sql import functions as F
 
 from arbor.llm import textnum
 from arbor.llm.common import chunks, utf8
-from arbor.session import ship, written
+from arbor.session import shared_dir, ship
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 1 << 19
 
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, specials array<int>, sizes array<int>, codes binary, counts binary, words array<struct<bucket:int,packed:binary>>"
-_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("packed", pa.binary())])))])
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, specials array<int>, sizes array<int>, codes binary, buckets binary, counts binary, words array<struct<bucket:int,packed:binary>>"
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("specials", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("buckets", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("packed", pa.binary())])))])
 
 
 def press(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    """An array of uint32 as its length and its bytes by significance, compressed."""
+    planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = int(planes.any(1).sum() and np.flatnonzero(planes.any(1))[-1] + 1)
+    return struct.pack("<IB", len(a), used) + zstandard.ZstdCompressor(level=3).compress(planes[:used].tobytes())
 
 
-def spread(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def spread(b: bytes) -> tuple[np.ndarray, bytes]:
+    """The array, and the bytes after it."""
+    n, used = struct.unpack_from("<IB", b)
+    d = zstandard.ZstdDecompressor().decompressobj()
+    planes = np.zeros((4, n), np.uint8)
+    planes[:used] = np.frombuffer(d.decompress(b[5:]), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel(), d.unused_data
 
 
 def pack_words(words: list[str]) -> bytes:
-    return press(np.array([len(words), *map(len, words)], np.uint32)) + b"\0words\0" + zstandard.ZstdCompressor(level=3).compress("".join(words).encode("utf-8", "surrogatepass"))
+    return press(np.fromiter(map(len, words), np.uint32, len(words))) + zstandard.ZstdCompressor(level=3).compress("".join(words).encode("utf-8", "surrogatepass"))
 
 
 def unpack_words(b: bytes) -> list[str]:
-    # the first frame's size is found by its decompressor
-    d = zstandard.ZstdDecompressor().decompressobj()
-    n = np.frombuffer(d.decompress(b), np.uint32)[1:]
-    text = zstandard.ZstdDecompressor().decompress(d.unused_data[len(b"\0words\0") :]).decode("utf-8", "surrogatepass")
+    n, rest = spread(b)
+    text = zstandard.ZstdDecompressor().decompress(rest).decode("utf-8", "surrogatepass")
     ends = np.cumsum(n, dtype=np.int64).tolist()
     return [text[s:e] for s, e in zip([0, *ends], ends)]
 
@@ -86,22 +96,25 @@ def make_blocks(docs: DataFrame, buckets: int, ordered: bool, special: str | Non
         same, first_of = pd.factorize(h)
         first = np.empty(len(first_of), np.int64)
         first[same[::-1]] = np.arange(len(h))[::-1]
-        bucket = (first_of % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        every = same[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(every, minlength=len(first_of)), kind="stable") if len(first_of) else np.zeros(0, np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        code = rank[same][np.concatenate(codes)] if codes else np.zeros(0, np.int64)
+        code = rank[every]
+        bucket = (first_of[order] % np.uint64(buckets)).astype(np.int64)
         n = np.bincount(np.array(owner, np.int64), weights=np.concatenate(sizes) if sizes else None, minlength=len(texts)).astype(np.int64) if pieces else np.zeros(len(texts), np.int64)
         counts = b""
         if not ordered:
             doc = np.repeat(np.arange(len(texts)), n)
             pair, times = np.unique(doc * max(1, len(order)) + code, return_counts=True)
             n = np.bincount(pair // max(1, len(order)), minlength=len(texts))
-            code, counts = pair % max(1, len(order)), press(times.astype(np.uint32))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-        firsts = first[order].tolist()
+            code, counts = pair % max(1, len(order)), press(times)
+        dealt = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1)).tolist()
+        firsts = first[order][dealt].tolist()
         packs = [{"bucket": b, "packed": pack_words([words[x] for x in firsts[cuts[b] : cuts[b + 1]]])} for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((number, ids, sizes_bytes, specials, n.astype(np.int32), press(code.astype(np.uint32)), counts, packs), _BLOCKS)], schema=_BLOCKS)
+        values = (number, ids, sizes_bytes, specials, n.astype(np.int32), press(code), press(bucket), counts, packs)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCKS)], schema=_BLOCKS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -132,12 +145,22 @@ def bucket_count(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucketed(blocks: DataFrame, tag: str, buckets: int) -> DataFrame:
+    """Blocks as a table below the shared folder that is bucketed by block, so
+    that a join on block doesn't shuffle them."""
+    spark = blocks.sparkSession
+    name = f"arbor_{tag}_{uuid.uuid4().hex}"
+    writer = blocks.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
 def through_dictionary(docs: DataFrame, tag: str, ordered: bool, special: str | None, encode, gather, schema: str, schema_arrow: pa.Schema) -> DataFrame:
     """encode: list of distinct pre-tokens -> list of their values (numpy arrays
     of uint32), asked once for each pre-token of a bucket. gather: block as a
     dict, values' sizes and values by code -> columns of the result."""
     buckets = bucket_count(docs)
-    blocks = written(make_blocks(docs, buckets, ordered, special), tag)
+    blocks = bucketed(make_blocks(docs, buckets, ordered, special), tag, buckets)
     known_most = 1_000_000
 
     def coder(batches):
@@ -152,19 +175,26 @@ def through_dictionary(docs: DataFrame, tag: str, ordered: bool, special: str |
                     new = words
                 known.update(zip(new, encode(new)))
                 values = [known[w] for w in words]
-                out.append(press(np.array([len(words), *map(len, values)], np.uint32)) + press(np.concatenate(values) if values else np.zeros(0, np.uint32)))
+                out.append(press(np.fromiter(map(len, values), np.uint32, len(values))) + press(np.concatenate(values)))
             yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "coded"])
 
     def back(key, left, right):
         block = {c: left.column(c)[0].as_py() for c in ("doc_ids", "n_bytes", "specials", "sizes")}
-        block["codes"], block["counts"] = spread(left.column("codes")[0].as_py(), np.uint32), left.column("counts")[0].as_py()
-        packs = sorted(zip(right.column("bucket").to_pylist(), right.column("coded").to_pylist()))
+        block["codes"], block["counts"] = spread(left.column("codes")[0].as_py())[0], left.column("counts")[0].as_py()
+        dealt = np.argsort(spread(left.column("buckets")[0].as_py())[0], kind="stable")
         sizes, values = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for _, b in packs:
-            d = zstandard.ZstdDecompressor().decompressobj()
-            sizes.append(np.frombuffer(d.decompress(b), np.uint32)[1:])
-            values.append(spread(d.unused_data, np.uint32))
-        columns = gather(block, np.concatenate(sizes), np.concatenate(values))
+        for _, b in sorted(zip(right.column("bucket").to_pylist(), right.column("coded").to_pylist())):
+            n, rest = spread(b)
+            sizes.append(n)
+            values.append(spread(rest)[0])
+        sizes, values = np.concatenate(sizes), np.concatenate(values)
+        place = np.empty(len(dealt), np.int64)
+        place[dealt] = np.arange(len(dealt))
+        first = (np.cumsum(sizes, dtype=np.int64) - sizes)[place]
+        sizes = sizes[place]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        values = values[np.repeat(first - ends + sizes, sizes) + np.arange(len(values))]
+        columns = gather(block, sizes, values)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema_arrow)], schema=schema_arrow)
 
     words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.packed")

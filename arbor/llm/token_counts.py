@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, special: str = S
     def gather(block, sizes, values):
         n = np.array(block["sizes"], np.int64)
         row = np.repeat(np.arange(len(n)), n)
-        times = spread(block["counts"], np.uint32).astype(np.int64)
+        times = spread(block["counts"])[0].astype(np.int64)
         total = np.bincount(row, values.astype(np.int64)[block["codes"]] * times, len(n)).astype(np.int64)
         total += np.array(block["specials"], np.int64)
         return block["doc_ids"], block["n_bytes"], total, total > limit
