@@ -18,9 +18,9 @@ class Rule:
 
     def regex(self, whole: bool) -> str:
         """For paths without their leading slash; not whole: what lies below a
-        match matches too. Java, RE2 and Python read it alike."""
+        match matches too. Java and RE2 read it alike."""
         start = "" if self.anchored else "(?:.*/)?"
-        return f"(?s)^{start}{self.body}{'' if whole else '(?:/.*)?'}$"
+        return f"(?s)^{start}{self.body}{'' if whole else '(?:/.*)?'}\\z"
 
     def prefix(self) -> str:
         """The literal directories that an anchored pattern begins with."""

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+PARTS = ("scans", "diffs")
 
-def queries():
-    return {}
 
+def _all() -> dict:
+    found = {}
+    for part in PARTS:
+        found |= import_module(f"arbor.plans.{part}").QUERIES
+    return found
 
-def oracle_sql():
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all()["grep_literal"][0](spark, sf_dir)
+
+
+def queries() -> dict:
+    return {name: query for name, (query, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
