@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("scans", "diffs")
+PARTS = ("scans", "diffs", "histories")
 
 
 def _all() -> dict:

@@ -32,10 +32,10 @@ for _side in ("base", "ours", "theirs"):
         WHERE path IN (SELECT '/' FROM files_{_side} UNION ALL SELECT '/' || lang FROM files_{_side} UNION ALL SELECT '/' || lang || '/' || source FROM files_{_side})"""
     VIEWS[f"content_{_side}"] = f"SELECT DISTINCT SHA(text) AS content_id, text, BYTES(text) AS length FROM files_{_side}"
 VIEWS |= {
-    # a branch a conversation, a commit a turn; every third one merges its neighbour's
+    # a branch a conversation, a commit a turn; every third one merges its neighbour's, eight in a row at most
     "turns": "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, '12' || SHA(CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING)) AS id FROM conversations",
     "branch": "SELECT 'c' || CAST(conv_id AS STRING) AS branch, conv_id, max(n) AS last, count(*) AS commits FROM turns GROUP BY conv_id",
-    "commit": """SELECT t.id, 'c' || CAST(t.conv_id AS STRING) AS branch, t.conv_id, t.n AS depth, p.id AS parent, CASE WHEN t.n % 3 = 2 THEN o.id END AS second_parent, t.role AS message,
+    "commit": """SELECT t.id, 'c' || CAST(t.conv_id AS STRING) AS branch, t.conv_id, t.n AS depth, p.id AS parent, CASE WHEN t.n % 3 = 2 AND t.conv_id % 8 <> 0 THEN o.id END AS second_parent, t.role AS message,
         BYTES(t.text) AS logical, BYTES(t.text) % 97 AS new_canonical, BYTES(t.text) % 31 AS new_stored, BYTES(t.text) % 7 AS new_metadata, t.conv_id * 1000 + t.n AS created_ms
         FROM turns t LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.n = t.n - 1 LEFT JOIN turns o ON o.conv_id = t.conv_id - 1 AND o.n = t.n""",
     # each third conversation publishes its last commit; layers are a chain
