@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("scans", "diffs", "histories")
+PARTS = ("scans", "diffs", "histories", "stores")
 
 
 def _all() -> dict:
@@ -17,7 +17,7 @@ def _all() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all()["grep_literal"][0](spark, sf_dir)
+    return _all()["diff_trees"][0](spark, sf_dir)
 
 
 def queries() -> dict:
