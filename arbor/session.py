@@ -28,10 +28,18 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
     )
 
 
+#: Rows of an Arrow batch: whole texts and sets are long rows, and a batch stands
+#: in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that Python
-    tasks import it wherever they run."""
+    tasks import it wherever they run, and keep Arrow batches small."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(sc, "_arbor_shipped", False):
         return
     root = Path(__file__).resolve().parent
