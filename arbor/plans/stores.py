@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from arbor.functions import paths
 from arbor.operators import diff, overlay, storage, trace, writes
-from arbor.session import shared_dir
+from arbor.session import scratch
 from arbor.sources.adapter import oracle, view
 from arbor.streaming import events as live
 
@@ -170,7 +168,7 @@ def workspace_model(s, d):
 
 
 def _streamed(s, d, build, mode):
-    out = f"{shared_dir(s)}/arbor-stream-{uuid.uuid4().hex}"
+    out = scratch(s, "stream")
     live.drained(build(live.table_stream(s, f"{d}/events.parquet")), out, out + "-checkpoint", mode)
     return s.read.parquet(out)
 

@@ -67,10 +67,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/arbor-{tag}-{uuid.uuid4().hex}"
+    sc._arbor_scratch = [*getattr(sc, "_arbor_scratch", ()), path]
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this context; for when the results that
+    read them have been used or written."""
+    sc = spark.sparkContext
+    for path in getattr(sc, "_arbor_scratch", ()):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    sc._arbor_scratch = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts lineage, and a
     lost executor costs nothing that came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbor-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
