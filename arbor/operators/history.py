@@ -181,3 +181,28 @@ def reserve(demands: DataFrame, high: int) -> DataFrame:
     w = Window.partitionBy("scope").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     start = F.lit(high) + F.coalesce(F.sum("count").over(w), F.lit(0))
     return demands.select("scope", "seq", start.cast("long").alias("start"), (start + F.col("count")).cast("long").alias("end"))
+
+
+def comparable(layers: DataFrame, commits: DataFrame) -> DataFrame:
+    """layer, the commit that it can be compared by, and whether exactly: a
+    listed commit of the same root (the least id), else the layer's source;
+    null if it has none."""
+    same = commits.groupBy("root").agg(F.min("id").alias("same"))
+    j = layers.join(same, "root", "left")
+    return j.select(F.col("id").alias("layer"), F.coalesce("same", "source_commit").alias("commit"), F.when(F.coalesce("same", "source_commit").isNotNull(), F.col("same").isNotNull()).alias("exact"))
+
+
+def resolve(names: DataFrame, heads: DataFrame, commits: DataFrame, layers: DataFrame) -> DataFrame:
+    """What each name means: main is the newest layer, an id of 66 hex digits a
+    commit or layer, else a branch's head. Null where nothing is found."""
+    ids = commits.select("id", F.lit("commit").alias("kind")).unionAll(layers.select("id", F.lit("layer").alias("kind")))
+    main = layers.agg(F.max_by("id", "height").alias("node")).select(F.lit("main").alias("name"), "node", F.lit("layer").alias("kind"))
+    known = main.unionAll(heads.select(F.col("branch").alias("name"), F.col("id").alias("node"), F.lit("branch").alias("kind")))
+    known = known.unionAll(ids.select(F.col("id").alias("name"), F.col("id").alias("node"), "kind"))
+    return names.join(known, "name", "left").select("name", "node", "kind")
+
+
+def record_bindings(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """The bindings that are to be appended: found ones, once, not stored yet."""
+    keys = ["parent_path", "name", "child"]
+    return found.select(*keys).dropDuplicates(keys).join(stored, keys, "left_anti")

@@ -130,3 +130,24 @@ def climb(tree: DataFrame, top_down: int = 256) -> DataFrame:
         done = done.unionAll(now.where("next = '/'").select("child", "built"))
         now = now.where("next <> '/'").join(up, F.col("next") == F.col("at")).select("child", F.col("above").alias("next"), F.concat(F.lit("/"), "part", "built").alias("built"))
     return done.select(F.col("child").alias("serial"), F.col("built").alias("path"))
+
+
+def with_attributes(tree: DataFrame, attributes: DataFrame) -> DataFrame:
+    """tree with its attributes(serial, domain, key, value) as one map by
+    domain:key."""
+    own = attributes.groupBy("serial").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct(F.concat_ws(":", "domain", "key").alias("k"), F.col("value").alias("v"))))).alias("attributes"))
+    return tree.join(own, "serial", "left")
+
+
+def attribute_keys(tree: DataFrame) -> DataFrame:
+    """path and its attributes' keys, sorted by domain and key."""
+    return tree.select("path", F.sort_array(F.map_keys("attributes")).alias("keys"))
+
+
+def read_attribute(tree: DataFrame, domain: str, key: str) -> DataFrame:
+    return tree.select("path", F.try_element_at("attributes", F.lit(f"{domain}:{key}")).alias("value"))
+
+
+def read_link(tree: DataFrame) -> DataFrame:
+    """path and target of the symbolic links."""
+    return tree.where("kind = 3").select("path", "target")

@@ -96,6 +96,25 @@ def reserve_inodes(s, d):
     return H.reserve(demands.groupBy("scope", "seq").agg(F.sum("count").alias("count")), 1000)
 
 
+def get_comparable(s, d):
+    commits = _commit(s, d).select("id", (F.col("logical") % 50).alias("root"), "conv_id").where("conv_id % 3 <> 0").select("id", "root")
+    layers = view(s, d, "layer").select("id", (F.col("logical") % 50).alias("root"), F.when(F.col("height") % 4 != 0, F.col("source_commit")).alias("source_commit"))
+    return H.comparable(layers, commits)
+
+
+def resolve_names(s, d):
+    heads, layers = _heads(s, d).select("branch", "id"), view(s, d, "layer")
+    names = heads.select(F.col("branch").alias("name")).unionAll(_commit(s, d).where("depth = 1").select("id")).unionAll(layers.select("id")).unionAll(s.createDataFrame([("main",), ("absent",)], "name string"))
+    return H.resolve(names, heads, _commit(s, d), layers)
+
+
+def record_bindings(s, d):
+    from arbor.operators.diff import bindings
+
+    base, ours = bindings(view(s, d, "tree_base")), bindings(view(s, d, "tree_ours"))
+    return H.record_bindings(base, ours.unionAll(ours))
+
+
 _LINE = "SELECT t.conv_id, t.n, t.id, string_split(t.text, chr(10)) AS l, b.last FROM turns t JOIN branch b USING (conv_id)"
 QUERIES = {
     "resolve_heads": (lambda s, d: _heads(s, d).select("branch", F.col("id").alias("node")), oracle("SELECT c.branch, c.id AS node FROM commit c JOIN branch b ON b.branch = c.branch AND b.last = c.depth")),
@@ -118,6 +137,9 @@ QUERIES = {
     "list_revisions": (list_revisions, oracle("SELECT conv_id, n, id, CASE WHEN n = 0 THEN 'Added' ELSE 'Modified' END AS change, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS object FROM chat")),
     "file_stats": (lambda s, d: H.file_stats(list_revisions(s, d), "conv_id"), oracle("SELECT conv_id, max(CAST(strlen(text) AS BIGINT)) AS size, count(*) AS revisions, false AS more, sum(CAST(strlen(text) AS BIGINT)) AS logical FROM chat GROUP BY conv_id")),
     "blame_append_only": (lambda s, d: H.blame(_chat(s, d), "conv_id", "n").groupBy("conv_id", "id").agg(F.count("*").alias("lines")), oracle(f"SELECT x.conv_id, x.id, count(*) AS lines FROM (SELECT p.conv_id, CASE WHEN k < len(p.l) OR p.n = p.last THEN p.id ELSE q.id END AS id FROM ({_LINE}) p LEFT JOIN turns q ON q.conv_id = p.conv_id AND q.n = p.n + 1, unnest(range(1, len(p.l) + 1)) AS u(k)) x GROUP BY ALL")),
+    "get_comparable": (get_comparable, oracle("SELECT l.id AS layer, coalesce(m.same, CASE WHEN l.height % 4 <> 0 THEN l.source_commit END) AS commit, CASE WHEN m.same IS NOT NULL OR l.height % 4 <> 0 THEN m.same IS NOT NULL END AS exact FROM layer l LEFT JOIN (SELECT logical % 50 AS root, min(id) AS same FROM commit WHERE conv_id % 3 <> 0 GROUP BY 1) m ON m.root = l.logical % 50")),
+    "resolve_names": (resolve_names, oracle("SELECT branch AS name, id AS node, 'branch' AS kind FROM (SELECT c.* FROM commit c JOIN branch b ON b.branch = c.branch AND b.last = c.depth) h UNION ALL SELECT id, id, 'commit' FROM commit WHERE depth = 1 UNION ALL SELECT id, id, 'layer' FROM layer UNION ALL SELECT 'main', (SELECT id FROM layer ORDER BY height DESC LIMIT 1), 'layer' UNION ALL SELECT 'absent', NULL, NULL")),
+    "record_bindings": (record_bindings, oracle("SELECT parent_path, name, serial AS child FROM tree_ours WHERE path NOT IN (SELECT path FROM tree_base)")),
     "publish_layer": (publish_layer, oracle(_REACH + ", a AS (SELECT r.ancestor AS id, min(l.height) AS layer FROM layer l JOIN reach r ON r.node = l.source_commit GROUP BY r.ancestor) SELECT h.branch, CASE WHEN a.layer IS NULL THEN 'Added' ELSE 'UpToDate' END AS result, a.layer FROM heads h LEFT JOIN a USING (id)")),
     "commit_branch": (commit_branch, oracle("SELECT branch, CASE WHEN conv_id % 5 = 0 THEN 'UpToDate' WHEN conv_id % 3 = 0 THEN 'Moved' ELSE 'Committed' END AS result FROM branch")),
     "fork_branch": (fork_branch, oracle("SELECT CASE conv_id WHEN 1 THEN 'feat' ELSE 'z' END AS branch, conv_id, commits, branch AS forked_from FROM branch WHERE conv_id IN (1, 3)")),

@@ -77,6 +77,12 @@ def climb_paths(spark, d):
     return scan.climb(_tree(spark, d))
 
 
+def _attributed(s, d):
+    tree = _tree(s, d).where("kind = 1")
+    own = view(s, d, "files_base").select((F.col("doc_id") + 1000).alias("serial"), F.explode(F.array(F.struct(F.lit("user").alias("domain"), F.lit("lang").alias("key"), F.col("lang").alias("value")), F.struct(F.lit("sys").alias("domain"), F.lit("source").alias("key"), F.col("source").alias("value")))).alias("a")).where("serial % 3 <> 0 or a.domain = 'sys'")
+    return scan.with_attributes(tree, own.select("serial", "a.*"))
+
+
 ANCHORED = "en/src?/**/doc-*1.txt"
 QUERIES = {
     "walk_tree": (walk_tree, oracle("SELECT path, kind, serial, len(string_split(path, '/')) - 1 AS depth, CASE len(string_split(path, '/')) WHEN 2 THEN '/' WHEN 3 THEN '/|/en' ELSE '/|/en|' || parent_path END AS parents FROM tree_base WHERE path = '/en' OR starts_with(path, '/en/')")),
@@ -95,5 +101,8 @@ QUERIES = {
     "conflict_markers": (conflict_markers, oracle("SELECT content_id FROM content_base WHERE length(text) % 3 = 0")),
     "valid_names": (valid_names, r"SELECT page_id, strlen(name) BETWEEN 1 AND 255 AND NOT contains(name, '\') AND name NOT IN ('.', '..') AS file_name, length(name) <= 63 AND regexp_matches(name, '^[a-z0-9]([a-z0-9._-]*[a-z0-9])?$') AS history_name FROM (SELECT page_id, string_split(url, '/')[-1] AS name FROM pages) p"),
     "hardlink_aliases": (hardlink_aliases, "SELECT l_suppkey % 4 AS device, l_partkey AS inode, min(l_orderkey * 10 + l_linenumber) AS position, count(*) - 1 AS aliases FROM lineitem GROUP BY ALL"),
+    "attribute_keys": (lambda s, d: scan.attribute_keys(_attributed(s, d)).withColumn("keys", F.array_join("keys", ",")), oracle("SELECT path, CASE WHEN serial % 3 <> 0 THEN 'sys:source,user:lang' ELSE 'sys:source' END AS keys FROM tree_base WHERE kind = 1")),
+    "read_attribute": (lambda s, d: scan.read_attribute(_attributed(s, d), "user", "lang"), oracle("SELECT path, CASE WHEN serial % 3 <> 0 THEN string_split(path, '/')[2] END AS value FROM tree_base WHERE kind = 1")),
+    "read_link": (lambda s, d: scan.read_link(_tree(s, d).withColumn("kind", F.when((F.col("kind") == 1) & (F.col("serial") % 9 == 0), 3).otherwise(F.col("kind"))).withColumn("target", F.concat(F.lit("../"), "name"))), oracle("SELECT path, '../' || name AS target FROM tree_base WHERE kind = 1 AND serial % 9 = 0")),
     "climb_paths": (climb_paths, oracle("SELECT serial, path FROM tree_base")),
 }
