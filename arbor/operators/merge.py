@@ -94,10 +94,8 @@ def merge_metadata(sides: DataFrame) -> DataFrame:
     return merged.withColumn("mode", field(c("b_mode"), c("t_mode"), c("o_mode"))).withColumn("mtime_s", c("time.s")).withColumn("mtime_ns", c("time.ns")).withColumn("mode_conflict", clash).drop("time")
 
 
-def unit_decisions(base: DataFrame, ours: DataFrame, theirs: DataFrame, units: list[tuple[str, list[str]]]) -> DataFrame:
-    """For each unit, in order, of (name, patterns): how many of its paths each
-    side changed, its latest time on each, and who keeps it if both did: the
-    later, ours on a tie. A path belongs to the first unit that it matches."""
+def unit_of(units: list[tuple[str, list[str]]]):
+    """The first unit that a path matches."""
     name = F.substring("path", 2, 4096)
     owner = F.lit(None).cast("string")
     for unit, patterns in reversed(units):
@@ -105,7 +103,14 @@ def unit_decisions(base: DataFrame, ours: DataFrame, theirs: DataFrame, units: l
         for r in map(globs.rule, patterns):
             hit = F.when(name.rlike(r.regex(False)), not r.negated).otherwise(hit)
         owner = F.when(hit, unit).otherwise(owner)
-    sides = three_way(base, ours, theirs, "path").withColumn("unit", owner).where("unit is not null")
+    return owner
+
+
+def unit_decisions(base: DataFrame, ours: DataFrame, theirs: DataFrame, units: list[tuple[str, list[str]]]) -> DataFrame:
+    """For each unit, in order, of (name, patterns): how many of its paths each
+    side changed, its latest time on each, and who keeps it if both did: the
+    later, ours on a tie. A path belongs to the first unit that it matches."""
+    sides = three_way(base, ours, theirs, "path").withColumn("unit", unit_of(units)).where("unit is not null")
     time = lambda x: F.when(~_same("b", x), F.struct(F.col(f"{x}_mtime_s"), F.col(f"{x}_mtime_ns")))
     told = sides.groupBy("unit").agg(F.count(F.when(~_same("b", "o"), 1)).alias("ours_changed"), F.count(F.when(~_same("b", "t"), 1)).alias("theirs_changed"), F.max(time("o")).alias("o"), F.max(time("t")).alias("t"))
     later = F.coalesce(F.col("o.o_mtime_s"), F.lit(-1)) > F.coalesce(F.col("t.t_mtime_s"), F.lit(-1))
@@ -136,7 +141,7 @@ def merge_texts(texts: DataFrame) -> DataFrame:
     return done.unionAll(binary)
 
 
-def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: DataFrame, rules: list[globs.Rule] = ()) -> tuple[DataFrame, DataFrame]:
+def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: DataFrame, rules: list[globs.Rule] = (), units: list[tuple[str, list[str]]] = ()) -> tuple[DataFrame, DataFrame]:
     """The merged tree (path, serial, kind, text, mode, mtime_s, mtime_ns) and
     its conflicts (path, conflict). texts: content_id -> text of every side.
 
@@ -144,7 +149,9 @@ def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: Data
     ours if both did; a file below a directory that one side moved follows the
     move; a directory that nobody keeps is revived if something kept lies in
     it, and dropped if a file took its place and nothing else did. Paths that
-    two kept entries want, and what lies below a file, end as conflicts `type`."""
+    two kept entries want, and what lies below a file, end as conflicts `type`.
+    A unit that both sides changed is taken whole from the side that
+    unit_decisions() names, before any rule or text merge."""
     three = written(three_way(base, ours, theirs), "merge")  # read by every step below
     sides = three
     # where each side has put the entry; a moved directory carries what the other side has below it
@@ -156,7 +163,12 @@ def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: Data
         carried = up.join(moves, "was").groupBy("serial").agg(F.max_by(F.struct("was", "now"), F.length("was")).alias(f"{y}_move"))
         sides = sides.join(carried, "serial", "left").withColumn(f"{y}_to", F.when(F.col(f"{y}_move").isNull(), F.col(f"{y}_path")).otherwise(F.concat(F.col(f"{y}_move.now"), F.expr(f"substring({y}_path, length({y}_move.was) + 1)"))))
     path = F.when(F.col("o_path").isNull(), F.col("t_to")).when(F.col("t_path").isNull(), F.col("o_to")).when(F.col("o_path").eqNullSafe(F.col("b_path")), F.col("t_path")).otherwise(F.col("o_path"))
-    decided = written(decide(sides.withColumn("path", F.coalesce(path, "b_path")), list(rules)), "decided")
+    decided = decide(sides.withColumn("path", F.coalesce(path, "b_path")), list(rules))
+    if units:
+        told = unit_decisions(base, ours, theirs, list(units)).select("unit", "kept")
+        decided = decided.withColumn("unit", unit_of(list(units))).join(F.broadcast(told), "unit", "left")  # a row a unit
+        decided = decided.withColumn("pick", F.coalesce("kept", "pick")).drop("unit", "kept")
+    decided = written(decided, "decided")
     side = F.when(F.col("pick") == "theirs", "t").when(F.col("pick") == "ours", "o").when(F.col("pick") == "lww", F.when(F.col("kept_ours"), "o").otherwise("t")).when(F.col("pick").isin("text", "modify/delete"), "o").when(F.col("pick") == "delete/modify", "t").otherwise(F.when(F.col("o_here"), "o").otherwise("t"))
     decided = decided.withColumn("side", side)
     take = lambda c: F.when(F.col("side") == "o", F.col(f"o_{c}")).otherwise(F.col(f"t_{c}"))

@@ -16,14 +16,14 @@ def as_tree(t, when):
     return t.select("path", "serial", "kind", F.when(F.col("kind") == 1, F.sha2("text", 256)).alias("content_id"), "mode", F.lit(when).cast("long").alias("mtime_s"), F.lit(0).alias("mtime_ns"))
 
 
-def merged(spark, ours, theirs):
+def merged(spark, ours, theirs, units=(), when=(1, 1)):
     base = seed(spark)
     o = writes.apply(base, ours)
     # the sides make new entries of their own: keep their serials apart
     t = writes.apply(base, theirs)
     t = t.withColumn("serial", F.when(F.col("serial") > len(SEED), F.col("serial") + 1000).otherwise(F.col("serial")))
     texts = base.unionAll(o).unionAll(t).where("kind = 1").select(F.sha2("text", 256).alias("content_id"), "text").distinct()
-    tree, conflicts = merge.merged_tree(as_tree(base, 1), as_tree(o, 1), as_tree(t, 1), texts)
+    tree, conflicts = merge.merged_tree(as_tree(base, 1), as_tree(o, when[0]), as_tree(t, when[1]), texts, (), units)
     return {r["path"]: r["text"] for r in tree.collect()}, {(r["path"], r["conflict"]) for r in conflicts.collect()}
 
 
@@ -51,6 +51,13 @@ def test_merge_table(spark, name, ours, theirs, wanted, conflicts):
         assert tree.get(path, "absent") == text
 
 
+@pytest.mark.parametrize(("when", "text"), [((3, 2), "left\n"), ((2, 3), "right\n"), ((2, 2), "left\n")])
+def test_a_unit_is_taken_whole_from_the_later_side(spark, when, text):
+    ours, theirs = [("write", "/d1/a.txt", "left\n")], [("write", "/d1/a.txt", "right\n"), ("rm", "/d1/b.txt")]
+    tree, conflicts = merged(spark, ours, theirs, [("d1", ["/d1/"])], when)
+    assert not conflicts and tree["/d1/a.txt"] == text and ("/d1/b.txt" in tree) == (text == "left\n")
+
+
 @pytest.mark.parametrize(
     ("change", "code"),
     [
