@@ -26,9 +26,9 @@ from arbor.llm.textnum import U, mix, shingles
 from arbor.session import ship, written
 
 #: Matches asked of the heads in the first round.
-HEAD_MATCHES = 8
+HEAD_MATCHES = 32
 #: Matches that a set may choose to ask for.
-LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
+LEVELS = (1, 2, 3, 4, 6, 8)
 BLOCK_TOKENS = 1 << 20
 #: Rows of doc_ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -138,16 +138,18 @@ def _alive(num: int, den: int):
     return back
 
 
-def choose_level(df: np.ndarray, unique: int, n: int, least: int) -> int:
+def choose_level(df: np.ndarray, unique: int, n: int, least: int, alike: int) -> int:
     """The number of matches to ask for that costs least: reading the prefix's
     posting lists, and verifying, at n steps each, the candidates that share so
-    many; of df - 1 meetings with other sets, one in l makes such a candidate."""
+    many; of df - 1 meetings with other sets, one in l makes such a candidate.
+    Most partners are of about the same size and share `alike` shingles at
+    least, so that the first n - alike + l places count."""
     best = (np.inf, 1)
     total = np.concatenate([[0], np.cumsum(df.astype(np.float64) - 1)])
     for level in LEVELS:
         if level > least:
             break
-        meetings = total[min(len(df), max(0, n - least + level - unique))]
+        meetings = total[min(len(df), max(0, n - alike + level - unique))]
         best = min(best, (meetings * (1 + n / 16 / level), level))
     return best[1]
 
@@ -170,7 +172,7 @@ def _ordered(num: int, den: int):
                 continue
             order = np.lexsort((t, d))
             t, d = t[order], d[order]
-            level = choose_level(d, unique, n, least)
+            level = choose_level(d, unique, n, least, -(-2 * num * n // (num + den)))
             out.append((i, n, unique, level, t[: n - least + level - unique].view(np.int64), t.tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         columns = list(zip(*out)) if out else [[]] * 6
