@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from arbor.llm import textnum
 from arbor.llm.common import chunks, utf8
-from arbor.session import shared_dir, ship
+from arbor.session import scratch, ship
 
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 1 << 19
@@ -150,7 +150,7 @@ def bucketed(blocks: DataFrame, tag: str, buckets: int) -> DataFrame:
     that a join on block doesn't shuffle them."""
     spark = blocks.sparkSession
     name = f"arbor_{tag}_{uuid.uuid4().hex}"
-    writer = blocks.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer = blocks.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, tag))
     writer.bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 

@@ -18,7 +18,7 @@ from arbor.session import ship, written
 WINDOW = 2048
 #: Pieces that one task packs.
 SHARD = 50_000
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 class OpenWindows:

@@ -27,7 +27,7 @@ SHRINK = 2
 MOST = 2
 EMPTY = 50
 #: Words whose parts a task remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: Toxic documents that the model is fitted on, those of least hash, and three times as many others.
 SAMPLE = 1000
 OTHERS = 3
