@@ -47,7 +47,7 @@ def read_lines(spark, d):
 
 def resolve_lookup(spark, d):
     tree = _tree(spark, d)
-    wanted = tree.where("kind = 1 and serial % 50 = 0").select(F.col("serial").alias("ordinal"), F.when(F.col("serial") % 100 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"))
+    wanted = tree.where("kind = 1").select(F.col("serial").alias("ordinal"), F.when(F.col("serial") % 2 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"))
     return scan.lookup(tree, wanted)
 
 
@@ -96,7 +96,7 @@ QUERIES = {
     "rule_match_last_wins": (rule_match_last_wins, oracle(f"SELECT path, rule FROM (SELECT path, CASE {_WHEN} END AS rule FROM tree_base) r WHERE rule IS NOT NULL")),
     "grep_literal": (lambda s, d: scan.grep(_tree(s, d), view(s, d, "content_base"), "the", "/en"), oracle(f"SELECT t.path, l.n, substr(l.line, 1, 1024) AS line, length(l.line) > 1024 AS truncated FROM {_LINES} JOIN tree_base t USING (content_id) WHERE contains(l.line, 'the') AND starts_with(t.path, '/en/')")),
     "grep_skipped": (lambda s, d: scan.grep_skipped(_tree(s, d), view(s, d, "content_base").withColumn("text", F.when(F.col("length") % 5 == 0, F.concat("text", F.lit("\0"))).otherwise(F.col("text")))), oracle("SELECT count(*) FILTER (WHERE size % 5 <> 0) AS searched, count(*) FILTER (WHERE size % 5 = 0) AS skipped FROM tree_base WHERE kind = 1")),
-    "resolve_lookup": (resolve_lookup, oracle("SELECT serial AS ordinal, CASE WHEN serial % 100 = 0 THEN path || '.gone' ELSE path END AS path, CASE WHEN serial % 100 <> 0 THEN serial END AS serial, CASE WHEN serial % 100 <> 0 THEN kind END AS kind, CASE WHEN serial % 100 <> 0 THEN size END AS size FROM tree_base WHERE kind = 1 AND serial % 50 = 0")),
+    "resolve_lookup": (resolve_lookup, oracle("SELECT serial AS ordinal, CASE WHEN serial % 2 = 0 THEN path || '.gone' ELSE path END AS path, CASE WHEN serial % 2 <> 0 THEN serial END AS serial, CASE WHEN serial % 2 <> 0 THEN kind END AS kind, CASE WHEN serial % 2 <> 0 THEN size END AS size FROM tree_base WHERE kind = 1")),
     "locate_first_path": (locate_first_path, oracle("SELECT serial, CASE WHEN serial % 3 = 0 THEN '/aliases/' || name ELSE path END AS path FROM tree_base WHERE kind = 1")),
     "conflict_markers": (conflict_markers, oracle("SELECT content_id FROM content_base WHERE length(text) % 3 = 0")),
     "valid_names": (valid_names, r"SELECT page_id, strlen(name) BETWEEN 1 AND 255 AND NOT contains(name, '\') AND name NOT IN ('.', '..') AS file_name, length(name) <= 63 AND regexp_matches(name, '^[a-z0-9]([a-z0-9._-]*[a-z0-9])?$') AS history_name FROM (SELECT page_id, string_split(url, '/')[-1] AS name FROM pages) p"),

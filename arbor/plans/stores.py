@@ -20,7 +20,7 @@ def _locations(s, d):
 
 
 def locate_objects(s, d):
-    where = _locations(s, d).where("pack % 100 = 0")
+    where = _locations(s, d).join(view(s, d, "pack").where("state = 'P'"), "pack", "left_semi")
     ids = where.select("object_id").unionAll(where.select("object_id"))
     return storage.locate(ids, _locations(s, d), view(s, d, "pack"))
 
@@ -141,7 +141,7 @@ def trace_summary(s, d):
 
 def json_runs(s, d):
     e = _read(s, d, "events")
-    runs = e.where("event_id % 10 = 0").select(F.col("user_id").alias("id"), F.format_string("[[%d, %d], [%d, %d]]", "event_id", F.col("event_id") + 50, F.col("event_id") + 400, F.col("event_id") + 420).alias("json"))
+    runs = e.select(F.col("user_id").alias("id"), F.format_string("[[%d, %d], [%d, %d]]", "event_id", F.col("event_id") + 50, F.col("event_id") + 400, F.col("event_id") + 420).alias("json"))
     return trace.run_values(runs, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"), "value"))
 
 
@@ -174,7 +174,7 @@ def _streamed(s, d, build, mode):
 
 
 def stream_tail(s, d):
-    return _streamed(s, d, lambda e: e.where("user_id % 10 = 3").select("event_id", "user_id", "event_type"), "append")
+    return _streamed(s, d, lambda e: e.where("event_type = 'purchase'").select("event_id", "user_id", "event_type"), "append")
 
 
 def stream_pairs(s, d):
@@ -210,7 +210,7 @@ def first_violation(s, d):
 _PHASES = "SELECT event_id AS id, ts AS start, CASE WHEN event_id % 7 <> 0 THEN ts + INTERVAL 1 SECOND END AS \"end\", event_id % 7 = 0 AS running FROM events"
 _WINDOWS = "SELECT time_bucket(INTERVAL '{0} hours', ts) AS \"window\", arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, max(value) AS most, count(*) AS samples FROM events GROUP BY 1"
 QUERIES = {
-    "locate_objects": (locate_objects, oracle("SELECT object_id, pack, slot, length, state FROM object_location JOIN pack USING (pack) WHERE pack % 100 = 0")),
+    "locate_objects": (locate_objects, oracle("SELECT object_id, pack, slot, length, state FROM object_location JOIN pack USING (pack) WHERE state = 'P'")),
     "reference_closure": (lambda s, d: storage.missing(_locations(s, d).select("object_id", "pack"), view(s, d, "pack").where("pack % 9 <> 0"), "pack"), oracle("SELECT object_id, pack FROM object_location WHERE pack NOT IN (SELECT pack FROM pack WHERE pack % 9 <> 0)")),
     "save_publish": (save_publish, oracle("SELECT object_id, min(length) AS length FROM object_location GROUP BY object_id HAVING min(pack) % 3 <> 0")),
     "save_collisions": (save_collisions, oracle("SELECT object_id, 8 AS length, 7 AS was FROM object_location GROUP BY object_id HAVING min(length) = 7")),
@@ -242,14 +242,14 @@ QUERIES = {
     "trace_summary": (trace_summary, "WITH e AS (SELECT *, value < lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS down FROM events) SELECT event_type AS method, count(*) AS calls, min(ts) AS first, max(ts) AS last, max(value) AS most, count(*) FILTER (WHERE down) AS gaps, CASE WHEN count(*) FILTER (WHERE down) = 0 THEN arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) END AS change FROM e GROUP BY 1"),
     "trace_pairs": (lambda s, d: trace.pairs(_phases(s, d)), _PHASES),
     "trace_window": (lambda s, d: trace.windows(_calls(s, d), "1 hour"), _WINDOWS.format(1)),
-    "json_runs_range_join": (json_runs, "SELECT r.user_id AS id, v.event_id AS ordinal, v.value FROM (SELECT user_id, event_id + o AS a, event_id + o + n AS z FROM events, (VALUES (0, 50), (400, 20)) AS x(o, n) WHERE event_id % 10 = 0) r JOIN events v ON v.user_id = r.user_id AND v.event_id BETWEEN r.a AND r.z"),
+    "json_runs_range_join": (json_runs, "SELECT r.user_id AS id, v.event_id AS ordinal, v.value FROM (SELECT user_id, event_id + o AS a, event_id + o + n AS z FROM events, (VALUES (0, 50), (400, 20)) AS x(o, n)) r JOIN events v ON v.user_id = r.user_id AND v.event_id BETWEEN r.a AND r.z"),
     "timing_trees": (timing_trees, "SELECT x.name, x.level, count(*) AS nodes, CAST(sum(o_orderkey % x.m) AS BIGINT) AS micros FROM orders, (VALUES ('call', 0, 97), ('resolve', 1, 31), ('read', 2, 11), ('reply', 1, 7)) AS x(name, level, m) GROUP BY 1, 2"),
     "observation_decode": (observation_decode, "WITH e AS (SELECT user_id, CASE WHEN event_id % 100 = 5 THEN 99 ELSE event_id % 10 END AS section, CASE WHEN event_id % 4 <> 0 THEN event_id END AS value FROM events) SELECT user_id AS scope, coalesce(array_to_string(list_sort(list_distinct(list(section) FILTER (WHERE value IS NOT NULL))), ','), '') AS sections, sum(value) AS total, max(section = 99) AS complete FROM e GROUP BY 1"),
     "counter_changes": (counter_changes, "SELECT user_id, CASE WHEN user_id % 5 <> 0 AND user_id % 7 <> 0 THEN max(event_id) - min(event_id) END AS change FROM events WHERE user_id % 5 <> 0 OR user_id % 7 <> 0 GROUP BY 1"),
     "workspace_model": (workspace_model, oracle("SELECT conv_id AS workspace, CASE WHEN conv_id % 6 = 0 THEN 'gone' ELSE branch END AS branch, CASE WHEN conv_id % 6 <> 0 THEN conv_id % 2 <> 0 END AS moved FROM branch")),
     "owners_entries": (owners_entries, "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice BETWEEN 100 AND 50000"),
     "first_violation": (first_violation, oracle("SELECT l.pack, min(slot) AS slot FROM object_location l LEFT JOIN pack p ON p.pack = l.pack WHERE length > 49 OR p.pack IS NULL OR p.state = 'P' OR p.stored < 2000 GROUP BY l.pack")),
-    "stream_tail": (stream_tail, "SELECT event_id, user_id, event_type FROM events WHERE user_id % 10 = 3"),
+    "stream_tail": (stream_tail, "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase'"),
     "stream_pairs": (stream_pairs, _PHASES),
     "stream_samples": (stream_samples, _WINDOWS.format(6)),
 }
