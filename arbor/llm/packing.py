@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,37 @@ from arbor.session import ship, written
 WINDOW = 2048
 #: Pieces that one task packs.
 SHARD = 50_000
-KNOWN_WORDS = 150_000
+#: Pre-tokens whose ids a task remembers; they take about 200 bytes each.
+KNOWN_WORDS = 500_000
+
+
+class WordIds:
+    """Ids of pre-tokens, encoded once each while they are remembered."""
+
+    def __init__(self, tokenizer, most: int = KNOWN_WORDS):
+        self.tokenizer, self.most = tokenizer, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends, self.flat = array("q", [0]), array("I")
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First place and number of the ids of each word, and all ids."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > self.most:
+            self.forget()
+            new = words
+        if new:
+            at = len(self.place)
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self.place[w] = at
+                at += 1
+                self.flat.extend(e.ids)
+                self.ends.append(len(self.flat))
+        row = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        ends = np.array(self.ends, np.int64)
+        return ends[row], ends[row + 1] - ends[row], np.array(self.flat, np.uint32)
 
 
 class OpenWindows:
@@ -87,7 +118,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, special: str, s
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        known: dict[str, np.ndarray] = {}
+        word_ids = WordIds(t)
         for b in batches:
             _, offsets = utf8(b.column("text"))
             for i, j in chunks(offsets, 1 << 19):
@@ -98,16 +129,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, special: str, s
                     parts += cut
                     owner += [k] * len(cut)
                 _, code, words, spans = coded(parts)
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > KNOWN_WORDS:
-                    known.clear()
-                    new = words
-                if new:
-                    known.update(zip(new, (np.array(e.ids, np.uint32) for e in t.encode_batch_fast(new, add_special_tokens=False))))
-                values = [known[w] for w in words]
-                size = np.fromiter(map(len, values), np.int64, len(values))
-                first = np.concatenate([[0], np.cumsum(size)])
-                flat = np.concatenate(values) if values else np.zeros(0, np.uint32)
+                first, size, flat = word_ids.of(words)
                 each = size[code] if len(code) else np.zeros(0, np.int64)
                 ends = np.cumsum(each)
                 all_ids = flat[np.repeat(first[code] - (ends - each), each) + np.arange(ends[-1])] if len(code) else flat
