@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "yt").mapInArrow(run, "x long, y long")
 
 
-def _few(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -220,7 +220,7 @@ def links(docs: DataFrame, reps: DataFrame, heads: DataFrame, k: int, num: int,
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = heads.join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
     alive = written(_counted(first, "heads", buckets, _alive(num, den), "doc_id long"), "alive")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(_few(alive), "doc_id", "left_semi")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(few(alive), "doc_id", "left_semi")
     full = _sets(kept, k, num, den, True)
     sets = written(_counted(full, "sets", buckets, _ordered(num, den), _ORDERED), "ordered")
     at = sets.select("doc_id", "n", "unique", "level", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + F.col("unique"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbor.llm import langid, toxicity
 from arbor.llm.common import table
-from arbor.llm.ngram_jaccard import jaccard_classes
+from arbor.llm.ngram_jaccard import few, jaccard_classes
 from arbor.llm.packing import pack
 from arbor.session import written
 
@@ -28,12 +28,43 @@ def civility(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _row, a number that only rows of the same doc_id (or none) and
+    the same text share, and the numbers: _row, doc_id and how many rows (times)
+    have it. It is a hash, so that no text has to move; where two rows that
+    differ (by a second hash of the text) get the same number, another seed is taken."""
+    seed = 0
+    while True:
+        numbered = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text"))
+        what = F.xxhash64(F.lit(~seed), "text")
+        ids = numbered.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), ((F.count("doc_id").isin(0, F.count("*"))) & F.min("doc_id").eqNullSafe(F.max("doc_id")) & (F.min(what) == F.max(what))).alias("alike"))
+        ids = written(ids, "rows")
+        if ids.where("not alike").isEmpty():
+            return numbered, ids.drop("alike")
+        seed += 1
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that Jaccard links of 0.8 between sets of
-    5-word shingles connect: that with the least doc_id."""
-    found = jaccard_classes(docs, 5, 80, 100)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group that Jaccard links of 0.8 between sets of 5-word
+    shingles connect: that with the least doc_id, null being the greatest.
+
+    Rows are told apart, not ids: a row without doc_id is linked by its text as
+    any other, rows that repeat a doc_id are each judged by their own text, and
+    of rows that repeat doc_id and text one stays. Of several texts of a group
+    under its least doc_id that with the least hash stays. A row without words
+    has no shingles, is linked with nothing and always stays."""
+    wordless = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\n\v\f\r")) == ""
+    numbered, ids = _rows(docs.where(~wordless))
+    found = jaccard_classes(numbered.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100)
+    classes = found.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    first = written(first.select("_row"), "first")
+    # most rows stay, so those that go, or have to be made one, are looked up
+    others = written(ids.join(first, "_row", "left_anti").select("_row"), "others")
+    repeated = ids.where("times > 1").join(first, "_row", "left_semi").select("_row")
+    kept = numbered.join(few(others.unionAll(repeated)), "_row", "left_anti").select(*docs.columns).unionAll(docs.where(wordless))
+    one = numbered.join(few(repeated), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("one"))
+    return kept.unionAll(one.select("one.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

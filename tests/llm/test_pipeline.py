@@ -18,3 +18,26 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, D)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    """Null, repeated and shared ids: one row of each class stays, and every row that no link connects."""
+    words = lambda tag, n=40: [f"{tag}{i}" for i in range(n)]
+    a, b, c, d = (" ".join(words(t)) for t in "abcd")
+    near = " ".join(["x", *words("a")[1:]])  # 35 of 37 shingles are a's
+    rows = [
+        (5, a, "1"), (5, b, "2"), (3, b, "3"),  # (5, b) goes although 5 stays for a
+        (7, near, "4"), (None, a, "5"),  # linked with (5, a)
+        (None, c, "6"), (None, c, "7"),  # a class of rows without ids
+        (None, d, "8"), (9, " ".join(words("e")), "9"), (9, " ".join(words("f")), "10"),  # alone
+        (6, " ".join(words("g")), "11"), (6, " ".join(words("g")), "12"),  # repeated whole
+        (None, None, "13"), (None, "", "14"), (1, " \n", "15"), (1, " \n", "16"),  # without words
+        *((20, " ".join(words("h")), f"h{i}") for i in range(30)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.deduplicate(spark, docs, D)
+    assert got.columns == docs.columns
+    kept = [r["source"] for r in got.collect()]
+    assert sorted(kept) == sorted(set(kept)) and {"1", "3", "8", "9", "10", "13", "14", "15", "16"} <= set(kept)
+    assert [len({*g} & {*kept}) for g in (["6", "7"], ["11", "12"], [f"h{i}" for i in range(30)])] == [1, 1, 1]
+    assert len(kept) == 12 and corpus_pipeline.deduplicate(spark, docs.where("false"), D).collect() == []
