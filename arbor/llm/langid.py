@@ -15,6 +15,11 @@ BUCKETS = 4096
 CENTROIDS = 4
 #: Labelled documents of each language that the centroids are fitted on, those of least hash.
 SAMPLE = 800
+#: Letters (bytes of them) of the starts of the learned documents, by which the limits of short texts are set.
+STARTS = tuple(4 << i for i in range(8))
+#: Shares of the learned documents' cosines that still pass: of whole documents' 1 % quantile and of starts' 5 % quantile.
+#: A start may be digits or markup throughout, which says nothing of its language, hence the other quantile.
+SLACK, START_SLACK = 0.75, 0.6
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -43,6 +48,24 @@ def profiles(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _BUCKET = {s: (mix(np.arange(256**s, dtype=U) + U(s << 32)) % U(BUCKETS)).astype(np.int64) for s in (1, 2)}
 
 
+def letter_count(data: np.ndarray) -> np.ndarray:
+    """How many bytes of letters stand before each place of data."""
+    return np.concatenate([[0], np.cumsum(_FOLD[LOWER[data]] != 32)])
+
+
+def starts(data: np.ndarray, offsets: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of more than so many bytes of letters, cut after these, and their numbers."""
+    count = letter_count(data)
+    rows = np.flatnonzero(count[offsets[1:]] - count[offsets[:-1]] > letters)
+    ends = np.searchsorted(count, count[offsets[rows]] + letters)
+    parts = []
+    for s, e in zip(offsets[rows].tolist(), ends.tolist()):
+        while 128 <= data[e] < 192:  # within a character
+            e += 1
+        parts.append(data[s:e])
+    return np.concatenate([data[:0], *parts]), np.cumsum([0, *map(len, parts)]), rows
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
@@ -60,11 +83,20 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def dense(rows: list[tuple[bytes, bytes]]) -> np.ndarray:
+    tf = np.zeros((len(rows), BUCKETS), np.float32)
+    for r, (at, value) in zip(tf, rows):
+        r[np.frombuffer(at, np.int16)] = np.frombuffer(value, np.float16)
+    return tf
+
+
 class Model:
     """Centroids, their languages, the idf weights, and for each language the
-    greatest cosine distance that is not rejected."""
+    least cosine that is not rejected, by the text's letters.
+
+    cut has the starts of the learned documents: letters, language, and places and values of the profile."""
 
-    def __init__(self, tf: np.ndarray, lang: list[str], k: int = CENTROIDS):
+    def __init__(self, tf: np.ndarray, lang: list[str], k: int = CENTROIDS, cut: list[tuple[int, str, bytes, bytes]] = ()):
         names = sorted(set(lang))
         df = (tf > 0).sum(0)
         self.idf = np.log((1 + len(tf)) / (1 + df)).astype(np.float32) + 1
@@ -73,8 +105,23 @@ class Model:
         self.names = names
         self.centroids = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, BUCKETS), np.float32)
         self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        # short texts share few n-grams with any centroid: a quarter of the cosine of the farthest hundredth still passes
-        self.least = np.array([0.25 * np.quantile((x[y == n] @ p.T).max(1), 0.01) for n, p in zip(names, parts)])
+        self.least = np.array([SLACK * np.quantile((x[y == n] @ p.T).max(1), 0.01) for n, p in zip(names, parts)])
+        # short texts share few n-grams with any centroid: their limits are those of the documents' starts
+        found: dict[tuple[str, int], list[tuple[bytes, bytes]]] = {}
+        for letters, name, *row in cut:
+            found.setdefault((name, letters), []).append(tuple(row))
+        self.short = []
+        for n, p in zip(names, parts):
+            at = [s for s in STARTS if (n, s) in found]
+            self.short.append((np.log(at), [START_SLACK * np.quantile((unit(dense(found[n, s]) * self.idf) @ p.T).max(1), 0.05) for s in at]))
+
+    def limit(self, lang: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The least cosine that is not rejected, for rows of these languages and bytes of letters."""
+        out = np.ones(len(lang))
+        for i, (at, least) in enumerate(self.short):
+            k = lang == i
+            out[k] = np.minimum(self.least[i], np.interp(np.log(np.maximum(letters[k], 1)), at, least) if len(at) else np.inf)
+        return out
 
     def predict(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's language number and cosine."""
@@ -97,19 +144,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= sample).select("doc_id").distinct()
     rows = known.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi")
 
+    def out(letters, lang, tf):
+        sparse = [np.flatnonzero(r) for r in tf]
+        return pa.RecordBatch.from_arrays([pa.array([letters] * len(tf), pa.int32()), lang, pa.array([s.astype(np.int16).tobytes() for s in sparse]), pa.array([r[s].astype(np.float16).tobytes() for r, s in zip(tf, sparse)])], names=["letters", "lang", "at", "value"])
+
     def run(batches):
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for i, j in chunks(offsets, 1 << 19):
                 tf = profiles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sparse = [np.flatnonzero(r) for r in tf]
-                yield pa.RecordBatch.from_arrays([same(b.column("lang"), i, j), pa.array([s.astype(np.int16).tobytes() for s in sparse]), pa.array([r[s].astype(np.float16).tobytes() for r, s in zip(tf, sparse)])], names=["lang", "at", "value"])
+                yield out(0, same(b.column("lang"), i, j), tf)
+                for letters in STARTS:
+                    *cut, at = starts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], letters)
+                    if len(at):
+                        yield out(letters, same(b.column("lang"), i, j).take(pa.array(at)), profiles(*cut))
 
-    got = rows.select("text", "lang").mapInArrow(run, "lang string, at binary, value binary").toArrow()
-    tf = np.zeros((got.num_rows, BUCKETS), np.float32)
-    for r, at, value in zip(tf, got.column("at").to_pylist(), got.column("value").to_pylist()):
-        r[np.frombuffer(at, np.int16)] = np.frombuffer(value, np.float16)
-    return Model(tf, got.column("lang").to_pylist())
+    got = rows.select("text", "lang").mapInArrow(run, "letters int, lang string, at binary, value binary").toArrow()
+    got = list(zip(*(got.column(c).to_pylist() for c in ("letters", "lang", "at", "value"))))
+    whole = [r for r in got if not r[0]]
+    return Model(dense([r[2:] for r in whole]), [r[1] for r in whole], cut=[r for r in got if r[0]])
 
 
 IDENTIFIED = "lang_pred string, score double, rejected boolean"
@@ -119,7 +172,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """lang_pred, score (cosine to the nearest centroid) and rejected beside the
     columns keep of docs(text, ...). A text that is null or has no letter is
     `und`, scores 0 and is rejected, as is one too far from all centroids of its
-    language. Without any labelled document everything is `und`. Repeated rows
+    language: farther than almost all learned documents, or their starts of as many letters. Without any labelled document everything is `und`. Repeated rows
     give a row each; an empty table gives none."""
     spark = docs.sparkSession
     ship(spark)
@@ -138,6 +191,8 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 letters = count[off[1:]] > count[off[:-1]]
                 for k in np.flatnonzero(~letters & (np.diff(off) > 0)):
                     letters[k] = any(c.isalpha() for c in part[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"))
+                size = letter_count(part)[off]
+                size = size[1:] - size[:-1]
                 names, scores, rejected = [], [], []
                 for s in range(0, j - i, 256):
                     e = min(s + 256, j - i)
@@ -145,7 +200,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     ok = letters[s:e] & (lang >= 0)
                     names += [m.names[x] if y else "und" for x, y in zip(lang.tolist(), ok.tolist())]
                     scores += np.where(ok, score, 0.0).tolist()
-                    rejected += (~ok | (score < (m.least[lang] if len(m.least) else 1))).tolist()
+                    rejected += (~ok | (score < m.limit(lang, size[s:e]))).tolist()
                 yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [IDENTIFIED])

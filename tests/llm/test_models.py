@@ -6,6 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from arbor.llm import langid, toxicity
+from arbor.llm.common import table
 from tests.llm.conftest import empty, frame
 
 SPEECH = {"en": "the and ing tion of that with is was for", "de": "der und ung die nicht schaft ist zu ein ich", "fr": "le la les des eaux ment que une dans est"}
@@ -54,3 +55,16 @@ def test_toxicity_reaches_unseen_spellings(spark, cases):
     assert toxicity.score(empty(spark), model, "doc_id").collect() == []
     none = toxicity.fit(docs, told.where("false"))
     assert {r["score"] for r in toxicity.score(docs, none, "doc_id").collect()} == {0.5}
+
+
+def test_what_no_language_resembles_is_rejected(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    other = [(10**9 + n, letters(n), None) for n in (60, 100, 200, 500, 2000, 8000)] + [(10**9 + 10**6 + n, finnish * n, None) for n in (1, 2, 5, 30)]
+    known = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    docs = known.unionAll(spark.createDataFrame(other, known.schema))
+    found = langid.identify(docs, langid.fit(docs), "doc_id", "lang", "text").collect()
+    held = [r for r in found if r["lang"] and any(c.isalpha() for c in r["text"] or "") and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert len(held) > 200 and sum(r["rejected"] for r in held) <= 0.01 * len(held)
+    assert all(r["rejected"] for r in found if r["doc_id"] >= 10**9)
