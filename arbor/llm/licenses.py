@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -120,9 +121,33 @@ def rules() -> list[tuple[int, str, tuple[str, ...], str, str]]:
     return sorted(out, key=lambda r: -r[0])
 
 
+#: What a notice has between two of its words: white space, and where a line ends the frame or comment sign that
+#: closes it and those that begin the next ones.
+_LEADER = r"(?:<!--|--+>?|/?\*+/?|//+!?|#+|;+|%+|!+|>+|\|+|(?:dnl|rem|\.\.)(?=[ \t]))"
+_GAP = re.compile(rf"(?:[ \t]+(?:\*+|#+|\|+))?[ \t]*[\r\n]\s*(?:{_LEADER}\s*)*|\s+")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """text with each gap made one blank; where gaps of another length end in
+    the new text, and how many characters have gone by then."""
+    parts, ends, gone, last, size = [], [], [], 0, 0
+    for m in _GAP.finditer(text):
+        s, e = m.span()
+        if e - s == 1 and text[s] == " ":
+            continue
+        parts += [text[last:s], " "]
+        size += s - last + 1
+        last = e
+        ends.append(size)
+        gone.append(e - size)
+    return "".join([*parts, text[last:]]), ends, gone
+
+
 def detect(text: str, compiled, keywords) -> list[tuple[int, int, str, int]]:
-    """Spans, labels and priorities of the rules that match lower-cased text. A
-    detection inside one of higher or equal earlier priority is suppressed."""
+    """Spans, labels and priorities of the rules that match lower-cased text,
+    however its lines are wrapped and commented. A detection inside one of
+    higher or equal earlier priority is suppressed."""
+    text, ends, gone = folded(text)
     near = {k for k in keywords if k in text}
     found: list[tuple[int, int, str, int]] = []
     for priority, label, keys, must, pattern in compiled if near else ():
@@ -131,7 +156,12 @@ def detect(text: str, compiled, keywords) -> list[tuple[int, int, str, int]]:
         for m in pattern.finditer(text):
             if not any(s <= m.start() and m.end() <= e for s, e, _, _ in found):
                 found.append((m.start(), m.end(), label, priority))
-    return sorted(found)
+
+    def before(at: int) -> int:
+        i = bisect_right(ends, at)
+        return at + (gone[i - 1] if i else 0)
+
+    return sorted((before(s), before(e - 1) + 1, *rest) for s, e, *rest in found)
 
 
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -149,7 +179,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         compiled = [(*rule, re.compile(pattern, re.S)) for *rule, pattern in rules()]
-        musts = sorted({r[3] for r in compiled})
+        # a wrapped text may part a keyword's words, not a word
+        musts = sorted({max(r[3].split(), key=len) for r in compiled})
         keywords = sorted({k for r in compiled for k in (*r[2], r[3])})
         fold = {c: c + 32 for c in range(65, 91)}
         word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

@@ -84,3 +84,26 @@ def test_references_resolve_by_digest(spark):
     refs = media.references(media.sequences(pages, "page_id", "html"), "page_id")
     store = spark.createDataFrame([("a" * 64, 5), ("a" * 64, 5)], "digest string, size int")
     assert sorted((r["page_id"], r["pos"], r["size"], r["caption"]) for r in media.resolve(refs, store).collect()) == [(1, 1, 5, None), (2, 0, None, "c")]
+
+
+def test_wrapped_notices(spark):
+    compiled = [(*rule, __import__("re").compile(p, 16)) for *rule, p in licenses.rules()]
+    keywords = sorted({k for r in compiled for k in (*r[2], r[3])})
+    notices = {
+        "bsd-2-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee",
+        "gpl": "GNU General\nPublic License as published by\nthe Free Software Foundation",
+        "apache-2.0": "Licensed under the\nApache License, Version 2.0",
+        "all-rights-reserved": "All\nrights\t reserved",
+    }
+    rows = []
+    for label, notice in notices.items():
+        for first, lead, end in (("", "", ""), ("# ", "# ", ""), (" * ", " * ", ""), ("// ", "//   ", ""), ("/* ", " ** ", " *"), ("", "  ", "  \r"), ("<!-- ", "", ""), ("dnl ", "dnl ", "")):
+            rows.append((label, "é\n\n" + first, notice.replace("\n", end + "\n" + lead)))
+    for label, start, notice in rows:
+        text = (start + notice + "\n").lower()
+        found = licenses.detect(text, compiled, keywords)
+        assert (len(start), len(start + notice), label) in [f[:3] for f in found], (text, found)
+    docs = spark.createDataFrame([(i, a + b) for i, (_, a, b) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] > 0 for i, (label, _, _) in enumerate(rows))
