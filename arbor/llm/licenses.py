@@ -41,8 +41,8 @@ FAMILIES = [
     ("isc", r"isc", [r"isc"], ["isc"]),
     ("mpl-1.1", r"mpl-1\.1", [r"mozilla public license,? (?:version |v)?1\.1"], ["mpl", "mozilla"]),
     ("mpl-2.0", r"mpl-2\.0", [r"mozilla public license,? (?:version |v)?2(?:\.0)?"], ["mpl", "mozilla"]),
-    ("epl-1.0", r"epl-1\.0", [r"eclipse public license,? (?:- )?(?:version |v)?1(?:\.0)?"], ["epl", "eclipse"]),
-    ("epl-2.0", r"epl-2\.0", [r"eclipse public license,? (?:- )?(?:version |v)?2(?:\.0)?"], ["epl", "eclipse"]),
+    ("epl-1.0", r"epl-1\.0", [r"eclipse public license,? (?:- )?(?:version |v ?)?1(?:\.0)?"], ["epl", "eclipse"]),
+    ("epl-2.0", r"epl-2\.0", [r"eclipse public license,? (?:- )?(?:version |v ?)?2(?:\.0)?"], ["epl", "eclipse"]),
     ("cddl-1.0", r"cddl-1\.0", [r"common development and distribution license"], ["cddl", "common development"]),
     ("cpl-1.0", r"cpl-1\.0", [r"common public license"], ["cpl", "common public"]),
     ("eupl-1.2", r"eupl-1\.2", [r"european union public licen[cs]e"], ["eupl", "european union"]),
@@ -66,7 +66,7 @@ FAMILIES = [
     ("cc0-1.0", r"cc0-1\.0", [r"cc0", r"creative commons zero"], ["cc0", "creative commons"]),
     ("cc-by-4.0", r"cc-by-4\.0", [r"cc[- ]by(?! ?-?(?:sa|nc|nd))", r"creative commons attribution(?![- ](?:share|non|no))"], ["cc-by", "cc by", "creative commons"]),
     ("cc-by-sa-4.0", r"cc-by-sa-4\.0", [r"cc[- ]by-sa", r"creative commons attribution[- ]sharealike"], ["cc-by", "cc by", "creative commons"]),
-    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", [r"cc[- ]by-nc(?!-)", r"creative commons attribution[- ]noncommercial(?![- ])"], ["cc-by", "cc by", "creative commons"]),
+    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", [r"cc[- ]by-nc(?!-)", r"creative commons attribution[- ]noncommercial(?![- ](?:share|noderiv))"], ["cc-by", "cc by", "creative commons"]),
     ("cc-by-nd-4.0", r"cc-by-nd-4\.0", [r"cc[- ]by-nd", r"creative commons attribution[- ]noderiv(?:ative)?s"], ["cc-by", "cc by", "creative commons"]),
     ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", [r"gnu free documentation license"], ["gfdl", "free documentation"]),
     ("odbl-1.0", r"odbl-1\.0", [r"open database license"], ["odbl", "open database"]),
@@ -88,6 +88,9 @@ FORMS = [
     (60, "licen", r"\blicen[sc]e\W{{1,4}}{spdx}(?![\w.+-])"),
     (50, "licen", r"\b{name}(?:[- ]style)? licen[sc]e\b"),
 ]
+#: A name that says "license" itself, and how it is mentioned.
+_OWN = re.compile(r"licen|public")
+PLAIN = r"(?<![\w-])(?<!lesser )(?<!library )(?<!affero ){name}(?![\w]|\.\d)"
 
 #: label, priority, keyword, pattern: texts of the licenses and notices.
 SIGNATURES = [
@@ -107,17 +110,132 @@ SIGNATURES = [
     ("cc", 35, "creativecommons.org", r"https?://creativecommons\.org/(?:licenses|publicdomain)/[a-z-]+"),
 ]
 
+#: Titles and sentences of grants and disclaimers, as the licenses have them, in small letters; " stands for any quote.
+#: A title names the license wherever it stands, a sentence stands in its text or notice.
+TITLES = {
+    "apache-1.1": ["the apache software license, version 1.1"],
+    "apache-2.0": ["apache license version 2.0, january 2004"],
+    "gpl-1.0": ["gnu general public license version 1, february 1989"],
+    "gpl-2.0": ["gnu general public license version 2, june 1991"],
+    "gpl-3.0": ["gnu general public license version 3, 29 june 2007"],
+    "lgpl-2.0": ["gnu library general public license version 2, june 1991"],
+    "lgpl-2.1": ["gnu lesser general public license version 2.1, february 1999"],
+    "lgpl-3.0": ["gnu lesser general public license version 3, 29 june 2007"],
+    "agpl-3.0": ["gnu affero general public license version 3, 19 november 2007"],
+    "mit-0": ["mit no attribution"],
+    "bsd-2-clause": ["bsd 2-clause license", "bsd two-clause license"],
+    "bsd-3-clause": ["bsd 3-clause license", "bsd three-clause license"],
+    "bsd-4-clause": ["bsd 4-clause license"],
+    "0bsd": ["bsd zero clause license", "zero-clause bsd"],
+    "isc": ["the isc license"],
+    "mpl-1.1": ["mozilla public license version 1.1"],
+    "mpl-2.0": ["mozilla public license version 2.0", "mozilla public license, v. 2.0"],
+    "epl-1.0": ["eclipse public license - v 1.0", "eclipse public license v1.0"],
+    "epl-2.0": ["eclipse public license - v 2.0", "eclipse public license v2.0"],
+    "cddl-1.0": ["common development and distribution license (cddl) version 1.0"],
+    "cpl-1.0": ["common public license version 1.0", "common public license - v 1.0"],
+    "eupl-1.2": ["european union public licence v. 1.2"],
+    "artistic-1.0": ["the artistic license 1.0"],
+    "artistic-2.0": ["the artistic license 2.0"],
+    "bsl-1.0": ["boost software license - version 1.0", "boost software license, version 1.0"],
+    "busl-1.1": ["business source license 1.1"],
+    "wtfpl": ["do what the fuck you want to public license version 2"],
+    "psf-2.0": ["python software foundation license version 2"],
+    "php-3.01": ["the php license, version 3.01"],
+    "ofl-1.1": ["sil open font license version 1.1"],
+    "ms-pl": ["microsoft public license (ms-pl)"],
+    "ms-rl": ["microsoft reciprocal license (ms-rl)"],
+    "sspl-1.0": ["server side public license version 1"],
+    "elastic-2.0": ["elastic license 2.0"],
+    "cc0-1.0": ["cc0 1.0 universal", "creative commons legal code cc0 1.0"],
+    "cc-by-4.0": ["creative commons attribution 4.0 international", "attribution 4.0 international"],
+    "cc-by-sa-4.0": ["creative commons attribution-sharealike 4.0 international", "attribution-sharealike 4.0 international"],
+    "cc-by-nc-4.0": ["creative commons attribution-noncommercial 4.0 international", "attribution-noncommercial 4.0 international"],
+    "cc-by-nd-4.0": ["creative commons attribution-noderivatives 4.0 international", "attribution-noderivatives 4.0 international"],
+    "gfdl-1.3": ["gnu free documentation license version 1.3, 3 november 2008"],
+    "odbl-1.0": ["open database license (odbl)", "odc open database license"],
+    "hpnd": ["historical permission notice and disclaimer"],
+    "afl-3.0": ["academic free license version 3.0", 'academic free license ("afl") v. 3.0'],
+    "osl-3.0": ["open software license version 3.0", 'open software license ("osl") v. 3.0'],
+    "ecl-2.0": ["educational community license, version 2.0"],
+    "upl-1.0": ["the universal permissive license (upl), version 1.0"],
+    "w3c": ["w3c software notice and license"],
+    "ncsa": ["university of illinois/ncsa open source license"],
+}
+SENTENCES = {
+    "mit": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "apache-1.1": ['the names "apache" and "apache software foundation" must not be used to endorse or promote products derived from this software'],
+    "apache-2.0": ["subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"],
+    "gpl-1.0": ["the license agreements of most software companies try to keep users at the mercy of those companies"],
+    "gpl-3.0": ["the gnu general public license is a free, copyleft license for software and other kinds of works"],
+    "lgpl-2.0": ["gnu library general public license as published by the free software foundation"],
+    "lgpl-2.1": ["either version 2.1 of the license, or (at your option) any later version"],
+    "lgpl-3.0": ["incorporates the terms and conditions of version 3 of the gnu general public license, supplemented by the additional permissions listed below"],
+    "agpl-3.0": ["gnu affero general public license as published by the free software foundation", "specifically designed to ensure cooperation with the community in the case of network server software"],
+    "bsd-4-clause": ["all advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "0bsd": ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software"],
+    "mpl-1.1": ["the contents of this file are subject to the mozilla public license version 1.1"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license, v. 2.0"],
+    "epl-1.0": ["are made available under the terms of the eclipse public license v1.0"],
+    "epl-2.0": ["are made available under the terms of the eclipse public license 2.0"],
+    "cddl-1.0": ["the contents of this file are subject to the terms of the common development and distribution license"],
+    "cpl-1.0": ["the accompanying program is provided under the terms of this common public license"],
+    "eupl-1.2": ["licensed under the eupl, version 1.2"],
+    "artistic-1.0": ["the intent of this document is to state the conditions under which a package may be copied"],
+    "artistic-2.0": ["this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed"],
+    "zlib": ["altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", "this notice may not be removed or altered from any source distribution"],
+    "bsl-1.0": ["permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "busl-1.1": ["the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work"],
+    "unlicense": ["anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "wtfpl": ["you just do what the fuck you want to"],
+    "psf-2.0": ["this license agreement is between the python software foundation"],
+    "php-3.01": ["this source file is subject to version 3.01 of the php license", "this product includes php software, freely available from"],
+    "ofl-1.1": ["this font software is licensed under the sil open font license", "the font software may be sold as part of a larger software package"],
+    "openssl": ["this product includes software developed by the openssl project"],
+    "ncsa": ['permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "software"), to deal with the software'],
+    "postgresql": ["permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"],
+    "ms-rl": ["for any file you distribute that contains code from the software (in source code or binary format), you must provide recipients the source code to that file"],
+    "sspl-1.0": ["if you make the functionality of the program or a modified version available to third parties as a service"],
+    "elastic-2.0": ["you may not provide the software to third parties as a hosted or managed service"],
+    "cc0-1.0": ["to the extent possible under law, the author has waived all copyright and related or neighboring rights", "has dedicated the work to the public domain by waiving all of his or her rights to the work"],
+    "cc-by-4.0": ["this work is licensed under a creative commons attribution 4.0 international license"],
+    "cc-by-sa-4.0": ["this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
+    "cc-by-nc-4.0": ["this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
+    "cc-by-nd-4.0": ["this work is licensed under a creative commons attribution-noderivatives 4.0 international license"],
+    "gfdl-1.3": ["permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"],
+    "odbl-1.0": ["is made available under the open database license"],
+    "hpnd": ["permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted"],
+    "x11": ["except as contained in this notice, the name of the x consortium shall not be used in advertising"],
+    "afl-3.0": ["licensed under the academic free license version 3.0"],
+    "osl-3.0": ["licensed under the open software license version 3.0"],
+    "ecl-2.0": ["licensed under the educational community license, version 2.0"],
+    "upl-1.0": ["to any person obtaining a copy of this software, associated documentation and/or data"],
+    "vim": ["there are no restrictions on distributing unmodified copies of vim"],
+    "w3c": ["by obtaining and/or copying this work, you (the licensee) agree that you have read, understood, and will comply with the following terms and conditions"],
+}
+#: Words of which each title and sentence has one.
+_ANY = ("licen", "permission", "permitted", "distribut", "copyright", "notice", "public", "software", "creative", "international", "attribution", "universal", "rights", "terms", "copies", "clause", "do what the", "work", "package", "products", "program", "vim", "materials", "document")
+
+
+def phrase(text: str) -> str:
+    return r"(?<!\w)" + re.escape(text).replace('"', "[\"'`\u2018\u2019\u201c\u201d]{1,2}").replace(r"\ ", " ") + r"(?!\w|\.\d)"
+
+
 
 def rules() -> list[tuple[int, str, tuple[str, ...], str, str]]:
     """(priority, label, keywords of which one is in any match, a keyword that
     is in every match, pattern), highest priority first."""
     out = [(p, label, (key,), key, pattern) for label, p, key, pattern in SIGNATURES]
+    for priority, texts in ((65, TITLES), (86, SENTENCES)):
+        out += [(priority, label, (max(t.split('"'), key=len),), next(k for k in _ANY if k in max(t.split('"'), key=len)), phrase(t)) for label, held in texts.items() for t in held]
     for label, spdx, names, keys in FAMILIES:
         for priority, must, form in FORMS:
             if "{spdx}" in form:
                 out.append((priority, label, tuple(keys), must, form.format(spdx=spdx)))
             else:
-                out += [(priority, label, tuple(keys), must, form.format(name=f"(?:{name})")) for name in names]
+                # a name that ends in its own "license" isn't followed by another
+                out += [(priority, label, tuple(keys), must, (form if priority > 50 or not _OWN.search(name) else PLAIN).format(name=f"(?:{name})")) for name in names]
+        out += [(50, label, (key,), key, PLAIN.format(name=f"(?:{name})")) for name in names if re.search(r"\d", name) and not _OWN.search(name) for key in keys if name.startswith(key)]
     return sorted(out, key=lambda r: -r[0])
 
 

@@ -107,3 +107,57 @@ def test_wrapped_notices(spark):
     docs = spark.createDataFrame([(i, a + b) for i, (_, a, b) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert all(label in got[i]["labels"].split(",") and got[i]["score"] > 0 for i, (label, _, _) in enumerate(rows))
+
+
+def example(parsed):
+    """The shortest text of a parsed pattern, by its first alternatives."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            out += next((chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else ":" for o, a in arg))
+            if str(arg[0][1]) == "CATEGORY_DIGIT":
+                out = out[:-1] + "1"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += example(arg[2]) * arg[0]
+        elif op == "SUBPATTERN":
+            out += example(arg[3])
+        elif op == "BRANCH":
+            out += example(arg[1][0])
+        elif op == "ANY":
+            out += "x"
+    return out
+
+
+def test_each_rule_matches_an_example():
+    import re
+
+    compiled = [(*rule, re.compile(p, re.S)) for *rule, p in licenses.rules()]
+    keywords = sorted({k for r in compiled for k in (*r[2], r[3])})
+    for priority, label, keys, must, pattern in compiled:
+        text = example(re._parser.parse(pattern.pattern, re.S))
+        assert re.search("licen[sc]e licen", text) is None and must in text and any(k in text for k in keys), (pattern.pattern, text)
+        found = licenses.detect(text, [(priority, label, keys, must, pattern)], keywords)
+        assert [f[2] for f in found] == [label], (pattern.pattern, text)
+    for held in (licenses.TITLES, licenses.SENTENCES):
+        for label, texts in held.items():
+            for text in texts:
+                words = ("x " + text + ".").split()
+                wrapped = "".join(w + (" " if i % 6 else "\n * ") for i, w in enumerate(words))
+                assert label in {f[2] for f in licenses.detect(wrapped, compiled, keywords)}, wrapped
+
+
+def test_plain_mentions():
+    import re
+
+    compiled = [(*rule, re.compile(p, re.S)) for *rule, p in licenses.rules()]
+    keywords = sorted({k for r in compiled for k in (*r[2], r[3])})
+    said = {
+        "Boost Software License - Version 1.0": "bsl-1.0", "Eclipse Public License - v 2.0": "epl-2.0", "Mozilla Public License Version 2.0": "mpl-2.0", "Mozilla Public License, 1.1": "mpl-1.1",
+        "the Business Source License": "busl-1.1", "GNU Lesser General Public License, version 3": "lgpl-3.0", "GNU General Public License v2": "gpl-2.0", "GPLv3": "gpl-3.0", "The Unlicense": "unlicense",
+        "the SIL Open Font License.": "ofl-1.1", "see the Artistic License 2.0": "artistic-2.0", "X11 License": "x11",
+    }
+    for text, label in said.items():
+        assert {f[2] for f in licenses.detect(text.lower(), compiled, keywords)} == {label}, text
