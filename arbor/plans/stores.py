@@ -219,6 +219,7 @@ QUERIES = {
     "commit_storage": (lambda s, d: view(s, d, "commit").select("branch", "depth", "logical", "new_canonical", "new_stored", "new_metadata").orderBy("branch", F.desc("depth")), oracle("SELECT branch, depth, logical, new_canonical, new_stored, new_metadata FROM commit")),
     "digest_reuse": (digest_reuse, "SELECT sha256(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, 'root-' || CAST(max(doc_id) AS STRING) AS root, count(*) AS times FROM documents GROUP BY ALL"),
     "chunk_manifest": (chunk_manifest, "SELECT coalesce(source, 'none') AS content_id, CAST(sum(strlen(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS bytes FROM documents GROUP BY 1"),
+    "chunk_manifest_rows": (lambda s, d: storage.chunk_manifest(_files(s, d)), None),
     "chunk_dedup": (lambda s, d: storage.chunk_dedup(storage.chunk_manifest(_files(s, d))), None),
     "similarity_candidates": (similarity_candidates, None),
     "interval_cover": (interval_cover, oracle('WITH l AS (SELECT pack, slot, sum(length) AS length FROM object_location GROUP BY ALL), p AS (SELECT *, sum(length) OVER (PARTITION BY pack ORDER BY slot) - length AS "offset" FROM l) SELECT pack, slot, CAST("offset" AS BIGINT) AS "offset" FROM p JOIN pack k USING (pack) WHERE "offset" <= 25 AND 25 < "offset" + length')),
