@@ -21,17 +21,48 @@ UNIT = 576
 TAIL = 32
 SCHEME = "media:sha256:"
 
-_MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
-_SILENT = {"script", "style", "head", "template", "noscript"}
+_MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed", "object": "object"}
+#: What may stand in a head; any other tag ends one whose end tag is left out.
+_HEAD = {"html", "head", "title", "base", "link", "meta", "style", "script", "noscript", "template"}
+#: Attributes of a media tag that refer to media, besides lists of candidates and a video's poster.
+_REFERENCES = ("src", "data-src")
+_LISTS = ("srcset", "data-srcset")
+_SILENT = {"script", "style", "template", "noscript"}
 _BREAK = {"p", "div", "article", "section", "li", "ul", "ol", "br", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "figure", "blockquote", "nav", "header", "footer"}
 
 
+def _candidates(value: str) -> list[str]:
+    """The URLs of a srcset: each up to white space, or a comma at its end."""
+    out, rest = [], value.lstrip(" \t\r\n\f,")
+    while rest:
+        url, *rest = rest.split(None, 1)
+        rest = rest[0] if rest else ""
+        if url.endswith(","):
+            url = url.rstrip(",")
+        else:
+            rest = rest.partition(",")[2]
+        if url:
+            out.append(url)
+        rest = rest.lstrip(" \t\r\n\f,")
+    return out
+
+
+def _found(tag: str, attrs: dict) -> list[tuple[str, str]]:
+    """Kind and reference of each medium that a tag refers to, once each."""
+    out = [(_MEDIA[tag], attrs.get(a)) for a in (("data",) if tag == "object" else _REFERENCES)]
+    out += [(_MEDIA[tag], url) for a in _LISTS for url in _candidates(attrs.get(a) or "")]
+    if tag == "video":
+        out.append(("image", attrs.get("poster")))
+    return list(dict.fromkeys((kind, ref) for kind, ref in out if ref))
+
+
 class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
+        self.head = False
         self.caption: list[str] | None = None
         self.figure: list[int] | None = None
 
@@ -42,6 +73,10 @@ class _Sequence(HTMLParser):
             self.items.append({"pos": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif self.head and not self.silent and tag not in _HEAD:
+            self.head = False
         if tag in _SILENT:
             self.silent += 1
         if tag in _BREAK or tag in _MEDIA or tag == "figcaption":
@@ -50,13 +85,17 @@ class _Sequence(HTMLParser):
             self.figure = []
         elif tag == "figcaption":
             self.caption = []
-        elif tag in _MEDIA and (found := dict(attrs)).get("src"):
-            if self.figure is not None:
-                self.figure.append(len(self.items))
-            self.items.append({"pos": len(self.items), "kind": _MEDIA[tag], "text": None, "ref": found["src"], "caption": found.get("alt")})
+        elif tag in _MEDIA:
+            found = dict(attrs)
+            for kind, ref in _found(tag, found):
+                if self.figure is not None:
+                    self.figure.append(len(self.items))
+                self.items.append({"pos": len(self.items), "kind": kind, "text": None, "ref": ref, "caption": found.get("alt")})
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
+        if tag == "head":
+            self.head = False
+        elif tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
@@ -72,7 +111,7 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.silent and not self.head:
             (self.words if self.caption is None else self.caption).append(data)
 
 

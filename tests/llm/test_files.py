@@ -161,3 +161,12 @@ def test_plain_mentions():
     }
     for text, label in said.items():
         assert {f[2] for f in licenses.detect(text.lower(), compiled, keywords)} == {label}, text
+
+
+def test_open_heads_and_other_references():
+    say = lambda html: [(i["kind"], i["text"] or i["ref"]) for i in media.parse(html)]
+    for page in ("<html><head><title>t</title><meta charset=x><body>said", "<head><title>t</title><style>s</style><p>said", "<head><script>x<p></script></head>said", "<head><title>t</title></head><body><p>said"):
+        assert say(page) == [("text", "said")], page
+    assert say('<img src=a srcset="a 1x, b,c 2x ,d"><img data-src=e>') == [("image", "a"), ("image", "b,c"), ("image", "d"), ("image", "e")]
+    assert say("<video src=v poster=p></video><object data=o></object><source srcset='x, y 2x'>") == [("video", "v"), ("image", "p"), ("object", "o"), ("source", "x"), ("source", "y")]
+    assert say("<object></object><img alt=x>") == []
