@@ -13,6 +13,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local_folder() -> str:
+    """A folder that a local session, whose driver is its only executor, shares with itself."""
+    folder = tempfile.mkdtemp(prefix="arbor-shared-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -23,6 +30,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", _local_folder())
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -30,7 +38,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
 
 #: Rows of an Arrow batch: whole texts and sets are long rows, and a batch stands
 #: in the JVM and in Python at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,6 +49,9 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows, "10000")) > BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(size, None) or "").rstrip("b") == str(64 << 20):  # still Spark's own
+        spark.conf.set(size, str(BATCH_BYTES))
     if getattr(sc, "_arbor_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -61,9 +73,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(sc, "_arbor_shared", None)
         if found is None:
-            found = sc._arbor_shared = "file://" + tempfile.mkdtemp(prefix="arbor-shared-")
+            found = sc._arbor_shared = _local_folder()
             sc.setCheckpointDir(found)
-            atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
     return found
 
 
@@ -79,10 +90,35 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this context; for when the results that
     read them have been used or written."""
     sc = spark.sparkContext
+    for name in getattr(sc, "_arbor_tables", ()):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in getattr(sc, "_arbor_scratch", ()):
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    sc._arbor_scratch = []
+        _delete(sc, path)
+    sc._arbor_scratch, sc._arbor_tables = [], []
+
+
+def _delete(sc, path: str) -> None:
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """The place in the list of scratch paths from which later ones stand."""
+    return len(getattr(spark.sparkContext, "_arbor_scratch", ()))
+
+
+def forget(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the scratch paths made after scratch_mark(), but those that the
+    DataFrames kept read: steps whose rows have been used up."""
+    sc = spark.sparkContext
+    used = {f.rpartition("/arbor-")[2].partition("/")[0] for df in kept for f in df.inputFiles()}
+    left = []
+    for path in sc._arbor_scratch[since:]:
+        if path.rpartition("/arbor-")[2] in used:
+            left.append(path)
+        else:
+            _delete(sc, path)
+    sc._arbor_scratch[since:] = left
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
