@@ -20,8 +20,8 @@ SAMPLE = 8192
 #: Rows of a block of candidates and of a block of queries, about.
 CANDIDATES = 8192
 QUERIES = 2048
-#: Candidates of each block that are ranked exactly for a query.
-RERANK = 512
+#: Candidates of each block that are ranked exactly for a query: one in so many, and so many times k at least.
+SHARE, TIMES = 16, 4
 
 
 def _means(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -87,12 +87,12 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 1)
     return c
 
 
-def search_block(q_id, q, c_id, c, code, norm, books, k: int, rerank: int):
+def search_block(q_id, q, c_id, c, code, norm, books, k: int, share: int = SHARE):
     """The k nearest of a block of candidates to each query: (query, candidate,
     distance). Equal vectors of the block are ranked together, all of them."""
     order = np.argsort(c_id, kind="stable")
     c_id, c, code, norm = c_id[order], c[order], code[order], norm[order]
-    c = c + 0.0  # no negative zero
+    q, c = q.astype(np.float64), c.astype(np.float64) + 0.0  # no negative zero
     _, first, of = np.unique(np.ascontiguousarray(c).view(f"V{c.itemsize * c.shape[1]}").ravel(), return_index=True, return_inverse=True)
     members = np.argsort(of, kind="stable")
     ends = np.cumsum(np.bincount(of))
@@ -103,7 +103,7 @@ def search_block(q_id, q, c_id, c, code, norm, books, k: int, rerank: int):
         score = np.broadcast_to(norm, (len(part), len(norm))).astype(np.float32)
         for m, book in enumerate(books):
             score -= 2 * (part.astype(np.float32) @ book.T)[:, code[:, m]]
-        width = min(rerank, len(norm))
+        width = min(max(TIMES * k, len(norm) // share), len(norm))
         best = np.argpartition(score, width - 1, 1)[:, :width] if width < len(norm) else np.broadcast_to(np.arange(len(norm)), score.shape)
         exact = np.sqrt(((one[best] - part.astype(np.float64)[:, None, :]) ** 2).sum(2))
         near = np.argsort(exact, 1, kind="stable")
@@ -122,7 +122,7 @@ def search_block(q_id, q, c_id, c, code, norm, books, k: int, rerank: int):
     return np.array(out_q, np.int64), np.array(out_c, np.int64), np.array(out_d, np.float64)
 
 
-def nearest(vectors: DataFrame, queries, k: int = 10, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, queries, k: int = 10, sample: int = SAMPLE, share: int = SHARE) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest
     rows of vectors(vec_id, embedding) to those of its rows that the condition
     queries picks, by distance, ties by vec_id; a row is not its own neighbour.
@@ -134,19 +134,21 @@ def nearest(vectors: DataFrame, queries, k: int = 10, sample: int = SAMPLE, rera
     spark = vectors.sparkSession
     ship(spark)
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.coalesce(good, F.lit(False)))
+    # floats are kept as they are, anything else as doubles, so that distances are those of the vectors given
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(F.coalesce(good, F.lit(False)))
     rows = rows.withColumn("dim", F.size("embedding"))
     out = None
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).collect()  # a row a length
     for dim, n, q in sorted(counts):
-        found = _nearest(rows.where(F.col("dim") == dim).drop("dim"), queries, dim, n, q, k, sample, rerank)
+        found = _nearest(rows.where(F.col("dim") == dim).drop("dim"), queries, dim, n, q, k, sample, share)
         out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return out
 
 
-def _nearest(rows: DataFrame, queries, dim: int, n: int, q: int, k: int, sample: int, rerank: int) -> DataFrame:
+def _nearest(rows: DataFrame, queries, dim: int, n: int, q: int, k: int, sample: int, share: int) -> DataFrame:
     spark = rows.sparkSession
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().column("embedding").combine_chunks()
     books = spark.sparkContext.broadcast(fit(fitted.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)))  # 1 MB at 64 dimensions
@@ -159,7 +161,7 @@ def _nearest(rows: DataFrame, queries, dim: int, n: int, q: int, k: int, sample:
             sums = sum(book[code[:, m]] for m, book in enumerate(books.value))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([r.tobytes() for r in code]), pa.array((sums * sums).sum(1).astype(np.float32))], names=["vec_id", "embedding", "code", "norm"])
 
-    indexed = written(rows.select("vec_id", "embedding").mapInArrow(index, "vec_id long, embedding array<float>, code binary, norm float"), "aq")
+    indexed = written(rows.select("vec_id", "embedding").mapInArrow(index, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, norm float"), "aq")
     # block pairs: each candidate meets each block of queries once, and the other way round
     part, side = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sides)).cast("int")
     right = indexed.withColumn("part", part).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
@@ -176,7 +178,7 @@ def _nearest(rows: DataFrame, queries, dim: int, n: int, q: int, k: int, sample:
         ids = l.column("vec_id").to_numpy()
         once = np.concatenate([[True], ids[1:] != ids[:-1]])
         code = np.frombuffer(b"".join(r.column("code").to_pylist()), np.uint8).reshape(-1, BOOKS)
-        found = search_block(ids[once], matrix(l)[once], r.column("vec_id").to_numpy(), matrix(r), code, r.column("norm").to_numpy(), books.value, k, rerank)
+        found = search_block(ids[once], matrix(l)[once], r.column("vec_id").to_numpy(), matrix(r), code, r.column("norm").to_numpy(), books.value, k, share)
         return pa.table(list(found), schema=schema)
 
     best = left.groupBy("part", "side").cogroup(right.groupBy("part", "side")).applyInArrow(search, "query_id long, vec_id long, score double")

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -57,16 +57,16 @@ def unpack_words(b: bytes) -> list[str]:
     return [text[s:e] for s, e in zip([0, *ends], ends)]
 
 
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Texts' pre-tokens: hash of each distinct one, each span's code, the
-    distinct ones, and the number of spans of each text."""
+def coded(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts' pre-tokens: each span's code, the distinct ones, and the number
+    of spans of each text."""
     cp, offsets = textnum.code_points(texts)
     start, row = textnum.pre_tokens(cp, offsets)
-    found, first, code = textnum.distinct_spans(cp, start)
+    first, code = textnum.distinct_spans(cp, start)
     whole = "".join(texts)
     end = np.append(start[1:], len(cp))
     words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
-    return found, code, words, np.bincount(row, minlength=len(texts))
+    return code, words, np.bincount(row, minlength=len(texts))
 
 
 def make_blocks(docs: DataFrame, buckets: int, ordered: bool, special: str | None = None) -> DataFrame:
@@ -75,33 +75,26 @@ def make_blocks(docs: DataFrame, buckets: int, ordered: bool, special: str | Non
     special are no text: they part it and are counted in specials."""
 
     def of(ids, texts, sizes_bytes, number):
-        parts, hashes, codes, words, sizes = [], [], [], [], []
-        pieces, owner = [], []
+        known: dict[str, int] = {}
+        codes, sizes, pieces, owner = [], [], [], []
         specials = np.zeros(len(texts), np.int32)
         for i, t in enumerate(texts):
             cut = t.split(special) if special and special in t else [t]
             specials[i] = len(cut) - 1
             pieces += cut
             owner += [i] * len(cut)
-        at = 0
         lens = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         for i, j in chunks(lens, PART_BYTES):
-            h, c, w, n = coded(pieces[i:j])
-            hashes.append(h)
-            codes.append(c + at)
-            words += w
+            c, w, n = coded(pieces[i:j])
+            codes.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w))[c])
             sizes.append(n)
-            at += len(h)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        same, first_of = pd.factorize(h)
-        first = np.empty(len(first_of), np.int64)
-        first[same[::-1]] = np.arange(len(h))[::-1]
-        every = same[np.concatenate(codes)] if codes else np.zeros(0, np.int64)
-        order = np.argsort(-np.bincount(every, minlength=len(first_of)), kind="stable") if len(first_of) else np.zeros(0, np.int64)
+        words = list(known)
+        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         code = rank[every]
-        bucket = (first_of[order] % np.uint64(buckets)).astype(np.int64)
+        bucket = np.fromiter((zlib.crc32(words[x].encode("utf-8", "surrogatepass")) for x in order.tolist()), np.int64, len(order)) % buckets
         n = np.bincount(np.array(owner, np.int64), weights=np.concatenate(sizes) if sizes else None, minlength=len(texts)).astype(np.int64) if pieces else np.zeros(len(texts), np.int64)
         counts = b""
         if not ordered:
@@ -111,7 +104,7 @@ def make_blocks(docs: DataFrame, buckets: int, ordered: bool, special: str | Non
             code, counts = pair % max(1, len(order)), press(times)
         dealt = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1)).tolist()
-        firsts = first[order][dealt].tolist()
+        firsts = order[dealt].tolist()
         packs = [{"bucket": b, "packed": pack_words([words[x] for x in firsts[cuts[b] : cuts[b + 1]]])} for b in range(buckets) if cuts[b] < cuts[b + 1]]
         values = (number, ids, sizes_bytes, specials, n.astype(np.int32), press(code), press(bucket), counts, packs)
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _BLOCKS)], schema=_BLOCKS)
@@ -151,6 +144,8 @@ def bucketed(blocks: DataFrame, tag: str, buckets: int) -> DataFrame:
     spark = blocks.sparkSession
     name = f"arbor_{tag}_{uuid.uuid4().hex}"
     writer = blocks.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, tag))
+    sc = spark.sparkContext
+    sc._arbor_tables = [*getattr(sc, "_arbor_tables", ()), name]
     writer.bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 

@@ -6,6 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Short rows (an id, a digest, a count) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +47,8 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def same(column, i: int = 0, j: int | None = None):
     """Rows i to j of an Arrow column, whole."""
     return column.slice(i, None if j is None else j - i)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -261,19 +261,33 @@ def folded(text: str) -> tuple[str, list[int], list[int]]:
     return "".join([*parts, text[last:]]), ends, gone
 
 
+def uncontained(spans: list[tuple]) -> list[tuple]:
+    """Those of spans (start, end, ...) that lie in no earlier one. What an
+    earlier suppressed span holds lies in the one that suppressed it too, so it is
+    enough to know, of all before, the furthest end by start: a Fenwick tree."""
+    places = {s: i for i, s in enumerate(sorted({x[0] for x in spans}), 1)}
+    furthest, out = [-1] * (len(places) + 1), []
+    for x in spans:
+        at, most = places[x[0]], -1
+        while at:
+            most, at = max(most, furthest[at]), at & (at - 1)
+        if most < x[1]:
+            out.append(x)
+            at = places[x[0]]
+            while at < len(furthest):
+                furthest[at] = max(furthest[at], x[1])
+                at += at & -at
+    return out
+
+
 def detect(text: str, compiled, keywords) -> list[tuple[int, int, str, int]]:
     """Spans, labels and priorities of the rules that match lower-cased text,
     however its lines are wrapped and commented. A detection inside one of
     higher or equal earlier priority is suppressed."""
     text, ends, gone = folded(text)
     near = {k for k in keywords if k in text}
-    found: list[tuple[int, int, str, int]] = []
-    for priority, label, keys, must, pattern in compiled if near else ():
-        if must not in near or near.isdisjoint(keys):
-            continue
-        for m in pattern.finditer(text):
-            if not any(s <= m.start() and m.end() <= e for s, e, _, _ in found):
-                found.append((m.start(), m.end(), label, priority))
+    every = [(m.start(), m.end(), label, priority) for priority, label, keys, must, pattern in (compiled if near else ()) if must in near and not near.isdisjoint(keys) for m in pattern.finditer(text)]
+    found = uncontained(every)
 
     def before(at: int) -> int:
         i = bisect_right(ends, at)

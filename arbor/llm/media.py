@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, table, utf8
+from arbor.llm.common import chunks, few, table, utf8
 from arbor.session import ship, written
 
 UNIT = 576
 #: Bytes at the end of the payload that the tail's checksum covers.
 TAIL = 32
 SCHEME = "media:sha256:"
+#: Digests that a task remembers.
+KNOWN_DIGESTS = 500_000
 
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed", "object": "object"}
 #: What may stand in a head; any other tag ends one whose end tag is left out.
@@ -129,32 +131,48 @@ ITEM = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
 
-def sequences(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """key and items of each row. A null or empty page has no items; repeated
-    rows and null keys give a row each; other columns are ignored."""
+def sequences(pages: DataFrame, key: str, column: str, *keep: str) -> DataFrame:
+    """key, the columns keep and items of each row. A null or empty page has no
+    items; repeated rows and null keys give a row each; other columns are ignored."""
     ship(pages.sparkSession)
 
     def run(batches):
         for b in batches:
-            items = [parse(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items, pa.list_(_ITEM))], names=[key, "items"])
+            for i, j in chunks(utf8(b.column("_html"))[1], 1 << 20):
+                items = [parse(t) for t in b.column("_html").slice(i, j - i).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (key, *keep)), pa.array(items, pa.list_(_ITEM))], names=[key, *keep, "items"])
 
-    rows = pages.select(key, F.col(column).cast("string").alias("_html"))
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, items array<{ITEM}>")
+    rows = pages.select(key, *keep, F.col(column).cast("string").alias("_html"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
+    return rows.mapInArrow(run, f"{kinds}, items array<{ITEM}>")
 
 
-def references(found: DataFrame, key: str) -> DataFrame:
-    """A row for each media reference by digest: key, pos, digest, caption."""
-    item = found.select(key, F.explode("items").alias("i")).where(F.col("i.ref").startswith(SCHEME))
-    return item.select(key, "i.pos", F.substring("i.ref", len(SCHEME) + 1, 64).alias("digest"), "i.caption")
+def references(found: DataFrame, key: str, *keep: str) -> DataFrame:
+    """A row for each media reference by digest: key, the columns keep, how many
+    items its row has, pos, digest, caption."""
+    media = F.filter("items", lambda x: x["ref"].startswith(SCHEME))
+    item = found.select(key, *keep, F.size("items").cast("long").alias("items"), F.explode(media).alias("i"))
+    return item.select(key, *keep, "items", F.col("i.pos").cast("long").alias("pos"), F.substring("i.ref", len(SCHEME) + 1, 64).alias("digest"), "i.caption")
 
 
-def resolve(refs: DataFrame, store: DataFrame) -> DataFrame:
+#: A digest that so many tasks have stored is frequent; its references are dealt over so many.
+FREQUENT, SALTS = 8, 64
+
+
+def resolve(refs: DataFrame, store: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """References with the columns of store that are beside its digest; a
     digest that is not in store gives nulls. Copies of a digest in store count
-    once, so no reference is doubled; a frequent digest is a skewed join, which
-    Spark splits, on the side of the references."""
-    return refs.join(store.dropDuplicates(["digest"]), "digest", "left")
+    once, so no reference is doubled. The references of the digests in
+    frequent(digest) are dealt over several tasks, each with the digest's one row."""
+    once = store.dropDuplicates(["digest"])
+    if frequent is None:
+        return refs.join(once, "digest", "left")
+    marked = few(frequent.select("digest", F.lit(True).alias("_often")))
+    salt = F.pmod(F.xxhash64(*refs.columns), F.lit(SALTS)).cast("int")
+    dealt = refs.join(marked, "digest", "left").withColumn("_salt", F.when(F.col("_often"), salt).otherwise(0)).drop("_often")
+    salts = F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    once = once.join(marked, "digest", "left").withColumn("_salt", F.explode(salts)).drop("_often")
+    return dealt.join(once, ["digest", "_salt"], "left").drop("_salt")
 
 
 # The samples: 8-bit grey, a Netpbm image 576 wide.
@@ -188,11 +206,37 @@ def feature(samples: np.ndarray) -> str:
     return f"{mean:.4f} {deviation:.4f} " + " ".join(f"{c / n:.4f}" for c in count.tolist())
 
 
+def page(text: str, digest: str) -> str:
+    """A document as a page: its lines as paragraphs, and after half of them,
+    rounded up, the image of its payload, captioned with the line before."""
+    lines = [x for x in text.split("\n") if x.split()]
+    half = -(-len(lines) // 2)
+    body = [f"<p>{markup.escape(x, False)}</p>" for x in lines]
+    said = markup.escape(lines[half - 1][:80], False) if lines else "empty"
+    body.insert(half, f'<figure><img src="{SCHEME}{digest}"><figcaption>{said}</figcaption></figure>')
+    return "<html><head><title>page</title></head><body>" + "\n".join(body) + "</body></html>"
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digest of the payload and html of each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for i, j in chunks(utf8(b.column("text"))[1], 1 << 20):
+                texts = [t or "" for t in b.column("text").slice(i, j - i).to_pylist()]
+                raw = [t.encode() for t in texts]
+                digests = [hashlib.sha256(padded(r)).hexdigest() for r in raw]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(r) for r in raw], pa.int64()), pa.array(digests, pa.string()), pa.array(map(page, texts, digests), pa.string())], names=["doc_id", "n_bytes", "digest", "html"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, html string")
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest, html and media of each row of docs(doc_id,
-    text), written to the shared folder. html is the row's page: a figure whose
-    image is named by the payload's digest. media is null where the task has
-    stored the digest before. A null text is empty, and pads to one unit."""
+    """digest and media, the images of the texts of docs(text), in the shared
+    folder. A task stores a digest once while it remembers it; copies made by
+    several tasks are alike. A null text is empty, and pads to one unit."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -201,22 +245,19 @@ def store_texts(docs: DataFrame) -> DataFrame:
             data, offsets = utf8(b.column("text"))
             raw = memoryview(data)
             for i, j in chunks(offsets, 4 << 20):
-                n, digests, pages, media = [], [], [], []
-                ids = b.column("doc_id").slice(i, j - i)
-                for k, doc in enumerate(ids.to_pylist(), i):
-                    text = bytes(raw[offsets[k] : offsets[k + 1]])
-                    payload = padded(text)
+                digests, media = [], []
+                for k in range(i, j):
+                    payload = padded(bytes(raw[offsets[k] : offsets[k + 1]]))
                     name = hashlib.sha256(payload).digest()
-                    n.append(len(text))
-                    digests.append(name.hex())
-                    pages.append(f'<figure><img src="{SCHEME}{name.hex()}"><figcaption>{markup.escape(f"{doc}: {len(text)} bytes")}</figcaption></figure>')
-                    media.append(None if name in stored else to_media(payload))
-                    if len(stored) < 1_000_000:
+                    if name not in stored:
+                        if len(stored) >= KNOWN_DIGESTS:
+                            stored.clear()
                         stored.add(name)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests), pa.array(pages), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "digest", "html", "media"])
+                        digests.append(name.hex())
+                        media.append(to_media(payload))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, html string, media binary"), "media")
+    return written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest string, media binary"), "media")
 
 
 def features(store: DataFrame) -> DataFrame:
@@ -239,14 +280,17 @@ def features(store: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Each row of docs(doc_id, text) through its stored image and its page.
+    """Each row of docs(doc_id, text) through its page and its stored image:
+    items is how many texts and media its page has, position the image's place
+    among them, caption what stands below it.
 
     Repeated rows and null ids give a row each; equal texts share a payload and
     have equal values; other columns are ignored; an empty table gives none."""
-    stored = store_texts(docs)
-    pages = sequences(stored, "doc_id", "html")
-    refs = references(pages, "doc_id").withColumn("n_bytes", F.regexp_extract("caption", r": (\d+) bytes$", 1).cast("long"))
-    return resolve(refs, features(stored)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    refs = references(sequences(pages_of(docs), "doc_id", "html", "n_bytes"), "doc_id", "n_bytes")
+    store = store_texts(docs)
+    often = written(store.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("digest"), "often")
+    found = resolve(refs, features(store), often)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "items", F.col("pos").alias("position"), "caption")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,17 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm.blocks import bucketed, press, spread
-from arbor.llm.common import chunks, table, utf8
+from arbor.llm.common import chunks, few, table, utf8
 from arbor.llm.textnum import U, mix, shingles
-from arbor.session import ship, written
+from arbor.session import forget, scratch_mark, ship, written
 
 #: Matches asked of the heads in the first round.
 HEAD_MATCHES = 32
 #: Matches that a set may choose to ask for.
 LEVELS = (1, 2, 3, 4, 6, 8)
-BLOCK_TOKENS = 1 << 20
-#: Rows of doc_ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BLOCK_TOKENS = 1 << 19
+#: Bytes of text whose shingles stand in memory at once.
+CHUNK_BYTES = 1 << 19
 
 
 def _least(n, num: int, den: int):
@@ -39,49 +39,65 @@ def _least(n, num: int, den: int):
     return -(-num * n // den)
 
 
-def _digest(h: np.ndarray) -> bytes:
-    """128 bits of a set: two sums over its mixed hashes."""
+def _digests(one: np.ndarray, two: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128 bits of each set: sums over the mixed halves of its shingles."""
     with np.errstate(over="ignore"):
-        a = mix(h ^ U(0x5851F42D4C957F2D)).sum(dtype=U)
-        b = mix(h + U(0x14057B7EF767814F)).sum(dtype=U)
-    return a.tobytes() + b.tobytes()
+        a = np.concatenate([[U(0)], np.cumsum(mix(one ^ U(0x5851F42D4C957F2D)), dtype=U)])
+        b = np.concatenate([[U(0)], np.cumsum(mix(two + U(0x14057B7EF767814F)), dtype=U)])
+        at = np.concatenate([[0], ends])
+        both = np.stack([a[at[1:]] - a[at[:-1]], b[at[1:]] - b[at[:-1]]], 1)
+    return [r.tobytes() for r in both]
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int, whole: bool) -> DataFrame:
-    """doc_id, n, digest and tokens of docs: the whole sets, in the order of
-    their hashes, or their heads only."""
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, digest and the head of each row's set: its shingles of least hash."""
 
     def run(batches):
         for b in batches:
             data, offsets = utf8(b.column("text"))
             ids = b.column("doc_id")
-            for i, j in chunks(offsets, 1 << 20):
-                row, h = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                row, one, two = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 n = np.bincount(row, minlength=j - i)
-                digests, tokens, s = [], [], 0
-                for e, m in zip(np.cumsum(n).tolist(), n.tolist()):
-                    own = h[s:e]
-                    least = _least(m, num, den)
-                    digests.append(_digest(own) if m else None)
-                    tokens.append((own if whole else own[: m - least + min(HEAD_MATCHES, least)]).tobytes())
-                    s = e
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "digest", "tokens"])
+                ends = np.cumsum(n)
+                digests = [x if m else None for x, m in zip(_digests(one, two, ends), n.tolist())]
+                heads = [one[e - m : e - _least(m, num, den) + min(HEAD_MATCHES, _least(m, num, den))].tobytes() for e, m in zip(ends.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n", "digest", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, tokens binary")
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])))])
+def _whole_sets(rows: DataFrame, k: int) -> DataFrame:
+    """id, n, tokens and marks (first and second halves, in the order of the
+    first) of those of rows(id, digest, text) whose set has the digest."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8(b.column("text"))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                row, one, two = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                n = np.bincount(row, minlength=j - i)
+                ends = np.cumsum(n)
+                keep = np.flatnonzero([x == y for x, y in zip(_digests(one, two, ends), b.column("digest").slice(i, j - i).to_pylist())])
+                parts = [(int(ends[r] - n[r]), int(ends[r])) for r in keep]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i).take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array([one[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([two[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "n", "tokens", "marks"])
+
+    return rows.select("id", "digest", "text").mapInArrow(run, "id long, n long, tokens binary, marks binary")
+
+
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("marks", pa.binary()), ("codes", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])))])
 
 
 def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> DataFrame:
-    """back(doc_ids, ns, sizes, tokens, df) of each block of sets, df being how
-    many sets hold each token. A token counts once a block before it moves."""
+    """back(ids, ns, sizes, tokens, marks, df) of each block of sets(id, n,
+    tokens, marks), df being how many sets hold each token. A token counts once
+    a block before it moves; marks stay in their block."""
 
     def deal(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        ids, ns, held, size = [], [], [], 0
+        ids, ns, held, marks, size = [], [], [], [], 0
 
         def out():
             flat = np.concatenate([np.frombuffer(x, U) for x in held])
@@ -89,17 +105,18 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> Data
             bucket = ((found >> U(32)) * U(buckets)) >> U(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U)).tolist()
             packs = [{"bucket": x, "tokens": found[s:e].tobytes(), "counts": press(count[s:e])} for x, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, ns, [len(x) // 8 for x in held], press(code), packs), _BLOCK)], schema=_BLOCK)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, ns, [len(x) // 8 for x in held], b"".join(marks), press(code), packs), _BLOCK)], schema=_BLOCK)
 
         for b in batches:
-            for i, n, x in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("tokens")):
+            for i, n, x, y in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), b.column("tokens"), b.column("marks")):
                 ids.append(i)
                 ns.append(n)
                 held.append(x.as_py())
+                marks.append(y.as_py())
                 size += len(held[-1]) // 8
                 if size >= BLOCK_TOKENS:
                     yield out()
-                    block, ids, ns, held, size = block + 1, [], [], [], 0
+                    block, ids, ns, held, marks, size = block + 1, [], [], [], [], 0
         if size:
             yield out()
 
@@ -116,10 +133,10 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> Data
         tokens = np.concatenate([np.frombuffer(p["tokens"], U) for p in packs])
         df = np.concatenate([spread(x)[0] for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("df").to_pylist()))])
         code = spread(left.column("codes")[0].as_py())[0]
-        one = [left.column(c)[0].as_py() for c in ("doc_ids", "ns", "sizes")]
-        return back(*one, tokens[code], df[code])
+        one = [left.column(c)[0].as_py() for c in ("ids", "ns", "sizes")]
+        return back(*one, tokens[code], np.frombuffer(left.column("marks")[0].as_py(), U), df[code])
 
-    blocks = bucketed(sets.select("doc_id", "n", "tokens").where(F.length("tokens") > 0).mapInArrow(deal, "block long, doc_ids array<long>, ns array<long>, sizes array<long>, codes binary, packs array<struct<bucket:int,tokens:binary,counts:binary>>"), tag, buckets)
+    blocks = bucketed(sets.select("id", "n", "tokens", "marks").where(F.length("tokens") > 0).mapInArrow(deal, "block long, ids array<long>, ns array<long>, sizes array<long>, marks binary, codes binary, packs array<struct<bucket:int,tokens:binary,counts:binary>>"), tag, buckets)
     packs = blocks.select("block", F.explode("packs").alias("p")).select("block", "p.bucket", "p.tokens", "p.counts")
     df = packs.groupBy("bucket").applyInArrow(count, "block long, bucket int, df binary")
     return blocks.groupBy("block").cogroup(df.groupBy("block")).applyInArrow(join, schema)
@@ -128,12 +145,12 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> Data
 def _alive(num: int, den: int):
     """Sets whose heads share enough with other sets' heads to have a partner."""
 
-    def back(doc_ids, ns, sizes, tokens, df):
+    def back(ids, ns, sizes, tokens, marks, df):
         row = np.repeat(np.arange(len(sizes)), sizes)
         shared = np.bincount(row, df > 1, len(sizes))
         need = np.minimum(HEAD_MATCHES, _least(np.array(ns), num, den))
         keep = np.flatnonzero(shared >= need)
-        return pa.table([pa.array(np.array(doc_ids)[keep], pa.int64())], names=["doc_id"])
+        return pa.table([pa.array(np.array(ids)[keep], pa.int64())], names=["id"])
 
     return back
 
@@ -154,29 +171,29 @@ def choose_level(df: np.ndarray, unique: int, n: int, least: int, alike: int) ->
     return best[1]
 
 
-_ORDERED = "doc_id long, n long, unique long, level int, prefix array<long>, tokens binary"
+_ORDERED = "id long, n long, unique long, level int, prefix array<long>, tokens binary, marks binary"
 
 
 def _ordered(num: int, den: int):
     """Sets that can have a partner, their shared tokens rarest first: unique
     tokens, which no other set holds, stand before them."""
 
-    def back(doc_ids, ns, sizes, tokens, df):
+    def back(ids, ns, sizes, tokens, marks, df):
         out, s = [], 0
-        for i, n, m in zip(doc_ids, ns, sizes):
-            t, d = tokens[s : s + m], df[s : s + m]
+        for i, n, m in zip(ids, ns, sizes):
+            t, d, z = tokens[s : s + m], df[s : s + m], marks[s : s + m]
             s += m
-            t, d = t[d > 1], d[d > 1]
+            t, d, z = t[d > 1], d[d > 1], z[d > 1]
             unique, least = n - len(t), int(_least(n, num, den))
             if unique > n - least:
                 continue
             order = np.lexsort((t, d))
-            t, d = t[order], d[order]
+            t, d, z = t[order], d[order], z[order]
             level = choose_level(d, unique, n, least, -(-2 * num * n // (num + den)))
-            out.append((i, n, unique, level, t[: n - least + level - unique].view(np.int64), t.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-        columns = list(zip(*out)) if out else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "unique", "level", "prefix", "tokens"])
+            out.append((i, n, unique, level, t[: n - least + level - unique].view(np.int64), t.tobytes(), z.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        columns = list(zip(*out)) if out else [[]] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "n", "unique", "level", "prefix", "tokens", "marks"])
 
     return back
 
@@ -187,68 +204,66 @@ def _need(a: str, b: str, num: int, den: int) -> str:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs(x, y) whose sets are linked."""
+    """Those of pairs(x, y) whose sets are linked, by all 128 bits of their shingles."""
 
     def run(batches):
         for b in batches:
             keep = []
-            last, y = None, None
-            for xn, yn, x, z in zip(b.column("xn").to_pylist(), b.column("yn").to_pylist(), b.column("xt"), b.column("yt")):
-                x, z = x.as_py(), z.as_py()
-                if z is not last:
-                    last, y = z, np.frombuffer(z, U)
-                x = np.frombuffer(x, U)
-                both = np.concatenate([x, y])
-                both.sort()
-                n = int((both[1:] == both[:-1]).sum())
+            columns = [b.column(c) for c in ("xt", "xm", "yt", "ym")]
+            for i, (xn, yn) in enumerate(zip(b.column("xn").to_pylist(), b.column("yn").to_pylist())):
+                xt, xm, yt, ym = (np.frombuffer(c[i].as_buffer(), U) for c in columns)
+                both, marks = np.concatenate([xt, yt]), np.concatenate([xm, ym])
+                order = both.argsort(kind="stable")
+                both, marks = both[order], marks[order]
+                n = int(((both[1:] == both[:-1]) & (marks[1:] == marks[:-1])).sum())
                 keep.append(den * n >= num * (xn + yn - n))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("xn"), F.col("tokens").alias("xt"))
-    two = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("yn"), F.col("tokens").alias("yt"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "yt").mapInArrow(run, "x long, y long")
-
-
-def few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    one = sets.select(F.col("id").alias("x"), F.col("n").alias("xn"), F.col("tokens").alias("xt"), F.col("marks").alias("xm"))
+    two = sets.select(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("tokens").alias("yt"), F.col("marks").alias("ym"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "xm", "yt", "ym").mapInArrow(run, "x long, y long")
 
 
 def links(docs: DataFrame, reps: DataFrame, heads: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links x, y between the sets of reps that connect all that are connected."""
+    """Links x, y between the sets of reps(id, doc_id, digest) that connect all
+    that are connected. A set is known by its id, whatever doc_ids hold it."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = heads.join(reps.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
-    alive = written(_counted(first, "heads", buckets, _alive(num, den), "doc_id long"), "alive")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(few(alive), "doc_id", "left_semi")
-    full = _sets(kept, k, num, den, True)
+    first = heads.join(reps.select("id", "doc_id", "digest"), ["doc_id", "digest"]).withColumn("marks", F.lit(b""))
+    alive = written(_counted(first, "heads", buckets, _alive(num, den), "id long"), "alive")
+    once = alive.groupBy("id").agg(F.count("*").alias("times"))
+    again, alive = not once.where("times > 1").isEmpty(), once.select("id")
+    wanted = written(reps.join(few(alive), "id", "left_semi").select("id", "doc_id", "digest"), "wanted")
+    full = _whole_sets(docs.join(few(wanted), "doc_id"), k)
+    if again:  # rows that repeat doc_id and text
+        full = full.dropDuplicates(["id"])
     sets = written(_counted(full, "sets", buckets, _ordered(num, den), _ORDERED), "ordered")
-    at = sets.select("doc_id", "n", "unique", "level", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + F.col("unique"))
+    at = sets.select("id", "n", "unique", "level", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + F.col("unique"))
 
     # round 1: each set and the least unusual one that holds a token of its prefix
-    lead = at.groupBy("token").agg(F.min(F.struct((F.col("unique") / F.col("n")).alias("rate"), "doc_id", "n", "p")).alias("lead"), F.count("*").alias("times")).where("times > 1")
-    met = at.join(lead.select("token", "lead.*").toDF("token", "rate", "y", "yn", "yp"), "token").where("doc_id <> y")
+    lead = at.groupBy("token").agg(F.min(F.struct((F.col("unique") / F.col("n")).alias("rate"), "id", "n", "p")).alias("lead"), F.count("*").alias("times")).where("times > 1")
+    met = at.join(lead.select("token", "lead.*").toDF("token", "rate", "y", "yn", "yp"), "token").where("id <> y")
     need = _need("n", "yn", num, den)
     met = met.where(f"p <= n - {need} and yp <= yn - {need}")
-    star = met.groupBy("doc_id", "y").agg(F.count("*").alias("times")).groupBy("doc_id").agg(F.max_by("y", F.struct("times", -F.col("y"))).alias("y"))
-    near = written(_verified(star.select(F.col("doc_id").alias("x"), "y"), sets, num, den), "star")
+    star = met.groupBy("id", "y").agg(F.count("*").alias("times")).groupBy("id").agg(F.max_by("y", F.struct("times", -F.col("y"))).alias("y"))
+    near = written(_verified(star.select(F.col("id").alias("x"), "y"), sets, num, den), "star")
 
     # round 2: pairs that these links don't connect already
-    up = near.select(F.col("x").alias("doc_id"), F.col("y").alias("g"))
-    over = up.select(F.col("doc_id").alias("g"), F.col("g").alias("gg"))
-    group = up.join(over, "g", "left").select("doc_id", F.when(F.coalesce("gg", "g") == F.col("doc_id"), F.least("doc_id", "g")).otherwise(F.coalesce("gg", "g")).alias("g"))
-    rows = written(at.join(group, "doc_id", "left").withColumn("g", F.coalesce("g", "doc_id")), "prefixes")
+    up = near.select(F.col("x").alias("id"), F.col("y").alias("g"))
+    over = up.select(F.col("id").alias("g"), F.col("g").alias("gg"))
+    group = up.join(over, "g", "left").select("id", F.when(F.coalesce("gg", "g") == F.col("id"), F.least("id", "g")).otherwise(F.coalesce("gg", "g")).alias("g"))
+    rows = written(at.join(group, "id", "left").withColumn("g", F.coalesce("g", "id")), "prefixes")
     most = rows.groupBy("token", "g").agg(F.count("*").alias("times")).groupBy("token").agg(F.max_by("g", F.struct("times", "g")).alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
     rows = rows.join(most, "token").withColumn("minor", F.col("g") != F.col("most")).drop("most")
     # the smaller of two sets needs no longer a prefix than its least overlap with a set no smaller
     small = f"p < n - {_need('n', 'n', num, den)} + level"
-    x = rows.select("token", *(F.col(c).alias("x" + c) for c in ("doc_id", "n", "p", "level", "g", "minor")))
-    y = rows.where(small).select("token", *(F.col(c).alias("y" + c) for c in ("doc_id", "n", "p", "level", "g", "minor")))
+    x = rows.select("token", *(F.col(c).alias("x" + c) for c in ("id", "n", "p", "level", "g", "minor")))
+    y = rows.where(small).select("token", *(F.col(c).alias("y" + c) for c in ("id", "n", "p", "level", "g", "minor")))
     need = _need("xn", "yn", num, den)
-    fits = f"xg <> yg and (yn < xn or yn = xn and ydoc_id < xdoc_id) and {den} * yn >= {num} * xn and xp < xn - {need} + least(xlevel, ylevel) and yp < yn - {need} + least(xlevel, ylevel)"
+    fits = f"xg <> yg and (yn < xn or yn = xn and yid < xid) and {den} * yn >= {num} * xn and xp < xn - {need} + least(xlevel, ylevel) and yp < yn - {need} + least(xlevel, ylevel)"
     pairs = x.where("xminor").join(y, "token").where(fits).unionAll(x.where("not xminor").join(y.where("yminor"), "token").where(fits))
-    pairs = pairs.groupBy("xdoc_id", "ydoc_id").agg(F.count("*").alias("times"), F.max(F.least("xlevel", "ylevel")).alias("level")).where("times >= level")
-    rest = _verified(pairs.select(F.col("xdoc_id").alias("x"), F.col("ydoc_id").alias("y")), sets, num, den)
+    pairs = pairs.groupBy("xid", "yid").agg(F.count("*").alias("times"), F.max(F.least("xlevel", "ylevel")).alias("level")).where("times >= level")
+    rest = _verified(pairs.select(F.col("xid").alias("x"), F.col("yid").alias("y")), sets, num, den)
     return near.unionAll(written(rest, "rest"))
 
 
@@ -282,19 +297,33 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     words is one shingle; one without words, or null, has none and is alone. A
     null doc_id has a null component_id and is linked with nothing; rows that
     repeat a doc_id have each the component of their own text; other columns are
-    ignored; an empty table gives none. Shingles are told apart by 64 bits,
-    equal sets by 128."""
+    ignored; an empty table gives none. Shingles and sets are told apart by 128
+    bits, made from BLAKE2 digests of the words."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    heads = written(_sets(docs, k, num, den, False), "sets")
+    heads = written(_sets(docs, k, num, den), "sets")
     # exact copies: one set, which goes by its least doc_id
     reps = heads.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     reps = written(reps, "reps")
-    joined = components(links(docs, reps, heads, k, num, den))
-    of_rep = reps.select("digest", F.col("doc_id").alias("rep")).join(joined.select(F.col("node").alias("rep"), "component_id"), "rep", "left")
-    of_rep = of_rep.select("digest", F.coalesce("component_id", "rep").alias("component_id"), "rep")
-    # only copies and members of larger components need to look theirs up
-    told = reps.select("digest", "copies").join(of_rep, "digest").where("copies > 1 or component_id <> rep").select("digest", "component_id")
+    # a doc_id that is the least of several sets can't be the id of each
+    shared, seed, named = reps.groupBy("doc_id").count().where("count > 1"), 0, reps.withColumn("id", F.col("doc_id"))
+    plain = shared.isEmpty()
+    while not plain:
+        named = reps.withColumn("id", F.xxhash64(F.lit(seed), "digest", "n"))
+        if named.groupBy("id").count().where("count > 1").isEmpty():
+            break
+        seed += 1
+    mark = scratch_mark(docs.sparkSession)
+    joined = components(links(docs, named, heads, k, num, den))
+    forget(docs.sparkSession, mark, joined)
+    joined = joined.select(F.col("node").alias("id"), F.col("component_id").alias("root"))
+    of_set = named.select("digest", "copies", "doc_id", "id").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    if plain:
+        of_set = of_set.withColumn("component_id", F.col("root"))
+    else:
+        of_set = of_set.join(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    # only copies, members of larger components and sets of shared ids need to look theirs up
+    told = of_set.where("copies > 1 or component_id <> doc_id").select("digest", "component_id")
     return heads.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(told, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, special: str, s
                     cut = text.split(special) if text and special in text else [text or ""]
                     parts += cut
                     owner += [k] * len(cut)
-                _, code, words, spans = coded(parts)
+                code, words, spans = coded(parts)
                 first, size, flat = word_ids.of(words)
                 each = size[code] if len(code) else np.zeros(0, np.int64)
                 ends = np.cumsum(each)

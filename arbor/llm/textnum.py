@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -47,6 +48,29 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
         return mix((total[end] - total[start]) * q[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
+def exact_codes(values: np.ndarray, mixed: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal spans of values share a code: the first place of each distinct
+    span, in order, and each span's code. A hash of the mixed values groups
+    them; then each is compared, value by value, with the first of its group,
+    and should a hash have met two that differ, they are told apart by their bytes."""
+    code, found = pd.factorize(span_hashes(mixed, start, end))
+    first = np.empty(len(found), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    size, like = end - start, first[code]
+    same = np.array_equal(size, size[like])
+    if same:
+        other = np.flatnonzero(like != np.arange(len(like)))
+        n = size[other]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = np.array_equal(values[np.repeat(start[other], n) + inner], values[np.repeat(start[like[other]], n) + inner])
+    if not same:
+        known: dict[bytes, int] = {}
+        code = np.fromiter((known.setdefault(values[s:e].tobytes(), len(known)) for s, e in zip(start.tolist(), end.tolist())), np.int64, len(start))
+        first = np.empty(len(known), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+    return first, code
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE_WORD = np.ones(256, bool)
@@ -71,62 +95,107 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles of each row, words being runs without
+#: Words whose digests a task remembers.
+KNOWN_WORDS = 100_000
+_digests: dict[bytes, bytes] = {}
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128 bits of BLAKE2 of each word, as two columns of 64."""
+    if len(_digests) + len(words) > KNOWN_WORDS:
+        _digests.clear()
+    out = []
+    for w in words:
+        d = _digests.get(w)
+        if d is None:
+            d = _digests[w] = hashlib.blake2b(w, digest_size=16).digest()
+        out.append(d)
+    if len(_digests) > KNOWN_WORDS:
+        _digests.clear()
+    return np.frombuffer(b"".join(out), U).reshape(-1, 2)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of each k-word shingle of each row, words being runs without
     ASCII white space with A-Z lower-cased; a row of fewer words gives the
-    whole sequence as one, a row without words none. Returns (row, hash), with
-    each row's distinct hashes in ascending order."""
+    whole sequence as one, a row without words none. Returns (row, first half,
+    second half), each row's distinct ones in ascending order."""
     low = LOWER[data]
     start, end, row = word_spans(low, offsets, SPACE_WORD)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    w = span_hashes(_BYTE[low], start, end)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+    at, code = exact_codes(low, _BYTE[low], start, end)
+    raw = low.tobytes()
+    each = word_digests([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())])
     n = len(offsets) - 1
     count = np.bincount(row, minlength=n)
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(w), U)
-        for j in range(k):
-            part = w[j:] if j else w
-            h[: len(part)] += mix(part + U(j) * U(0xE7037ED1A0B428DB)) * U(2 * j + 1)
-        h = mix(h)
     last = np.cumsum(count)
-    keep = np.arange(len(w)) + k <= last[row]
-    short = np.flatnonzero((count > 0) & (count < k))
-    if len(short):  # such a sequence stands at its first word's place
+    keep = np.arange(len(code)) + k <= last[row]
+    short = np.flatnonzero((count > 0) & (count < k))  # such a sequence stands at its first word's place
+    keep[last[short] - count[short]] = True
+    halves = []
+    for half in (0, 1):
+        w = each[code, half]
         with np.errstate(over="ignore"):
-            for r in short:
+            h = np.zeros(len(w), U)
+            for j in range(k):
+                part = w[j:] if j else w
+                h[: len(part)] += mix(part + U(j) * U(0xE7037ED1A0B428DB)) * U(2 * j + 1)
+            for r in short.tolist():
                 s, e = last[r] - count[r], last[r]
-                keep[s] = True
-                h[s] = mix((mix(w[s:e] * U(3) + np.arange(e - s, dtype=U)).sum(dtype=U) ^ U(e - s))[None])[0]
-    out_h, out_r = h[keep], row[keep]
-    ends = np.cumsum(np.bincount(out_r, minlength=n))
+                h[s] = (mix(w[s:e] * U(3) + np.arange(e - s, dtype=U)).sum(dtype=U) ^ U(e - s)) + U(e - s)
+            halves.append(mix(h)[keep])
+    row = row[keep]
+    order = np.empty(len(row), np.int64)
     s = 0
-    for e in ends.tolist():
-        out_h[s:e].sort()
+    for e in np.cumsum(np.bincount(row, minlength=n)).tolist():
+        order[s:e] = halves[0][s:e].argsort() + s
         s = e
-    first = np.ones(len(out_h), bool)
-    first[1:] = (out_h[1:] != out_h[:-1]) | (out_r[1:] != out_r[:-1])
-    return out_r[first], out_h[first]
+    one, two = halves[0][order], halves[1][order]
+    first = np.ones(len(one), bool)
+    first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (row[1:] != row[:-1])
+    return row[first], one[first], two[first]
 
 
 #: Unicode White_Space.
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _class = None
+#: A code point that this Python doesn't know; the libraries' Unicode may be newer.
+_UNKNOWN = 5
 
 
 def _classes() -> np.ndarray:
-    """Of each code point: 0 space, 1 other white space, 2 letter, 3 number, 4 the rest."""
+    """Of each code point: 0 space, 1 other white space, 2 letter, 3 number, 4
+    the rest, 5 unknown here."""
     global _class
     if _class is None:
-        first = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+        names = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8).reshape(-1, 2)
         _class = np.full(0x110000, 4, np.uint8)
-        _class[first == ord("L")] = 2
-        _class[first == ord("N")] = 3
+        _class[names[:, 0] == ord("L")] = 2
+        _class[names[:, 0] == ord("N")] = 3
+        _class[(names == np.frombuffer(b"Cn", np.uint8)).all(1)] = _UNKNOWN
         _class[_WHITE] = 1
         _class[0x20] = 0
     return _class
 
 
+def _known_classes(cp: np.ndarray) -> np.ndarray:
+    """The classes of cp; those unknown here are asked of a library's own
+    pattern, once each."""
+    c = _classes()[cp]
+    if (c == _UNKNOWN).any():
+        import tiktoken
+
+        asked = np.unique(cp[c == _UNKNOWN])
+        _class[asked] = 4
+        for kind, pattern in ((2, r"\p{L}"), (3, r"\p{N}")):
+            e = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            hit = bytes(e.encode_ordinary("".join(map(chr, asked.tolist())))).decode()
+            _class[[ord(x) for x in hit]] = kind
+        c = _class[cp]
+    return c
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts' code points one after another, and len+1 offsets."""
     offsets = np.zeros(len(texts) + 1, np.int64)
@@ -144,7 +213,7 @@ def pre_tokens(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = _classes()[cp]
+    c = _known_classes(cp)
     kind = np.maximum(c, 1)
     new = np.empty(n, bool)  # a run begins
     new[0] = True
@@ -174,12 +243,6 @@ def pre_tokens(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, np.searchsorted(offsets, at, "right") - 1
 
 
-def distinct_spans(cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal spans share a code: hashes of the distinct ones, the first place of
-    each, and each span's code."""
-    end = np.append(start[1:], len(cp))
-    h = span_hashes(_POINT[cp] if not len(cp) or cp.max() < len(_POINT) else mix(cp.astype(U) + U(1)), start, end)
-    code, found = pd.factorize(h)
-    first = np.empty(len(found), np.int64)
-    first[code[::-1]] = np.arange(len(h))[::-1]
-    return found, first, code
+def distinct_spans(cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal spans share a code: the first place of each, and each span's code."""
+    return exact_codes(cp, _POINT[cp] if not len(cp) or cp.max() < len(_POINT) else mix(cp.astype(U) + U(1)), start, np.append(start[1:], len(cp)))

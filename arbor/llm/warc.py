@@ -12,8 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import table, utf8
-from arbor.session import ship, written
+from arbor.llm.common import few, table, utf8
+from arbor.session import scratch, ship, written
 
 #: The magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -23,6 +23,8 @@ DICTIONARY_BYTES = 32 << 10
 #: Bytes of records that an archive's dictionary is built from.
 SAMPLE_BYTES = 2 << 20
 LEVEL = 3
+#: Pages of one payload from which on it is frequent.
+FREQUENT = 1000
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -106,9 +108,8 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "payload": payload}
 
 
-def write(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Archives (archive, records, content) of pages(page_id, url, html), written
-    to the shared folder. Of pages with equal payloads of at least `least` bytes
+def archived(pages: DataFrame, least: int = 0) -> DataFrame:
+    """Archives (archive, records, content) of pages(page_id, url, html). Of pages with equal payloads of at least `least` bytes
     that with the largest page_id is the response, others revisit it.
 
     A null html is an empty payload, a null url is left out. Rows that repeat
@@ -119,8 +120,12 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     told = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    first = told.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("times")).where("times > 1 and kept is not null").drop("times")
-    again = told.select("page_id", "digest").distinct().join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("kept")))
+    told = written(told.select("page_id", "digest").distinct(), "payloads")
+    first = told.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("times")).where("times > 1 and kept is not null")
+    first = written(first, "responses")
+    # a payload of many pages goes to them, they don't meet in one task
+    many = few(first.where(F.col("times") >= FREQUENT).drop("times"))
+    again = told.join(first.where(F.col("times") < FREQUENT).drop("times"), "digest").unionByName(told.join(many, "digest")).where(~F.col("page_id").eqNullSafe(F.col("kept")))
     again = again.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("kept").alias("refers_to"))
     dealt = rows.withColumn("digest", F.sha1(payload)).join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
 
@@ -141,25 +146,65 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["archive", "records", "content"])
 
-    return written(dealt.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long, content binary"), "warc")
+    return dealt.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long, content binary")
+
+
+def _files(uri: str):
+    """The file system and path of a URI below the shared folder."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    uri = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+    return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
+
+
+def save(archives: DataFrame, folder: str) -> DataFrame:
+    """Write archives(archive, records, content) as files below folder, a URI
+    that all executors reach, and return (file, records, bytes), written. A
+    task that runs again writes files of its own: only those listed count."""
+    ship(archives.sparkSession)
+
+    def run(batches):
+        import uuid
+
+        system, top = _files(folder)
+        system.create_dir(top, recursive=True)
+        for b in batches:
+            for name, records, content in zip(b.column("archive").to_pylist(), b.column("records").to_pylist(), b.column("content")):
+                held = content.as_buffer()
+                name = name.replace(".warc.zst", f"-{uuid.uuid4().hex[:12]}.warc.zst")
+                with system.open_output_stream(f"{top}/{name}", compression=None) as f:
+                    f.write(held)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64()), pa.array([held.size], pa.int64())], names=["file", "records", "bytes"])
+
+    return written(archives.select("archive", "records", "content").mapInArrow(run, "file string, records long, bytes long"), "warc-list")
 
 
 READ = [("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"), ("payload", "binary")]
 
 
 def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of archives(content), with their payloads if wanted (a
-    revisit has none)."""
+    """The records of the archives in archives(file), or in archives(content),
+    with their payloads if wanted (a revisit has none)."""
     ship(archives.sparkSession)
     columns = READ if payloads else READ[:-1]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c, kinds[k]) for c, k in columns])
 
+    def loaded(b):
+        if "content" in b.schema.names:
+            yield from (x.as_py() for x in b.column("content"))
+            return
+        for uri in b.column("file").to_pylist():
+            system, path = _files(uri)
+            with system.open_input_stream(path, compression=None) as f:
+                yield f.read()
+
     def run(batches):
         for b in batches:
-            for content in b.column("content"):
+            for content in loaded(b):
                 out, size = [], 0
-                for raw in read_archive(content.as_py()):
+                for raw in read_archive(content):
                     row = parse(raw)
                     if not payloads:
                         del row["payload"]
@@ -171,8 +216,11 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return archives.select("content").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in columns))
+    source = "content" if "content" in archives.columns else "file"
+    return archives.select(source).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in columns))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(write(table(spark, sf_dir, "pages")), payloads=False).drop("url")
+    files = save(archived(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
+    dealt = files.repartition(max(1, files.count()), "file")  # a listing is small, its archives aren't
+    return read(dealt, payloads=False).drop("url")

@@ -8,15 +8,17 @@ import zstandard
 from pyspark.sql import functions as F
 
 from arbor.llm import licenses, media, warc
+from arbor.session import scratch
 from tests.llm.conftest import empty, frame
 
 
 def test_archives_round_trip(spark):
     rows = [(i, f"http://e.com/{i}\r\nX: y", f"<p>page {i % 7}</p>" * 20) for i in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é\r\n\r\nWARC/1.1"), (62, "u", "é\r\n\r\nWARC/1.1"), (None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(5)).withColumn("digest", F.lit("x"))
-    archives = warc.write(pages)
-    got = warc.read(archives).toPandas()
-    assert len(got) == len(rows) and archives.agg(F.sum("records")).first()[0] == len(rows)
+    files = warc.save(warc.archived(pages), scratch(spark, "files"))
+    got = warc.read(files).toPandas()
+    assert sum(r["records"] for r in files.collect()) == len(got) and all(r["file"].endswith(".warc.zst") for r in files.collect())
+    assert len(got) == len(rows) and files.agg(F.sum("records")).first()[0] == len(rows)
     best = {}
     for i, _, h in rows:
         best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
@@ -28,8 +30,8 @@ def test_archives_round_trip(spark):
                 assert r.record_type == "response" and bytes(r.payload) == raw and r.refers_to != r.refers_to
             else:
                 assert r.record_type == "revisit" and r.refers_to == best[h or ""] and not r.payload
-    assert warc.read(warc.write(pages.where("false"))).collect() == []
-    assert {r["record_type"] for r in warc.read(warc.write(pages, 10**6)).collect()} == {"response"}
+    assert warc.read(warc.archived(pages.where("false"))).collect() == []
+    assert {r["record_type"] for r in warc.read(warc.archived(pages, 10**6)).collect()} == {"response"}
 
 
 def test_records_are_frames_of_their_own_behind_a_dictionary():
