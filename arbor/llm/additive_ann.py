@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import table
+from arbor.llm.common import table, tidied
 from arbor.session import ship, written
 
 BOOKS = 16
@@ -161,7 +161,7 @@ def _nearest(rows: DataFrame, queries, dim: int, n: int, q: int, k: int, sample:
             sums = sum(book[code[:, m]] for m, book in enumerate(books.value))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([r.tobytes() for r in code]), pa.array((sums * sums).sum(1).astype(np.float32))], names=["vec_id", "embedding", "code", "norm"])
 
-    indexed = written(rows.select("vec_id", "embedding").mapInArrow(index, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, norm float"), "aq")
+    indexed = written(rows.select("vec_id", "embedding").mapInArrow(tidied(index), f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, norm float"), "aq")
     # block pairs: each candidate meets each block of queries once, and the other way round
     part, side = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(sides)).cast("int")
     right = indexed.withColumn("part", part).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm import textnum
-from arbor.llm.common import chunks, utf8
+from arbor.llm.common import chunks, tidied, utf8
 from arbor.session import scratch, ship
 
 BLOCK_BYTES = 4 << 20
@@ -130,7 +130,7 @@ def make_blocks(docs: DataFrame, buckets: int, ordered: bool, special: str | Non
             yield of(ids, texts, nb, number)
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), BLOCKS)
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -193,5 +193,5 @@ def through_dictionary(docs: DataFrame, tag: str, ordered: bool, special: str |
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema_arrow)], schema=schema_arrow)
 
     words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.packed")
-    coded_words = words.repartition(buckets, "bucket").mapInArrow(coder, "block long, bucket int, coded binary")
+    coded_words = words.repartition(buckets, "bucket").mapInArrow(tidied(coder), "block long, bucket int, coded binary")
     return blocks.drop("words").groupBy("block").cogroup(coded_words.groupBy("block")).applyInArrow(back, schema)

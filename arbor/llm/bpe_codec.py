@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from arbor.llm.blocks import through_dictionary
-from arbor.llm.common import table
+from arbor.llm.common import table, tidied
 from arbor.session import ship
 
 
@@ -114,7 +114,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [flat[s:e].tobytes() if ok else None for s, e, ok in zip(edge, edge[1:], ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

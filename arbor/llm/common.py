@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,3 +54,25 @@ def same(column, i: int = 0, j: int | None = None):
 def few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def tidied(run):
+    """run, a function of an iterator of batches, that gives its memory back
+    when it ends: workers live on, beside those of other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, few, same, table, utf8
+from arbor.llm.common import chunks, few, same, table, tidied, utf8
 from arbor.llm.textnum import LOWER, U, mix
 from arbor.session import ship
 
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     if len(at):
                         yield out(letters, same(b.column("lang"), i, j).take(pa.array(at)), profiles(*cut))
 
-    got = rows.select("text", "lang").mapInArrow(run, "letters int, lang string, at binary, value binary").toArrow()
+    got = rows.select("text", "lang").mapInArrow(tidied(run), "letters int, lang string, at binary, value binary").toArrow()
     got = list(zip(*(got.column(c).to_pylist() for c in ("letters", "lang", "at", "value"))))
     whole = [r for r in got if not r[0]]
     return Model(dense([r[2:] for r in whole]), [r[1] for r in whole], cut=[r for r in got if r[0]])
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [IDENTIFIED])
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidied(run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, same, table, utf8
+from arbor.llm.common import chunks, same, table, tidied, utf8
 from arbor.llm.textnum import LOWER, word_spans
 from arbor.session import ship
 
@@ -344,7 +344,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     out.append((int(words[k]), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, [dict(zip(("start", "end", "label", "priority"), f)) for f in found]))
                 yield pa.RecordBatch.from_arrays([same(b.column("doc_id"), i, j), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(_SCAN)[1:]))], schema=_SCAN)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN + ", detections array<struct<start:long,end:long,label:string,priority:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), SCAN + ", detections array<struct<start:long,end:long,label:string,priority:int>>")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

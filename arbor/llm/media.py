@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, few, table, utf8
+from arbor.llm.common import chunks, few, table, tidied, utf8
 from arbor.session import ship, written
 
 UNIT = 576
@@ -144,7 +144,7 @@ def sequences(pages: DataFrame, key: str, column: str, *keep: str) -> DataFrame:
 
     rows = pages.select(key, *keep, F.col(column).cast("string").alias("_html"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return rows.mapInArrow(run, f"{kinds}, items array<{ITEM}>")
+    return rows.mapInArrow(tidied(run), f"{kinds}, items array<{ITEM}>")
 
 
 def references(found: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -230,7 +230,7 @@ def pages_of(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(r) for r in raw], pa.int64()), pa.array(digests, pa.string()), pa.array(map(page, texts, digests), pa.string())], names=["doc_id", "n_bytes", "digest", "html"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, html string")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_bytes long, digest string, html string")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                         media.append(to_media(payload))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
 
-    return written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest string, media binary"), "media")
+    return written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "digest string, media binary"), "media")
 
 
 def features(store: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def features(store: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return store.where(F.col("media").isNotNull()).select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store.where(F.col("media").isNotNull()).select("digest", "media").mapInArrow(tidied(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm.blocks import bucketed, press, spread
-from arbor.llm.common import chunks, few, table, utf8
+from arbor.llm.common import chunks, few, give_back, table, tidied, utf8
 from arbor.llm.textnum import U, mix, shingles
 from arbor.session import forget, scratch_mark, ship, written
 
@@ -64,12 +64,12 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 heads = [one[e - m : e - _least(m, num, den) + min(HEAD_MATCHES, _least(m, num, den))].tobytes() for e, m in zip(ends.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "n", "digest", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, tokens binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, digest binary, tokens binary")
 
 
-def _whole_sets(rows: DataFrame, k: int) -> DataFrame:
-    """id, n, tokens and marks (first and second halves, in the order of the
-    first) of those of rows(id, digest, text) whose set has the digest."""
+def _whole_sets(k: int):
+    """From batches of (id, digest, text) to id, n, tokens and marks (first and
+    second halves, in the order of the first) of those whose set has the digest."""
 
     def run(batches):
         for b in batches:
@@ -82,16 +82,17 @@ def _whole_sets(rows: DataFrame, k: int) -> DataFrame:
                 parts = [(int(ends[r] - n[r]), int(ends[r])) for r in keep]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i).take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array([one[s:e].tobytes() for s, e in parts], pa.binary()), pa.array([two[s:e].tobytes() for s, e in parts], pa.binary())], names=["id", "n", "tokens", "marks"])
 
-    return rows.select("id", "digest", "text").mapInArrow(run, "id long, n long, tokens binary, marks binary")
+    return run
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("marks", pa.binary()), ("codes", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])))])
 
 
-def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> DataFrame:
+def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str, first=lambda batches: batches) -> DataFrame:
     """back(ids, ns, sizes, tokens, marks, df) of each block of sets(id, n,
     tokens, marks), df being how many sets hold each token. A token counts once
-    a block before it moves; marks stay in their block."""
+    a block before it moves; marks stay in their block. first makes batches of
+    sets of what sets holds, in the same task."""
 
     def deal(batches):
         from pyspark import TaskContext
@@ -107,7 +108,7 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> Data
             packs = [{"bucket": x, "tokens": found[s:e].tobytes(), "counts": press(count[s:e])} for x, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, ns, [len(x) // 8 for x in held], b"".join(marks), press(code), packs), _BLOCK)], schema=_BLOCK)
 
-        for b in batches:
+        for b in first(batches):
             for i, n, x, y in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), b.column("tokens"), b.column("marks")):
                 ids.append(i)
                 ns.append(n)
@@ -131,12 +132,13 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str) -> Data
     def join(key, left, right):
         packs = left.column("packs")[0].as_py()
         tokens = np.concatenate([np.frombuffer(p["tokens"], U) for p in packs])
+        give_back()
         df = np.concatenate([spread(x)[0] for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("df").to_pylist()))])
         code = spread(left.column("codes")[0].as_py())[0]
         one = [left.column(c)[0].as_py() for c in ("ids", "ns", "sizes")]
         return back(*one, tokens[code], np.frombuffer(left.column("marks")[0].as_py(), U), df[code])
 
-    blocks = bucketed(sets.select("id", "n", "tokens", "marks").where(F.length("tokens") > 0).mapInArrow(deal, "block long, ids array<long>, ns array<long>, sizes array<long>, marks binary, codes binary, packs array<struct<bucket:int,tokens:binary,counts:binary>>"), tag, buckets)
+    blocks = bucketed(sets.mapInArrow(tidied(deal), "block long, ids array<long>, ns array<long>, sizes array<long>, marks binary, codes binary, packs array<struct<bucket:int,tokens:binary,counts:binary>>"), tag, buckets)
     packs = blocks.select("block", F.explode("packs").alias("p")).select("block", "p.bucket", "p.tokens", "p.counts")
     df = packs.groupBy("bucket").applyInArrow(count, "block long, bucket int, df binary")
     return blocks.groupBy("block").cogroup(df.groupBy("block")).applyInArrow(join, schema)
@@ -221,7 +223,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     one = sets.select(F.col("id").alias("x"), F.col("n").alias("xn"), F.col("tokens").alias("xt"), F.col("marks").alias("xm"))
     two = sets.select(F.col("id").alias("y"), F.col("n").alias("yn"), F.col("tokens").alias("yt"), F.col("marks").alias("ym"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "xm", "yt", "ym").mapInArrow(run, "x long, y long")
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "xm", "yt", "ym").mapInArrow(tidied(run), "x long, y long")
 
 
 def links(docs: DataFrame, reps: DataFrame, heads: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -229,15 +231,15 @@ def links(docs: DataFrame, reps: DataFrame, heads: DataFrame, k: int, num: int,
     that are connected. A set is known by its id, whatever doc_ids hold it."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = heads.join(reps.select("id", "doc_id", "digest"), ["doc_id", "digest"]).withColumn("marks", F.lit(b""))
+    first = heads.join(reps.select("id", "doc_id", "digest"), ["doc_id", "digest"]).select("id", "n", "tokens", F.lit(b"").alias("marks"))
     alive = written(_counted(first, "heads", buckets, _alive(num, den), "id long"), "alive")
     once = alive.groupBy("id").agg(F.count("*").alias("times"))
     again, alive = not once.where("times > 1").isEmpty(), once.select("id")
     wanted = written(reps.join(few(alive), "id", "left_semi").select("id", "doc_id", "digest"), "wanted")
-    full = _whole_sets(docs.join(few(wanted), "doc_id"), k)
+    full = docs.join(few(wanted), "doc_id").select("id", "digest", "text")
     if again:  # rows that repeat doc_id and text
-        full = full.dropDuplicates(["id"])
-    sets = written(_counted(full, "sets", buckets, _ordered(num, den), _ORDERED), "ordered")
+        full = full.dropDuplicates(["id", "text"])
+    sets = written(_counted(full, "sets", buckets, _ordered(num, den), _ORDERED, _whole_sets(k)), "ordered")
     at = sets.select("id", "n", "unique", "level", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + F.col("unique"))
 
     # round 1: each set and the least unusual one that holds a token of its prefix

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm.blocks import coded
-from arbor.llm.common import chunks, table, utf8
+from arbor.llm.common import chunks, table, tidied, utf8
 from arbor.llm.token_counts import SPECIAL
 from arbor.session import ship, written
 
@@ -20,7 +20,7 @@ WINDOW = 2048
 #: Pieces that one task packs.
 SHARD = 50_000
 #: Pre-tokens whose ids a task remembers; they take about 200 bytes each.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 
 
 class WordIds:
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, special: str, s
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PIECES)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, special: str = SPECIAL, special_id: int = 50256, shard: int = SHARD) -> DataFrame:

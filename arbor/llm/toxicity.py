@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, same, table, utf8
+from arbor.llm.common import chunks, same, table, tidied, utf8
 from arbor.llm.langid import remainder
 from arbor.llm.textnum import _BYTE, LOWER, U, exact_codes, span_hashes, word_spans
 from arbor.session import ship
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(value, pa.float64())], names=[*keep, "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["score double"])
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidied(run), schema)
 
 
 #: A score from here on is toxic.

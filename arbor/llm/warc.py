@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import few, table, utf8
+from arbor.llm.common import few, table, tidied, utf8
 from arbor.session import scratch, ship, written
 
 #: The magic number of the skippable frame that holds a dictionary.
@@ -146,7 +146,7 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["archive", "records", "content"])
 
-    return dealt.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, records long, content binary")
+    return dealt.select("page_id", "url", "html", "refers_to").mapInArrow(tidied(run), "archive string, records long, content binary")
 
 
 def _files(uri: str):
@@ -177,7 +177,7 @@ def save(archives: DataFrame, folder: str) -> DataFrame:
                     f.write(held)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64()), pa.array([held.size], pa.int64())], names=["file", "records", "bytes"])
 
-    return written(archives.select("archive", "records", "content").mapInArrow(run, "file string, records long, bytes long"), "warc-list")
+    return written(archives.select("archive", "records", "content").mapInArrow(tidied(run), "file string, records long, bytes long"), "warc-list")
 
 
 READ = [("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"), ("payload", "binary")]
@@ -217,7 +217,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
     source = "content" if "content" in archives.columns else "file"
-    return archives.select(source).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in columns))
+    return archives.select(source).mapInArrow(tidied(run), ", ".join(f"{c} {k}" for c, k in columns))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
