@@ -120,3 +120,14 @@ def diff_lines(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "n", "op", "line"])
 
     return pairs.mapInPandas(run, "path string, n int, op string, line string")
+
+
+def list_changes(base: DataFrame, live: DataFrame, content: DataFrame) -> DataFrame:
+    """path, change, type and whether a changed file still holds conflict
+    markers, of all that a workspace shows otherwise than its base."""
+    from arbor.operators.scan import marked
+
+    changes = diff_trees(base, live).select("path", "change", "type")
+    files = changes.where("change <> 'Removed'").join(live.where("kind = 1").select("path", "content_id"), "path")
+    held = files.join(marked(content), "content_id", "left_semi").select("path", F.lit(True).alias("held"))
+    return changes.join(held, "path", "left").select("path", "change", "type", F.coalesce("held", F.lit(False)).alias("markers"))

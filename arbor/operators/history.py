@@ -100,6 +100,26 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, forwa
     return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_left = 1").drop("_v", "_left")
 
 
+def as_of_all(left: DataFrame, right: DataFrame, at: str, value: str, step: int, forward: bool = False) -> DataFrame:
+    """as_of() of whole tables, without a key: within ranges of `step` of the
+    axis, and, where a range has nothing to carry, from the ranges before (or
+    behind). What meets in one task is a row a range."""
+    ranged = lambda df: df.withColumn("_range", F.floor(F.col(at) / step))
+    l, r = ranged(left), ranged(right)  # noqa: E741
+    near = as_of(l, r, "_range", at, value, forward)
+    edge = r.groupBy("_range").agg((F.min_by if forward else F.max_by)(value, at).alias("_edge"))
+    order = F.desc("_range") if forward else F.asc("_range")
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    every = edge.unionByName(l.select("_range").distinct().withColumn("_edge", F.lit(None).cast(right.schema[value].dataType)))
+    carried = every.groupBy("_range").agg(F.max("_edge").alias("_edge")).withColumn("_carried", F.last("_edge", ignorenulls=True).over(w)).select("_range", "_carried")
+    return near.join(carried, "_range", "left").withColumn(value, F.coalesce(value, "_carried")).drop("_range", "_carried")
+
+
+def chain_heights(chain: DataFrame) -> DataFrame:
+    """id and height, from 1, of chain(id, parent): pointers double each round."""
+    return lineage(chain).select("id", (F.col("depth") + 1).alias("height"))
+
+
 def revisions(versions: DataFrame, ref: str, order: str) -> DataFrame:
     """ref, order, change, size and object of each version of a file that
     differs from the one before it along first parents."""
@@ -146,7 +166,7 @@ def history_model(commits: DataFrame, newest: int) -> DataFrame:
     shown = commits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= newest).select("id", "branch", "depth").dropDuplicates(["id"])
     # a digest that needs no order: the sum of the rows' own
     digest = F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", "id", "branch", "depth"), 256), 1, 12), 16, 10).cast("decimal(38,0)"))
-    return shown.groupBy("branch").agg(F.count("*").alias("commits"), F.max("depth").alias("newest"), digest.cast("string").alias("version"))
+    return shown.groupBy("branch").agg(F.count("*").alias("commits"), F.max("depth").alias("newest"), digest.cast("decimal(38,0)").cast("string").alias("version"))
 
 
 # rows that a write appends
@@ -176,6 +196,27 @@ def commit_checks(attempts: DataFrame, heads: DataFrame) -> DataFrame:
     return j.select("branch", F.when(F.col("root").eqNullSafe(F.col("at")), "UpToDate").when(~F.col("seen").eqNullSafe(F.col("head")), "Moved").otherwise("Committed").alias("result"))
 
 
+def publish_rows(heads: DataFrame, reach: DataFrame, layers: DataFrame) -> DataFrame:
+    """What publishing heads(branch, id, root, seen) does, in the order of
+    branches, and the layer rows that it appends. UpToDate if a layer's ancestry
+    has the head already; Moved if the newest layer is no more the one seen;
+    NoChanges if its root is the newest layer's; else Added, above the newest."""
+    top = layers.agg(F.max_by("id", "height").alias("top"), F.max_by("root", "height").alias("top_root"), F.coalesce(F.max("height"), F.lit(0)).alias("high"))
+    j = heads.join(absorbed(reach, layers), "id", "left").crossJoin(F.broadcast(top))  # one row
+    result = F.when(F.col("height").isNotNull(), "UpToDate").when(~F.col("seen").eqNullSafe(F.col("top")), "Moved").when(F.col("root").eqNullSafe(F.col("top_root")), "NoChanges").otherwise("Added")
+    return j.select("branch", result.alias("result"), F.when(result == "Added", F.col("high") + 1).otherwise(F.col("height")).alias("layer"), F.when(result == "Added", F.col("top")).alias("parent"), F.when(result == "Added", F.col("id")).alias("source_commit"))
+
+
+def commit_rows(attempts: DataFrame, heads: DataFrame) -> DataFrame:
+    """The commit rows that attempts(branch, seen, root, force) append to
+    heads(branch, id, root): none on an equal root, or where the head has moved
+    and force is not set. A forced commit keeps the parent that was seen, and
+    tells the head that it displaced."""
+    told = commit_checks(attempts, heads).join(attempts, "branch").join(heads.select("branch", "id"), "branch", "left")
+    made = told.where("result = 'Committed' or result = 'Moved' and force")
+    return made.select("branch", F.sha2(F.concat_ws(":", "branch", "seen", F.col("root").cast("string")), 256).alias("id"), F.col("seen").alias("parent"), "root", F.when(F.col("result") == "Moved", F.col("id")).alias("displaced"))
+
+
 def reserve(demands: DataFrame, high: int) -> DataFrame:
     """Half-open ranges of serials from high on for demands(scope, seq, count)."""
     w = Window.partitionBy("scope").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -80,18 +80,33 @@ def decide(sides: DataFrame, rules: list[globs.Rule] = ()) -> DataFrame:
     return out.withColumn("kept_ours", F.when(F.col("pick") == "lww", times["o"] >= times["t"])).withColumn("rule", F.when(F.col("pick") == "lww", F.col("rule")))
 
 
-def merge_metadata(sides: DataFrame) -> DataFrame:
-    """The merged mode and time of entries on all sides: one side's change, else
-    ours; conflict where both changed the mode of what is no directory."""
-    def field(b, f, i):
-        return F.when(f.eqNullSafe(b), i).when(i.eqNullSafe(b), f).otherwise(i)
+def _time(x: str):
+    return F.struct(F.col(f"{x}_mtime_s").alias("s"), F.col(f"{x}_mtime_ns").alias("ns"))
+
+
+def _mode(x: str):
+    return F.col(f"{x}_mode")
+
+
+def _field(of, side):
+    """One side's change, else the decided side's value."""
+    b, o, t = map(of, "bot")
+    return F.when(t.eqNullSafe(b), o).when(o.eqNullSafe(b), t).otherwise(F.when(side == "t", t).otherwise(o))
 
+
+def _mode_clash():
     c = F.col
-    time = lambda x: F.struct(c(f"{x}_mtime_s").alias("s"), c(f"{x}_mtime_ns").alias("ns"))
-    both = sides.where("b_here and o_here and t_here")
-    clash = (c("t_mode") != c("b_mode")) & (c("o_mode") != c("b_mode")) & (c("t_mode") != c("o_mode")) & (c("o_kind") != 2)
-    merged = both.withColumn("time", field(time("b"), time("t"), time("o")))
-    return merged.withColumn("mode", field(c("b_mode"), c("t_mode"), c("o_mode"))).withColumn("mtime_s", c("time.s")).withColumn("mtime_ns", c("time.ns")).withColumn("mode_conflict", clash).drop("time")
+    return (c("t_mode") != c("b_mode")) & (c("o_mode") != c("b_mode")) & (c("t_mode") != c("o_mode")) & (c("o_kind") != 2)
+
+
+def merge_metadata(sides: DataFrame) -> DataFrame:
+    """The merged mode and time of entries on all sides, seconds and nanoseconds
+    together: one side's change, else the side that the entry was decided for
+    (`side`, o or t; ours if there is no such column); conflict where both
+    changed the mode of what is no directory."""
+    side = F.col("side") if "side" in sides.columns else F.lit("o")
+    both = sides.where("b_here and o_here and t_here").withColumn("time", _field(_time, side))
+    return both.withColumn("mode", _field(_mode, side)).withColumn("mtime_s", F.col("time.s")).withColumn("mtime_ns", F.col("time.ns")).withColumn("mode_conflict", _mode_clash()).drop("time")
 
 
 def unit_of(units: list[tuple[str, list[str]]]):
@@ -143,7 +158,9 @@ def merge_texts(texts: DataFrame) -> DataFrame:
 
 def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: DataFrame, rules: list[globs.Rule] = (), units: list[tuple[str, list[str]]] = ()) -> tuple[DataFrame, DataFrame]:
     """The merged tree (path, serial, kind, text, mode, mtime_s, mtime_ns) and
-    its conflicts (path, conflict). texts: content_id -> text of every side.
+    its conflicts (path, conflict, marked), marked being the text with the marker
+    lines of a conflict of texts or of a deletion. texts: content_id -> text of
+    every side.
 
     Entries are decided by serial. A path is the side's that moved the entry,
     ours if both did; a file below a directory that one side moved follows the
@@ -167,13 +184,19 @@ def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: Data
     if units:
         told = unit_decisions(base, ours, theirs, list(units)).select("unit", "kept")
         decided = decided.withColumn("unit", unit_of(list(units))).join(F.broadcast(told), "unit", "left")  # a row a unit
-        decided = decided.withColumn("pick", F.coalesce("kept", "pick")).drop("unit", "kept")
+        decided = decided.withColumn("pick", F.coalesce("kept", "pick")).withColumn("whole", F.col("kept").isNotNull()).drop("unit", "kept")
     decided = written(decided, "decided")
     side = F.when(F.col("pick") == "theirs", "t").when(F.col("pick") == "ours", "o").when(F.col("pick") == "lww", F.when(F.col("kept_ours"), "o").otherwise("t")).when(F.col("pick").isin("text", "modify/delete"), "o").when(F.col("pick") == "delete/modify", "t").otherwise(F.when(F.col("o_here"), "o").otherwise("t"))
     decided = decided.withColumn("side", side)
     take = lambda c: F.when(F.col("side") == "o", F.col(f"o_{c}")).otherwise(F.col(f"t_{c}"))
     kept = decided.withColumn("kind", take("kind")).withColumn("content_id", take("content_id")).withColumn("here", F.coalesce(take("here"), F.lit(False)))
-    kept = kept.withColumn("mode", F.when(F.col("b_here") & F.col("o_here") & F.col("t_here") & F.col("t_mode").eqNullSafe(F.col("b_mode")), F.col("o_mode")).when(F.col("b_here") & F.col("o_here") & F.col("t_here") & F.col("o_mode").eqNullSafe(F.col("b_mode")), F.col("t_mode")).otherwise(take("mode")))
+    # metadata is merged field by field where all sides have the entry, but for a unit, which is one side's whole
+    every = F.col("b_here") & F.col("o_here") & F.col("t_here")
+    if units:
+        every &= ~F.coalesce(F.col("whole"), F.lit(False))
+    own = F.struct(take("mtime_s").alias("s"), take("mtime_ns").alias("ns"))
+    kept = kept.withColumn("time", F.when(every, _field(_time, F.col("side"))).otherwise(own)).withColumn("mode", F.when(every, _field(_mode, F.col("side"))).otherwise(take("mode")))
+    kept = kept.withColumn("mode_conflict", F.coalesce(every & _mode_clash() & (F.col("pick") == "text"), F.lit(False)))
     name = {x: texts.select(F.col("content_id").alias(f"{x}_content_id"), F.col("text").alias(f"{x}_text")) for x in "bot"}
     need = kept.where("pick = 'text'").select("serial", "path", "b_content_id", "o_content_id", "t_content_id")
     for x in "bot":
@@ -181,14 +204,17 @@ def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: Data
     done = merge_texts(need.select(F.col("serial").cast("string").alias("path"), "b_text", "o_text", "t_text"))
     done = done.select(F.col("path").cast("long").alias("serial"), F.col("text").alias("m_text"), "conflict")
     out = kept.where("here").join(texts.select("content_id", "text"), "content_id", "left").join(done, "serial", "left")
-    mtime = lambda c: F.greatest(F.col(f"o_{c}"), F.col(f"t_{c}"))
-    entries = written(out.select("path", "serial", "kind", F.coalesce("m_text", "text").alias("text"), "mode", mtime("mtime_s").alias("mtime_s"), F.coalesce("o_mtime_ns", "t_mtime_ns").alias("mtime_ns"), "pick", "conflict"), "entries")
+    entries = written(out.select("path", "serial", "kind", F.coalesce("m_text", "text").alias("text"), "mode", F.col("time.s").alias("mtime_s"), F.col("time.ns").alias("mtime_ns"), "pick", "conflict", "mode_conflict", F.coalesce("o_here", F.lit(False)).alias("ours")), "entries")
     # two new directories of one name are one; two new files of one name merge as texts without a base
-    dirs = entries.where("kind = 2").groupBy("path").agg(F.min("serial").alias("serial"), F.first("mode").alias("mode"), F.max("mtime_s").alias("mtime_s"), F.max("mtime_ns").alias("mtime_ns"))
+    dirs = entries.where("kind = 2").groupBy("path").agg(F.min("serial").alias("serial"), F.min_by("mode", "serial").alias("mode"), F.max(F.struct("mtime_s", "mtime_ns")).alias("time")).select("path", "serial", "mode", "time.mtime_s", "time.mtime_ns")
     files = entries.where("kind <> 2")
-    clash = files.groupBy("path").agg(F.min_by("text", "serial").alias("a"), F.max_by("text", "serial").alias("z"), F.count("*").alias("times"), F.min("serial").alias("keep"))
-    add = clash.where("times > 1 and a <> z").select("path", F.lit("add/add").alias("conflict"))
-    files = files.join(clash.select("path", "keep"), "path").where("serial = keep").drop("keep")
+    clash = files.groupBy("path").agg(F.min_by("text", F.struct(~F.col("ours"), "serial")).alias("o_text"), F.max_by("text", F.struct(~F.col("ours"), "serial")).alias("t_text"), F.count("*").alias("times"), F.min_by("serial", F.struct(~F.col("ours"), "serial")).alias("keep"), F.bool_and(F.col("kind") == 1).alias("plain"))
+    clash = written(clash.where("times > 1"), "clash")
+    added = written(merge_texts(clash.where("plain and o_text <> t_text").select("path", F.lit(None).cast("string").alias("b_text"), "o_text", "t_text")), "added")
+    files = files.join(clash.select("path", "keep"), "path", "left").where("keep is null or serial = keep").drop("keep")
+    files = files.join(added.select("path", F.col("text").alias("both"), F.col("conflict").alias("clashed")), "path", "left")
+    files = files.withColumn("text", F.coalesce("both", "text")).withColumn("conflict", F.coalesce("conflict", "clashed")).drop("both", "clashed")
+    unlike = clash.where("not plain").select("path", F.lit("type").alias("conflict"))
     # a directory that a kept file needs comes back; a file stands where a directory was
     above = files.select(F.explode(paths.parents(F.col("path"))).alias("path")).distinct()
     lost = three.where("b_kind = 2").select(F.col("b_path").alias("path"), F.col("serial"), F.col("b_mode").alias("mode"), F.col("b_mtime_s").alias("mtime_s"), F.col("b_mtime_ns").alias("mtime_ns"))
@@ -197,7 +223,51 @@ def merged_tree(base: DataFrame, ours: DataFrame, theirs: DataFrame, texts: Data
     hidden = files.select("path", F.explode(paths.parents(F.col("path"))).alias("above")).join(files.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
     files = files.join(hidden, "path", "left_anti")
     tree = files.select("path", "serial", "kind", "text", "mode", "mtime_s", "mtime_ns").unionByName(dirs.unionByName(revived.select(*dirs.columns)).join(files.select("path"), "path", "left_anti").withColumn("kind", F.lit(2)).withColumn("text", F.lit(None).cast("string")))
-    conflicts = files.where("conflict is not null").select("path", "conflict").unionAll(entries.where("pick in ('modify/delete', 'delete/modify', 'type') and kind <> 2").select("path", F.col("pick").alias("conflict")).join(hidden, "path", "left_anti")).unionAll(add)
+    conflicts = files.where("conflict is not null").select("path", "conflict").unionAll(entries.where("pick in ('modify/delete', 'delete/modify', 'type') and kind <> 2").select("path", F.col("pick").alias("conflict")).join(hidden, "path", "left_anti")).unionAll(unlike)
+    conflicts = conflicts.unionAll(files.where("mode_conflict").select("path", F.lit("mode").alias("conflict")))
     # a file that both sides moved, to different places
     conflicts = conflicts.unionAll(decided.where("b_here and o_here and t_here and o_path <> b_path and t_path <> b_path and o_path <> t_path and b_kind = 2").select("path", F.lit("type").alias("conflict")))
-    return tree, conflicts.distinct()
+    text = files.where("kind = 1").select("path", "text")
+    marked = F.when(F.col("conflict").isin("content", "add/add"), F.col("text")).when(F.col("conflict") == "modify/delete", deletion_markers(F.col("text"), True)).when(F.col("conflict") == "delete/modify", deletion_markers(F.col("text"), False))
+    return tree, conflicts.distinct().join(text, "path", "left").select("path", "conflict", marked.alias("marked"))
+
+
+def deletion_markers(text, kept_ours: bool, labels: tuple[str, str] = ("ours", "theirs")):
+    """A text that one side deleted, marked: a column."""
+    ours, theirs = L.OPEN + labels[0], L.CLOSE + labels[1]
+    parts = (ours, text, L.SEPARATOR, theirs + " (deleted)") if kept_ours else (ours + " (deleted)", L.SEPARATOR, text, theirs)
+    return F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+def rules_of(tree: DataFrame, texts: DataFrame, path: str = "/.lww") -> list[globs.Rule]:
+    """The rules that a tree has in its rule file; none if it has no such file.
+    A rule file is one short text."""
+    found = tree.where((F.col("path") == path) & (F.col("kind") == 1)).join(texts, "content_id").select("text").first()
+    lines = (found["text"] if found else "").split("\n")
+    return [globs.rule(x.strip()) for x in lines if x.strip() and not x.lstrip().startswith(("#", "%"))]
+
+
+def commit_merge(base: DataFrame, head: DataFrame, mine: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A commit whose branch has moved meanwhile: what was written since base is
+    merged onto the head, by the rules of the tree that is committed."""
+    return merged_tree(base, head, mine, texts, rules_of(mine, texts))
+
+
+def merge_outcomes(pairs: DataFrame, reach: DataFrame, bases: DataFrame) -> DataFrame:
+    """What merging each of pairs(a, b, l, r), branches and their heads, comes
+    to: InvalidInput for a branch with itself; FastForward to the newer head if
+    one holds the other already; else Merge from base, or Unrelated."""
+    up = reach.select(F.col("node").alias("l"), F.col("ancestor").alias("r"), F.lit(True).alias("held"))
+    down = reach.select(F.col("ancestor").alias("l"), F.col("node").alias("r"), F.lit(True).alias("behind"))
+    j = pairs.join(up, ["l", "r"], "left").join(down, ["l", "r"], "left").join(bases, ["l", "r"], "left")
+    result = F.when(F.col("a") == F.col("b"), "InvalidInput").when(F.col("held") | F.col("behind"), "FastForward").when(F.col("base").isNotNull(), "Merge").otherwise("Unrelated")
+    head = F.when(F.col("a") == F.col("b"), None).when(F.col("held"), F.col("l")).when(F.col("behind"), F.col("r"))
+    return j.select("a", "b", result.alias("result"), head.alias("head"), F.when(result == "Merge", F.col("base")).alias("base"))
+
+
+def merge_commits(outcomes: DataFrame, heads: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The commit rows that clean merges append: parents are both heads; a pair
+    with conflicts(a, b) appends none."""
+    clean = outcomes.where("result = 'Merge'").join(conflicts.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    l, r = heads.select(F.col("branch").alias("a"), F.col("id").alias("parent")), heads.select(F.col("branch").alias("b"), F.col("id").alias("second_parent"))  # noqa: E741
+    return clean.join(l, "a").join(r, "b").select(F.sha2(F.concat_ws(":", "parent", "second_parent"), 256).alias("id"), F.col("a").alias("branch"), "parent", "second_parent", "base")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import globs, paths
+from arbor.session import written
 
 KINDS = {1: "file", 2: "dir", 3: "symlink"}
 #: Characters of a line that grep shows.
@@ -53,6 +54,18 @@ def read(tree: DataFrame, content: DataFrame, path: str, start: int = 1, end: in
     return lines(content.join(F.broadcast(file.select("content_id")), "content_id", "left_semi")).join(F.broadcast(file), "content_id").where(F.col("n").between(start, last)).select("path", "n", "line")
 
 
+def read_window(tree: DataFrame, content: DataFrame, demands: DataFrame, most: int = 2000) -> DataFrame:
+    """For demands(path, start, end): the file's size and lines, the last line of
+    the window (at most `most`, a fixed value of the interface) and the next one
+    to read, null at the end; a null end is the file's."""
+    files = tree.where("kind = 1").select("path", "content_id", "size").join(demands, "path")
+    ended = F.col("text").endswith("\n")
+    total = F.when(F.length("text") == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + F.when(ended, 0).otherwise(1))
+    j = files.join(content.select("content_id", total.alias("lines")), "content_id")
+    last = F.least(F.coalesce("end", "lines"), F.col("start") + most - 1, "lines")
+    return j.select("path", "size", F.col("lines").cast("long").alias("lines"), last.cast("long").alias("last"), F.when(last < F.col("lines"), last + 1).cast("long").alias("next"))
+
+
 def glob(tree: DataFrame, pattern: str, top: str = "/") -> DataFrame:
     """Entries whose whole path matches; the literal directories that an anchored
     pattern begins with reach the scan as a prefix."""
@@ -118,18 +131,19 @@ def marked(content: DataFrame) -> DataFrame:
     return n.where(F.col("line").startswith(">>>>>>> ")).join(middle, "content_id").where("n > b").select("content_id").distinct()
 
 
-def climb(tree: DataFrame, top_down: int = 256) -> DataFrame:
-    """serial and path by climbing from child to parent binding: one join a
-    level, as many levels as the tree has."""
+def climb(tree: DataFrame) -> DataFrame:
+    """serial and path by climbing from child to parent binding: what is known
+    of the way up doubles each round, so that rounds grow with the logarithm of
+    the depth, whatever it is."""
     names = tree.select(F.col("serial").alias("child"), "path", "parent_path", "name")
-    up = names.select(F.col("path").alias("at"), F.col("parent_path").alias("above"), F.col("name").alias("part"))
-    now = names.where("path <> '/'").select("child", F.col("parent_path").alias("next"), F.concat(F.lit("/"), "name").alias("built"))
-    done = names.where("path = '/'").select("child", F.lit("/").alias("built"))
-    levels = min(top_down, tree.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0)
-    for _ in range(levels):
-        done = done.unionAll(now.where("next = '/'").select("child", "built"))
-        now = now.where("next <> '/'").join(up, F.col("next") == F.col("at")).select("child", F.col("above").alias("next"), F.concat(F.lit("/"), "part", "built").alias("built"))
-    return done.select(F.col("child").alias("serial"), F.col("built").alias("path"))
+    way = names.where("path <> '/'").select("child", F.col("path").alias("at"), F.col("parent_path").alias("next"), F.concat(F.lit("/"), "name").alias("built"))
+    root = names.where("path = '/'").select("child", F.lit("/").alias("built"))
+    way = written(way, "climb")
+    while not way.where("next <> '/'").isEmpty():
+        up = way.select(F.col("at").alias("next"), F.col("next").alias("above"), F.col("built").alias("front"))
+        step = way.where("next <> '/'").join(up, "next").select("child", "at", F.col("above").alias("next"), F.concat("front", "built").alias("built"))
+        way = written(way.where("next = '/'").unionAll(step), "climb")
+    return root.unionAll(way.select("child", "built")).select(F.col("child").alias("serial"), F.col("built").alias("path"))
 
 
 def with_attributes(tree: DataFrame, attributes: DataFrame) -> DataFrame:

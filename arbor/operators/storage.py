@@ -78,6 +78,33 @@ def chunk_dedup(manifest: DataFrame) -> DataFrame:
     return once.agg(F.count("*").alias("chunks"), F.sum(F.col("length") * F.col("uses")).alias("logical"), F.sum("length").alias("stored"), F.max("length").alias("longest"))
 
 
+def extent_changes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """content_id, offset and length of the bytes that differ between two
+    manifests(content_id, offset, length, chunk_id): extents that both have at
+    one place are shared and never read; those of one side alone are told by side."""
+    keys = ["content_id", "offset", "length", "chunk_id"]
+    a = left.join(right, keys, "left_anti").select(*keys, F.lit("left").alias("side"))
+    return a.unionAll(right.join(left, keys, "left_anti").select(*keys, F.lit("right").alias("side")))
+
+
+def edited_manifest(manifest: DataFrame, edits: DataFrame, cut: int) -> DataFrame:
+    """manifest(content_id, offset, length, chunk_id) after edits(content_id, at,
+    removed, data), at most one of a content: extents wholly before or behind the
+    edit stay, those behind shifted; the ends of extents that it cuts and its own
+    bytes, in pieces of at most `cut`, are new, named by place (their bytes are to
+    be read, which those of the others are not)."""
+    e = edits.select("content_id", "at", "removed", F.octet_length("data").cast("long").alias("n"), F.sha2("data", 256).alias("named"))
+    j = manifest.join(e, "content_id", "left")
+    end, stop, shift = F.col("offset") + F.col("length"), F.col("at") + F.col("removed"), F.col("n") - F.col("removed")
+    before = j.where(F.col("at").isNull() | (end <= F.col("at"))).select("content_id", "offset", "length", "chunk_id", F.lit(True).alias("reused"))
+    behind = j.where(F.col("offset") >= stop).where(end > F.col("at")).select("content_id", (F.col("offset") + shift).alias("offset"), "length", "chunk_id", F.lit(True).alias("reused"))
+    head = j.where((F.col("offset") < F.col("at")) & (end > F.col("at"))).select("content_id", "offset", (F.col("at") - F.col("offset")).alias("length"), F.concat_ws(":", "chunk_id", F.lit("0")).alias("chunk_id"), F.lit(False).alias("reused"))
+    tail = j.where((F.col("offset") < stop) & (end > stop)).select("content_id", (stop + shift).alias("offset"), (end - stop).alias("length"), F.concat_ws(":", "chunk_id", (stop - F.col("offset")).cast("string")).alias("chunk_id"), F.lit(False).alias("reused"))
+    piece = e.where("n > 0").select("content_id", "at", "n", "named", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(cut).cast("long"))).alias("k"))
+    own = piece.select("content_id", (F.col("at") + F.col("k")).alias("offset"), F.least(F.lit(cut).cast("long"), F.col("n") - F.col("k")).alias("length"), F.concat_ws(":", "named", F.col("k").cast("string")).alias("chunk_id"), F.lit(False).alias("reused"))
+    return before.unionAll(behind).unionAll(head).unionAll(tail).unionAll(own)
+
+
 def covering(manifest: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     """wanted(by, at) with the piece of manifest(by, offset, length, ...) that
     holds byte `at`: an equi join on `by`, the range within it."""

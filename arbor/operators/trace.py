@@ -70,6 +70,28 @@ def flatten_timings(trees: DataFrame) -> DataFrame:
     return trees.withColumn("levels", F.expr(level)).select("id", F.posexplode(F.arrays_zip("nodes", "levels")).alias("index", "z")).select("id", "index", "z.nodes.name", "z.nodes.parent", "z.nodes.micros", F.col("z.levels").alias("level"))
 
 
+def rebuild_timings(flat: DataFrame, most: int = 256) -> DataFrame:
+    """id, nodes (in pre-order, parents by their place among those kept) and
+    omitted, from the rows of flatten_timings(). A tree keeps at most `most`
+    nodes, a fixed value of the interface: the shallowest levels that fit whole;
+    what is left out is counted."""
+    level = flat.groupBy("id", "level").agg(F.count("*").alias("n"))
+    total = level.withColumn("upto", F.sum("n").over(Window.partitionBy("id").orderBy("level")))
+    deepest = total.groupBy("id").agg(F.max(F.when(F.col("upto") <= most, F.col("level"))).alias("deepest"), F.sum("n").alias("n"))
+    kept = flat.join(deepest, "id").where("level <= deepest")
+    kept = kept.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("index")) - 1)
+    place = kept.select("id", F.col("index").alias("parent"), F.col("at").alias("up"))
+    node = kept.join(place, ["id", "parent"], "left").select("id", "n", F.struct("at", "name", F.coalesce("up", F.lit(-1)).alias("parent"), "micros").alias("node"))
+    nodes = F.transform(F.sort_array(F.collect_list("node")), lambda x: F.struct(x["name"], x["parent"], x["micros"]))
+    return node.groupBy("id").agg(nodes.alias("nodes"), (F.first("n") - F.count("*")).alias("omitted"))
+
+
+def observed_calls(trace: DataFrame, observed: DataFrame) -> DataFrame:
+    """Calls of trace(id, scope, ...) with the sections that were observed of
+    their scope; null where none were, never empty."""
+    return trace.join(observed, "scope", "left")
+
+
 def read_model(workspaces: DataFrame, branches: DataFrame) -> DataFrame:
     """Workspaces with whether their branch's head has moved since; null where
     the branch is unknown."""

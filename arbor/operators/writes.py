@@ -126,7 +126,100 @@ def chmod(tree: DataFrame, path: str, mode: int) -> DataFrame:
     return tree.withColumn("mode", F.when(F.col("path") == path, mode).otherwise(F.col("mode")))
 
 
-OPS = {"write": write, "edit": edit, "mkdir": mkdir, "rm": remove, "mv": move, "cp": copy, "chmod": chmod}
+# operations of a workspace, by path
+
+
+def symlink(tree: DataFrame, path: str, target: str) -> DataFrame:
+    """A symbolic link; its text is the target, its mode fixed."""
+    _need_parent(tree, path)
+    if _at(tree, path) is not None:
+        raise Refused("AlreadyExists", path)
+    row = tree.sparkSession.range(1).select(F.lit(path).alias("path"), F.lit(3).alias("kind"), F.lit(target).alias("text"), F.lit(0o777).alias("mode"), F.lit(_next_serial(tree)).cast("long").alias("serial"))
+    return tree.select("path", "kind", "text", "mode", "serial").unionAll(row)
+
+
+def link(tree: DataFrame, path: str, to: str) -> DataFrame:
+    """One more name of a file or link, with its serial; directories have one name."""
+    was = _at(tree, path)
+    if was is None:
+        raise Refused("NotFound", path)
+    if was["kind"] == 2:
+        raise Refused("IsDirectory", path)
+    _need_parent(tree, to)
+    if _at(tree, to) is not None:
+        raise Refused("AlreadyExists", to)
+    return tree.unionByName(tree.where(F.col("path") == path).withColumn("path", F.lit(to)))
+
+
+def unlink(tree: DataFrame, path: str) -> DataFrame:
+    """One name less of what is no directory."""
+    was = _at(tree, path)
+    if was is None:
+        raise Refused("NotFound", path)
+    if was["kind"] == 2:
+        raise Refused("IsDirectory", path)
+    return tree.where(F.col("path") != path)
+
+
+def _empty(tree: DataFrame, path: str) -> bool:
+    return tree.where(F.col("path").startswith(path.rstrip("/") + "/") & (F.col("path") != path)).isEmpty()
+
+
+def rmdir(tree: DataFrame, path: str) -> DataFrame:
+    """An empty directory."""
+    was = _at(tree, path)
+    if was is None or path == "/":
+        raise Refused("NotFound" if was is None else "InvalidInput", path)
+    if was["kind"] != 2:
+        raise Refused("NotDirectory", path)
+    if not _empty(tree, path):
+        raise Refused("NotEmpty", path)
+    return tree.where(F.col("path") != path)
+
+
+def rename(tree: DataFrame, path: str, to: str, replace: bool = True) -> DataFrame:
+    """Another path for an entry and all below it. With replace, a file takes
+    the place of a file, a directory that of an empty one; else what is there
+    refuses it. A directory can't go below itself; two names of one inode stay."""
+    was, there = _at(tree, path), _at(tree, to)
+    if was is None or path == "/":
+        raise Refused("NotFound" if was is None else "InvalidInput", path)
+    if to.startswith(path + "/"):
+        raise Refused("InvalidInput", to)
+    _need_parent(tree, to)
+    if there is not None:
+        if not replace:
+            raise Refused("AlreadyExists", to)
+        if there["serial"] == was["serial"]:
+            return tree
+        if was["kind"] == 2 and there["kind"] != 2:
+            raise Refused("NotDirectory", to)
+        if was["kind"] != 2 and there["kind"] == 2:
+            raise Refused("IsDirectory", to)
+        if there["kind"] == 2 and not _empty(tree, to):
+            raise Refused("NotEmpty", to)
+        tree = tree.where(F.col("path") != to)
+    return tree.withColumn("path", F.when(paths.below(F.col("path"), path), _moved(path, to)).otherwise(F.col("path")))
+
+
+def set_attributes(tree: DataFrame, path: str, mode: int | None = None, size: int | None = None) -> DataFrame:
+    """chmod and truncation of one inode, under all its names; a longer size
+    fills with NUL characters."""
+    was = _at(tree, path)
+    if was is None:
+        raise Refused("NotFound", path)
+    if size is not None and (was["kind"] != 1 or size < 0):
+        raise Refused("IsDirectory" if was["kind"] == 2 else "InvalidInput", path)
+    here = F.col("serial") == was["serial"]
+    if mode is not None:
+        chmod(tree, path, mode)  # refuses what is no mode of this kind
+        tree = tree.withColumn("mode", F.when(here, mode).otherwise(F.col("mode")))
+    if size is not None:
+        tree = tree.withColumn("text", F.when(here, F.rpad("text", size, "\0")).otherwise(F.col("text")))
+    return tree
+
+
+OPS = {"write": write, "edit": edit, "mkdir": mkdir, "rm": remove, "mv": move, "cp": copy, "chmod": chmod, "symlink": symlink, "link": link, "unlink": unlink, "rmdir": rmdir, "rename": rename, "setattr": set_attributes}
 
 
 def apply(tree: DataFrame, changes: list[tuple]) -> DataFrame:
@@ -138,3 +231,15 @@ def apply(tree: DataFrame, changes: list[tuple]) -> DataFrame:
         except Refused as e:
             raise Refused(*e.args, i) from e
     return tree
+
+
+def apply_result(tree: DataFrame, changes: list[tuple], branch: str = "") -> tuple[str, DataFrame]:
+    """apply(), and whether it changed anything: Committed or UpToDate. The main
+    line is read only: it changes by publishing."""
+    if branch == "main":
+        raise Refused("ReadOnly", branch)
+    after = apply(tree, changes)
+    columns = ["path", "kind", "text", "mode", "serial"]
+    digest = lambda t: t.select(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s"))
+    same = digest(tree).first() == digest(after).first()
+    return ("UpToDate" if same else "Committed"), after

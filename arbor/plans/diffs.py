@@ -91,7 +91,12 @@ def merge_text(s, d):
 
 def merge_trees(s, d):
     tree, conflicts = merge.merged_tree(_t(s, d), _t(s, d, "ours"), _t(s, d, "theirs"), _texts(s, d))
-    return tree.join(conflicts, "path", "left").select("path", "kind", F.sha2("text", 256).alias("text_id"), "mode", "conflict")
+    return tree.where("kind = 1").join(conflicts, "path", "left").select("path", F.sha2("text", 256).alias("text_id"), "mode", "mtime_s", "mtime_ns", "conflict", F.sha2("marked", 256).alias("marked_id"))
+
+
+def list_changes(s, d):
+    live = view(s, d, "content_theirs").withColumn("text", F.when(F.col("text").startswith("THEIRS"), F.concat(F.lit("<<<<<<< a\n=======\n>>>>>>> b\n"), "text")).otherwise(F.col("text")))
+    return diff.list_changes(_t(s, d), _t(s, d, "theirs"), live)
 
 
 _HEADED = "SELECT doc_id, o.text AS o, t.text AS t, b.text AS b FROM files_ours o JOIN files_theirs t USING (doc_id) LEFT JOIN files_base b USING (doc_id) WHERE o.text <> t.text"
@@ -118,5 +123,15 @@ QUERIES = {
         CASE WHEN count(*) FILTER (WHERE NOT {_same_sql("b", "o")}) > 0 AND count(*) FILTER (WHERE NOT {_same_sql("b", "t")}) > 0 THEN CASE WHEN max(o_mtime_s) FILTER (WHERE NOT {_same_sql("b", "o")}) >= max(t_mtime_s) FILTER (WHERE NOT {_same_sql("b", "t")}) THEN 'ours' ELSE 'theirs' END END AS kept FROM u s WHERE unit IS NOT NULL GROUP BY unit""")),
     "merge_text": (merge_text, oracle(f"""SELECT CAST(doc_id AS STRING) AS path, sha256(CASE WHEN b = o THEN t WHEN b = t THEN o ELSE '<<<<<<< ours' || chr(10) || 'OURS' || chr(10) || '=======' || chr(10) || 'THEIRS' || chr(10) || '>>>>>>> theirs' || chr(10) || b END) AS text_id,
         CASE WHEN b = o OR b = t THEN 0 ELSE 1 END AS hunks, CASE WHEN b <> o AND b <> t THEN 'content' END AS conflict FROM ({_HEADED}) h""")),
-    "merge_trees": (merge_trees, None),
+    "merge_trees": (merge_trees, oracle(f"""WITH s AS (SELECT *, k - 1000 AS doc_id FROM {_three("serial")} WHERE coalesce(b_kind, o_kind, t_kind) = 1),
+        p AS (SELECT s.*, CASE WHEN {_same_sql("o", "t")} OR {_same_sql("b", "o")} THEN 'theirs' WHEN {_same_sql("b", "t")} THEN 'ours' WHEN o_kind = 1 AND t_kind = 1 THEN 'text' WHEN t_kind IS NULL THEN 'modify/delete' ELSE 'delete/modify' END AS pick, b.text AS bx, o.text AS ox, t.text AS tx
+          FROM s LEFT JOIN files_base b USING (doc_id) LEFT JOIN files_ours o USING (doc_id) LEFT JOIN files_theirs t USING (doc_id)),
+        q AS (SELECT *, b_kind IS NOT NULL AND o_kind IS NOT NULL AND t_kind IS NOT NULL AS every, pick = 'theirs' OR pick = 'delete/modify' AS theirs_, pick = 'text' AND ox <> tx AND bx <> ox AND bx <> tx AS clash FROM p),
+        m AS (SELECT *, CASE WHEN clash THEN '<<<<<<< ours' || chr(10) || 'OURS' || chr(10) || '=======' || chr(10) || 'THEIRS' || chr(10) || '>>>>>>> theirs' || chr(10) || bx WHEN pick = 'text' THEN CASE WHEN bx = ox THEN tx ELSE ox END WHEN theirs_ THEN tx ELSE ox END AS text FROM q)
+        SELECT coalesce(o_path, t_path) AS path, sha256(text) AS text_id, CASE WHEN every THEN CASE WHEN t_mode = b_mode THEN o_mode WHEN o_mode = b_mode THEN t_mode ELSE o_mode END WHEN theirs_ THEN t_mode ELSE o_mode END AS mode,
+          CASE WHEN every THEN CASE WHEN t_mtime_s = b_mtime_s THEN o_mtime_s WHEN o_mtime_s = b_mtime_s THEN t_mtime_s ELSE o_mtime_s END WHEN theirs_ THEN t_mtime_s ELSE o_mtime_s END AS mtime_s, 0 AS mtime_ns,
+          CASE WHEN clash THEN 'content' WHEN pick LIKE '%/%' THEN pick END AS conflict,
+          sha256(CASE WHEN clash THEN text WHEN pick = 'modify/delete' THEN '<<<<<<< ours' || chr(10) || text || chr(10) || '=======' || chr(10) || '>>>>>>> theirs (deleted)' WHEN pick = 'delete/modify' THEN '<<<<<<< ours (deleted)' || chr(10) || '=======' || chr(10) || text || chr(10) || '>>>>>>> theirs' END) AS marked_id
+        FROM m WHERE text IS NOT NULL""")),
+    "list_changes": (list_changes, oracle("SELECT coalesce(l.path, r.path) AS path, CASE WHEN l.path IS NULL THEN 'Added' WHEN r.path IS NULL THEN 'Removed' ELSE 'Modified' END AS change, CASE coalesce(r.kind, l.kind) WHEN 1 THEN 'file' ELSE 'dir' END AS type, coalesce(starts_with(c.text, 'THEIRS'), false) AS markers FROM tree_base l FULL OUTER JOIN tree_theirs r ON l.path = r.path LEFT JOIN content_theirs c ON c.content_id = r.content_id WHERE l.path IS NULL OR r.path IS NULL OR l.content_id IS DISTINCT FROM r.content_id OR l.mode <> r.mode OR l.mtime_s <> r.mtime_s OR l.serial <> r.serial")),
 }

@@ -27,9 +27,9 @@ _HEIGHT = "(SELECT coalesce(max(height), 0) FROM layer l WHERE l.conv_id < c.con
 
 
 def _ranked(s, d):
-    c = _commit(s, d).select("id", "depth", "conv_id", F.lit(0).alias("all"))
-    layers = view(s, d, "layer").select((F.col("conv_id") + 1).alias("conv_id"), "height", F.lit(0).alias("all"))
-    return H.as_of(c, layers, "all", "conv_id", "height").select("id", F.coalesce("height", F.lit(0)).alias("height"), "depth")
+    c = _commit(s, d).select("id", "depth", "conv_id")
+    layers = view(s, d, "layer").select((F.col("conv_id") + 1).alias("conv_id"), "height")
+    return H.as_of_all(c, layers, "conv_id", "height", RANGE).select("id", F.coalesce("height", F.lit(0)).alias("height"), "depth")
 
 
 def _pairs(s, d):
@@ -61,9 +61,9 @@ def containment(s, d):
 
 
 def branch_snapshot(s, d):
-    b = view(s, d, "branch").select("branch", "conv_id", F.lit(0).alias("all"))
+    b = view(s, d, "branch").select("branch", "conv_id")
     layers = view(s, d, "layer")
-    base = H.as_of(b, layers.select((F.col("conv_id") + 1).alias("conv_id"), "id", F.lit(0).alias("all")), "all", "conv_id", "id").select("branch", F.col("id").alias("base"))
+    base = H.as_of_all(b, layers.select((F.col("conv_id") + 1).alias("conv_id"), "id"), "conv_id", "id", RANGE).select("branch", F.col("id").alias("base"))
     heads = _heads(s, d).where("conv_id % 4 <> 1").select("branch", F.col("id").alias("head"))
     return base.join(heads, "branch", "left").select("branch", "head", "base", F.coalesce("head", "base").alias("effective"))
 
@@ -115,6 +115,40 @@ def record_bindings(s, d):
     return H.record_bindings(base, ours.unionAll(ours))
 
 
+def first_absorbing(s, d):
+    """The first layer of each conversation or a later one."""
+    b, layers = view(s, d, "branch").select("branch", "conv_id"), view(s, d, "layer").select("conv_id", "height")
+    return H.as_of_all(b, layers, "conv_id", "height", RANGE, forward=True).select("branch", "height")
+
+
+def merge_outcomes(s, d):
+    from arbor.operators import merge
+
+    h = _heads(s, d)
+    two = h.select("conv_id", F.col("branch").alias("a"), F.col("id").alias("l")).join(h.select((F.col("conv_id") + 1).alias("conv_id"), F.col("branch").alias("b"), F.col("id").alias("r")), "conv_id")
+    # a head against itself under another name, an older commit of the same branch, and a branch with itself
+    older = _commit(s, d).where("depth = 0").select("branch", F.col("id").alias("r"))
+    behind = h.select("branch", F.col("branch").alias("a"), F.col("id").alias("l")).join(older, "branch").select("a", F.concat("branch", F.lit("-old")).alias("b"), "l", "r")
+    pairs = two.select("a", "b", "l", "r").unionAll(behind).unionAll(h.select(F.col("branch").alias("a"), F.col("branch").alias("b"), F.col("id").alias("l"), F.col("id").alias("r")))
+    reach = _reach(s, d)
+    return merge.merge_outcomes(pairs, reach, H.merge_bases(pairs.where("a <> b").select("l", "r").distinct(), reach, _ranked(s, d)))
+
+
+def publish_rows(s, d):
+    layers = view(s, d, "layer").withColumn("root", F.col("logical") % 5)
+    top = layers.agg(F.max_by("id", "height")).first()[0]  # what each caller has seen
+    heads = _heads(s, d).select("branch", "id", (F.col("logical") % 5).alias("root"), F.when(F.col("conv_id") % 4 == 0, F.lit("old")).otherwise(F.lit(top)).alias("seen"))
+    return H.publish_rows(heads, _reach(s, d), layers)
+
+
+def commit_rows(s, d):
+    heads = _heads(s, d).select("branch", "conv_id", "id", F.col("logical").alias("root"))
+    tries = heads.select("branch", F.when(F.col("conv_id") % 3 == 0, F.lit("old")).otherwise(F.col("id")).alias("seen"), F.when(F.col("conv_id") % 5 == 0, F.col("root")).otherwise(F.lit(-1)).alias("root"), (F.col("conv_id") % 2 == 0).alias("force"))
+    return H.commit_rows(tries, heads).drop("id")
+
+
+#: Conversations of a range of as-of joins.
+RANGE = 1000
 _LINE = "SELECT t.conv_id, t.n, t.id, string_split(t.text, chr(10)) AS l, b.last FROM turns t JOIN branch b USING (conv_id)"
 QUERIES = {
     "resolve_heads": (lambda s, d: _heads(s, d).select("branch", F.col("id").alias("node")), oracle("SELECT c.branch, c.id AS node FROM commit c JOIN branch b ON b.branch = c.branch AND b.last = c.depth")),
@@ -142,6 +176,18 @@ QUERIES = {
     "record_bindings": (record_bindings, oracle("SELECT parent_path, name, serial AS child FROM tree_ours WHERE path NOT IN (SELECT path FROM tree_base)")),
     "publish_layer": (publish_layer, oracle(_REACH + ", a AS (SELECT r.ancestor AS id, min(l.height) AS layer FROM layer l JOIN reach r ON r.node = l.source_commit GROUP BY r.ancestor) SELECT h.branch, CASE WHEN a.layer IS NULL THEN 'Added' ELSE 'UpToDate' END AS result, a.layer FROM heads h LEFT JOIN a USING (id)")),
     "commit_branch": (commit_branch, oracle("SELECT branch, CASE WHEN conv_id % 5 = 0 THEN 'UpToDate' WHEN conv_id % 3 = 0 THEN 'Moved' ELSE 'Committed' END AS result FROM branch")),
+    "first_absorbing_layer": (first_absorbing, oracle("SELECT branch, (SELECT min(height) FROM layer l WHERE l.conv_id >= b.conv_id) AS height FROM branch b")),
+    "layer_heights": (lambda s, d: H.chain_heights(view(s, d, "layer").select("id", "parent")), oracle("SELECT id, height FROM layer")),
+    "merge_outcomes": (merge_outcomes, oracle(_REACH + f""", common AS (SELECT l.id AS l, r.id AS r, a.ancestor AS id FROM heads l JOIN heads r ON r.conv_id = l.conv_id - 1 JOIN reach a ON a.node = l.id JOIN reach z ON z.node = r.id AND z.ancestor = a.ancestor),
+        most AS (SELECT * FROM common k WHERE NOT EXISTS (SELECT 1 FROM common o JOIN reach x ON x.node = o.id AND x.ancestor = k.id WHERE o.l = k.l AND o.r = k.r AND o.id <> k.id)),
+        bases AS (SELECT l, r, base FROM (SELECT m.l, m.r, m.id AS base, row_number() OVER (PARTITION BY m.l, m.r ORDER BY {_HEIGHT} DESC, c.depth DESC, c.id) AS n FROM most m JOIN commit c ON c.id = m.id) q WHERE n = 1),
+        two AS (SELECT l.branch AS a, r.branch AS b, l.id AS l, r.id AS r, EXISTS (SELECT 1 FROM reach x WHERE x.node = l.id AND x.ancestor = r.id) AS up, EXISTS (SELECT 1 FROM reach x WHERE x.node = r.id AND x.ancestor = l.id) AS down FROM heads l JOIN heads r ON r.conv_id = l.conv_id - 1)
+        SELECT a, b, CASE WHEN up OR down THEN 'FastForward' WHEN base IS NOT NULL THEN 'Merge' ELSE 'Unrelated' END AS result, CASE WHEN up THEN l WHEN down THEN r END AS head, CASE WHEN NOT (up OR down) THEN base END AS base FROM two LEFT JOIN bases USING (l, r)
+        UNION ALL SELECT branch, branch || '-old', 'FastForward', id, NULL FROM heads UNION ALL SELECT branch, branch, 'InvalidInput', NULL, NULL FROM heads""")),
+    "publish_rows": (publish_rows, oracle(_REACH + """, a AS (SELECT r.ancestor AS id, min(l.height) AS layer FROM layer l JOIN reach r ON r.node = l.source_commit GROUP BY r.ancestor), t AS (SELECT id AS top, height AS high, logical % 5 AS top_root FROM layer ORDER BY height DESC LIMIT 1),
+        j AS (SELECT h.branch, h.id, a.layer, t.*, CASE WHEN a.layer IS NOT NULL THEN 'UpToDate' WHEN h.conv_id % 4 = 0 THEN 'Moved' WHEN h.logical % 5 = t.top_root THEN 'NoChanges' ELSE 'Added' END AS result FROM heads h LEFT JOIN a USING (id), t)
+        SELECT branch, result, CASE WHEN result = 'Added' THEN high + 1 ELSE layer END AS layer, CASE WHEN result = 'Added' THEN top END AS parent, CASE WHEN result = 'Added' THEN id END AS source_commit FROM j""")),
+    "commit_rows": (commit_rows, oracle("SELECT c.branch, CASE WHEN b.conv_id % 3 = 0 THEN 'old' ELSE c.id END AS parent, -1 AS root, CASE WHEN b.conv_id % 3 = 0 THEN c.id END AS displaced FROM commit c JOIN branch b ON b.branch = c.branch AND b.last = c.depth WHERE b.conv_id % 5 <> 0 AND (b.conv_id % 3 <> 0 OR b.conv_id % 2 = 0)")),
     "fork_branch": (fork_branch, oracle("SELECT CASE conv_id WHEN 1 THEN 'feat' ELSE 'z' END AS branch, conv_id, commits, branch AS forked_from FROM branch WHERE conv_id IN (1, 3)")),
     "reserve_inodes": (reserve_inodes, 'WITH x AS (SELECT l_suppkey % 10 AS scope, l_orderkey * 10 + l_linenumber AS seq, sum(CAST(l_quantity AS BIGINT)) AS c FROM lineitem GROUP BY ALL) SELECT scope, seq, CAST(1000 + sum(c) OVER w - c AS BIGINT) AS start, CAST(1000 + sum(c) OVER w AS BIGINT) AS "end" FROM x WINDOW w AS (PARTITION BY scope ORDER BY seq ROWS UNBOUNDED PRECEDING)'),
 }

@@ -83,6 +83,12 @@ def _attributed(s, d):
     return scan.with_attributes(tree, own.select("serial", "a.*"))
 
 
+def read_windows(s, d):
+    tree = _tree(s, d)
+    demands = tree.where("kind = 1").select("path", (F.col("serial") % 3 + 1).cast("int").alias("start"), F.when(F.col("serial") % 2 == 0, 4).alias("end"))
+    return scan.read_window(tree, view(s, d, "content_base"), demands, 5)
+
+
 ANCHORED = "en/src?/**/doc-*1.txt"
 QUERIES = {
     "walk_tree": (walk_tree, oracle("SELECT path, kind, serial, len(string_split(path, '/')) - 1 AS depth, CASE len(string_split(path, '/')) WHEN 2 THEN '/' WHEN 3 THEN '/|/en' ELSE '/|/en|' || parent_path END AS parents FROM tree_base WHERE path = '/en' OR starts_with(path, '/en/')")),
@@ -90,6 +96,7 @@ QUERIES = {
     "stat_path": (lambda s, d: scan.stat(_tree(s, d), "/en/src1/doc-1.txt").unionAll(scan.stat(_tree(s, d), "/en")).unionAll(scan.stat(_tree(s, d), "/absent")), oracle("SELECT path, CASE kind WHEN 1 THEN 'file' WHEN 2 THEN 'dir' END AS type, serial AS inode, size, mode FROM tree_base WHERE path IN ('/en/src1/doc-1.txt', '/en', '/absent')")),
     "list_dir": (lambda s, d: scan.list_directory(_tree(s, d), "/en").unionAll(scan.list_directory(_tree(s, d), "/en/src1")), oracle("SELECT name, path, CASE kind WHEN 1 THEN 'file' WHEN 2 THEN 'dir' END AS type, serial AS inode FROM tree_base WHERE parent_path IN ('/en', '/en/src1')")),
     "read_lines": (read_lines, oracle(f"SELECT t.path, l.n, l.line FROM {_LINES} JOIN (SELECT path, content_id FROM tree_base WHERE kind = 1 AND size > 200 ORDER BY serial LIMIT 1) t USING (content_id) WHERE l.n <= 20")),
+    "read_windows": (read_windows, oracle("SELECT path, size, n AS lines, least(n, serial % 3 + 5, CASE WHEN serial % 2 = 0 THEN 4 ELSE n END) AS last, CASE WHEN least(n, serial % 3 + 5, CASE WHEN serial % 2 = 0 THEN 4 ELSE n END) < n THEN least(n, serial % 3 + 5, CASE WHEN serial % 2 = 0 THEN 4 ELSE n END) + 1 END AS next FROM (SELECT t.path, t.serial, t.size, CASE WHEN length(c.text) = 0 THEN 0 ELSE len(string_split(c.text, chr(10))) - CASE WHEN suffix(c.text, chr(10)) THEN 1 ELSE 0 END END AS n FROM tree_base t JOIN content_base c USING (content_id) WHERE t.kind = 1) x")),
     "glob_paths": (lambda s, d: scan.glob(_tree(s, d), "doc-*7.txt").select("path", "serial"), oracle(_glob_sql("doc-*7.txt", "tree_base", "path, serial"))),
     "glob_anchored": (lambda s, d: scan.glob(_tree(s, d), ANCHORED).select("path", "serial"), oracle(_glob_sql(ANCHORED, "tree_base", "path, serial"))),
     "glob_pages": (lambda s, d: scan.glob(_pages(s, d), "*.example.com/**/?[0-9]*").union(scan.glob(_pages(s, d), "/*.com/en/*")).select("path", "serial"), _glob_sql("*.example.com/**/?[0-9]*", _PAGES, "path, serial") + " UNION ALL " + _glob_sql("/*.com/en/*", _PAGES, "path, serial")),

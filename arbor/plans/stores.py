@@ -46,8 +46,8 @@ def digest_reuse(s, d):
 
 
 def _files(s, d):
-    """A file a source: its documents one after another, long enough to be cut."""
-    docs = _read(s, d, "documents").select(F.coalesce("source", F.lit("none")).alias("content_id"), "doc_id", "text")
+    """A file of the documents of 64 ids one after another: long enough to be cut, and bounded."""
+    docs = _read(s, d, "documents").select(F.expr("doc_id div 64").alias("content_id"), "doc_id", "text")
     return docs.groupBy("content_id").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n"), "UTF-8").alias("bytes"))
 
 
@@ -55,6 +55,53 @@ def chunk_manifest(s, d):
     return storage.chunk_manifest(_files(s, d)).groupBy("content_id").agg(F.sum(F.col("length") * F.col("repeat")).alias("bytes"))
 
 
+#: Extents of 512 characters, of the base and of a side whose 601st to 605th are changed.
+_EXTENTS = "(SELECT doc_id AS content_id, k * 512 AS \"offset\", least(512, length(text) - k * 512) AS length, sha256(substr(text, k * 512 + 1, 512)) AS chunk_id FROM ({0}) f, unnest(range(0, (length(text) + 511) // 512)) AS u(k))"
+_OVERLAID = "SELECT doc_id, CASE WHEN length(text) > 700 THEN substr(text, 1, 600) || '#####' || substr(text, 606) ELSE text END AS text FROM files_base"
+
+
+def _extents(files):
+    cut = files.where("length(text) > 0").select("doc_id", "text", F.explode(F.expr("sequence(0, (length(text) - 1) div 512)")).alias("k"))
+    return cut.select(F.col("doc_id").alias("content_id"), (F.col("k") * 512).alias("offset"), F.expr("least(512, length(text) - k * 512)").cast("long").alias("length"), F.sha2(F.expr("substr(text, cast(k as int) * 512 + 1, 512)"), 256).alias("chunk_id"))
+
+
+def extent_changes(s, d):
+    files = view(s, d, "files_base").select("doc_id", "text")
+    changed = files.withColumn("text", F.when(F.length("text") > 700, F.expr("overlay(text placing '#####' from 601)")).otherwise(F.col("text")))
+    return storage.extent_changes(_extents(files), _extents(changed))
+
+
+def localized_edit(s, d):
+    """Bytes of each file after an edit in its second extent, and those of extents that stay."""
+    files = view(s, d, "files_base").select("doc_id", "text")
+    edits = files.where("length(text) > 700").select(F.col("doc_id").alias("content_id"), F.lit(600).alias("at"), F.lit(10).alias("removed"), F.lit("ABC").alias("data"))
+    after = storage.edited_manifest(_extents(files), edits, 512)
+    return after.groupBy("content_id").agg(F.sum("length").alias("bytes"), F.sum(F.when(F.col("reused"), F.col("length")).otherwise(0)).alias("reused"), F.max(F.col("offset") + F.col("length")).alias("stop"))
+
+
+def observed_trace(s, d):
+    seen = observation_decode(s, d).where("scope % 4 <> 0").select("scope", "sections")
+    return trace.observed_calls(_read(s, d, "events").select("event_id", F.col("user_id").alias("scope")), seen)
+
+
+def timing_rebuild(s, d):
+    nodes = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("parent"), (F.col("o_orderkey") % m).cast("long").alias("micros")) for n, p, m in (("call", -1, 97), ("resolve", 0, 31), ("read", 1, 11), ("reply", 0, 7))))
+    flat = trace.flatten_timings(_read(s, d, "orders").select(F.col("o_orderkey").alias("id"), nodes.alias("nodes")))
+    # at most three nodes: the deepest level, of one node, is left out, and the last node's place moves up
+    return trace.rebuild_timings(flat, 3).select("id", F.array_join(F.transform("nodes", lambda x: F.concat_ws(":", x["name"], x["parent"].cast("string"), x["micros"].cast("string"))), " ").alias("tree"), "omitted")
+
+
+def tail_polls(s, d):
+    """Two polls of a file a page: a line that is finished later, and files that were cut."""
+    p = _read(s, d, "pages").select(F.col("page_id").alias("file"), "url")
+    one = p.select("file", F.concat("url", F.lit("\npart")).alias("text"))
+    two = p.select("file", F.when(F.col("file") % 3 == 0, F.lit("n\n")).otherwise(F.concat("url", F.lit("\npart done\nx"))).alias("text"))
+    none = s.createDataFrame([], "file long, offset long, rest string")
+    first, held = live.poll(none, one, True, True)
+    second, _ = live.poll(held, two, False, True)
+    return first.withColumn("poll", F.lit(1)).unionAll(second.withColumn("poll", F.lit(2)))
+
+
 def similarity_candidates(s, d):
     c = view(s, d, "content_base").select("content_id", F.encode("text", "UTF-8").alias("bytes"))
     return storage.similar(c)
@@ -218,7 +265,7 @@ QUERIES = {
     "store_stats": (lambda s, d: storage.store_statistics(view(s, d, "commit"), view(s, d, "layer")), oracle("SELECT l AS logical, c AS canonical, s AS stored, m AS metadata, printf('%.6f', l / c) AS dedupe, printf('%.6f', c / s) AS compression FROM (SELECT sum(logical) + (SELECT sum(logical) FROM layer) AS l, sum(new_canonical) AS c, sum(new_stored) AS s, sum(new_metadata) AS m FROM commit) t")),
     "commit_storage": (lambda s, d: view(s, d, "commit").select("branch", "depth", "logical", "new_canonical", "new_stored", "new_metadata").orderBy("branch", F.desc("depth")), oracle("SELECT branch, depth, logical, new_canonical, new_stored, new_metadata FROM commit")),
     "digest_reuse": (digest_reuse, "SELECT sha256(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, 'root-' || CAST(max(doc_id) AS STRING) AS root, count(*) AS times FROM documents GROUP BY ALL"),
-    "chunk_manifest": (chunk_manifest, "SELECT coalesce(source, 'none') AS content_id, CAST(sum(strlen(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS bytes FROM documents GROUP BY 1"),
+    "chunk_manifest": (chunk_manifest, "SELECT doc_id // 64 AS content_id, CAST(sum(strlen(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS bytes FROM documents GROUP BY 1"),
     "chunk_manifest_rows": (lambda s, d: storage.chunk_manifest(_files(s, d)), None),
     "chunk_dedup": (lambda s, d: storage.chunk_dedup(storage.chunk_manifest(_files(s, d))), None),
     "similarity_candidates": (similarity_candidates, None),
@@ -239,6 +286,16 @@ QUERIES = {
     "apply_mv": (_changed(("mv", "/en/src1", "/fr/moved")), oracle(f"SELECT CASE WHEN path = '/en/src1' OR starts_with(path, '/en/src1/') THEN '/fr/moved' || substr(path, 9) ELSE path END AS path, kind, text_id, mode, serial FROM {_TREE}")),
     "apply_cp": (_changed(("cp", "/en/src1", "/en/copied")), oracle(f"SELECT * FROM {_TREE} UNION ALL SELECT '/en/copied' || substr(path, 9), kind, text_id, mode, serial - (SELECT min(serial) FROM tree_base WHERE path = '/en/src1' OR starts_with(path, '/en/src1/')) + {_NEXT} FROM {_TREE} WHERE path = '/en/src1' OR starts_with(path, '/en/src1/')")),
     "apply_chmod": (_changed(("chmod", _FILE, 0o755), ("chmod", "/en", 0o1777)), oracle(f"SELECT path, kind, text_id, CASE path WHEN '{_FILE}' THEN 493 WHEN '/en' THEN 1023 ELSE mode END AS mode, serial FROM {_TREE}")),
+    "apply_symlink": (_changed(("symlink", "/en/link", "src1/doc-1.txt")), oracle(f"SELECT * FROM {_TREE} UNION ALL SELECT '/en/link', 3, sha256('src1/doc-1.txt'), 511, {_NEXT}")),
+    "apply_link_unlink": (_changed(("link", _FILE, "/en/alias.txt"), ("unlink", _FILE)), oracle(f"SELECT CASE WHEN path = '{_FILE}' THEN '/en/alias.txt' ELSE path END AS path, kind, text_id, mode, serial FROM {_TREE}")),
+    "apply_rmdir": (_changed(("mkdir", "/en/a/b"), ("rmdir", "/en/a/b")), oracle(f"SELECT * FROM {_TREE} UNION ALL SELECT '/en/a', 2, NULL, 493, {_NEXT}")),
+    "apply_rename": (_changed(("write", "/en/x.txt", "x"), ("rename", "/en/x.txt", _FILE), ("mkdir", "/fr/empty"), ("rename", "/en/src1", "/fr/empty")), oracle(f"SELECT CASE WHEN path = '/en/src1' OR starts_with(path, '/en/src1/') THEN '/fr/empty' || substr(path, 9) ELSE path END AS path, kind, CASE WHEN path = '{_FILE}' THEN sha256('x') ELSE text_id END AS text_id, mode, CASE WHEN path = '{_FILE}' THEN {_NEXT} ELSE serial END AS serial FROM {_TREE}")),
+    "apply_setattr": (_changed(("write", _FILE, "abcdef"), ("link", _FILE, "/en/alias.txt"), ("setattr", "/en/alias.txt", 0o600, 3)), oracle(f"SELECT path, kind, CASE WHEN path = '{_FILE}' THEN sha256('abc') ELSE text_id END AS text_id, CASE WHEN path = '{_FILE}' THEN 384 ELSE mode END AS mode, serial FROM {_TREE} UNION ALL SELECT '/en/alias.txt', 1, sha256('abc'), 384, serial FROM tree_base WHERE path = '{_FILE}'")),
+    "extent_changes": (extent_changes, oracle(f"WITH l AS {_EXTENTS.format('SELECT doc_id, text FROM files_base')}, r AS {_EXTENTS.format(_OVERLAID)} SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) a UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l) b")),
+    "localized_edit": (localized_edit, oracle(f"WITH l AS {_EXTENTS.format('SELECT doc_id, text FROM files_base')} SELECT content_id, CAST(sum(length) - CASE WHEN sum(length) > 700 THEN 7 ELSE 0 END AS BIGINT) AS bytes, CAST(coalesce(sum(length) FILTER (WHERE n <= 700 OR \"offset\" + length <= 600 OR \"offset\" >= 610), 0) AS BIGINT) AS reused, CAST(sum(length) - CASE WHEN sum(length) > 700 THEN 7 ELSE 0 END AS BIGINT) AS stop FROM (SELECT *, sum(length) OVER (PARTITION BY content_id) AS n FROM l) x GROUP BY content_id")),
+    "observed_trace": (observed_trace, "WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 100 = 5 THEN 99 ELSE event_id % 10 END AS section, CASE WHEN event_id % 4 <> 0 THEN event_id END AS value FROM events), o AS (SELECT user_id, coalesce(array_to_string(list_sort(list_distinct(list(section) FILTER (WHERE value IS NOT NULL))), ','), '') AS sections FROM e WHERE user_id % 4 <> 0 GROUP BY 1) SELECT e.event_id, e.user_id AS scope, o.sections FROM e LEFT JOIN o USING (user_id)"),
+    "timing_rebuild": (timing_rebuild, "SELECT o_orderkey AS id, 'call:-1:' || CAST(o_orderkey % 97 AS VARCHAR) || ' resolve:0:' || CAST(o_orderkey % 31 AS VARCHAR) || ' reply:0:' || CAST(o_orderkey % 7 AS VARCHAR) AS tree, 1 AS omitted FROM orders"),
+    "tail_polls": (tail_polls, "SELECT page_id AS file, 0 AS n, url AS line, 1 AS poll FROM pages UNION ALL SELECT page_id, 0, CASE WHEN page_id % 3 = 0 THEN 'n' ELSE 'part done' END, 2 FROM pages"),
     "valid_modes": (lambda s, d: view(s, d, "tree_theirs").select("path", paths.valid_mode(F.col("kind"), F.col("mode") + F.when(F.col("serial") % 2 == 0, 512).otherwise(0)).alias("valid")), oracle("SELECT path, CASE WHEN kind = 2 THEN true ELSE serial % 2 <> 0 END AS valid FROM tree_theirs")),
     "trace_summary": (trace_summary, "WITH e AS (SELECT *, value < lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS down FROM events) SELECT event_type AS method, count(*) AS calls, min(ts) AS first, max(ts) AS last, max(value) AS most, count(*) FILTER (WHERE down) AS gaps, CASE WHEN count(*) FILTER (WHERE down) = 0 THEN arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) END AS change FROM e GROUP BY 1"),
     "trace_pairs": (lambda s, d: trace.pairs(_phases(s, d)), _PHASES),

@@ -14,6 +14,25 @@ def tail(spark: SparkSession, path: str, project: str | None = None, since: str
     return wanted(spark.readStream.schema(LINE).option("mode", "DROPMALFORMED").json(path), project, since)
 
 
+def poll(held: DataFrame, files: DataFrame, first: bool, since: bool) -> tuple[DataFrame, DataFrame]:
+    """One poll of growing files(file, text) against held(file, offset, rest),
+    the bytes read so far and the partial line that they ended with. Gives the
+    whole lines that are new (file, n, line, in the file's order) and what is held now.
+
+    Without `since`, files that the first poll finds begin at their end; later
+    ones at 0. A file shorter than its offset was cut, and begins at 0 again. A
+    line that has no end yet is held until the rest of it comes."""
+    size = F.octet_length("text").cast("long")
+    j = files.join(held, "file", "left").withColumn("size", size)
+    known = F.col("offset").isNotNull()
+    begin = F.when(known, F.when(F.col("size") < F.col("offset"), 0).otherwise(F.col("offset"))).otherwise(F.col("size") if first and not since else F.lit(0))
+    rest = F.when(known & (F.col("size") >= F.col("offset")), F.coalesce("rest", F.lit(""))).otherwise("")
+    new = F.decode(F.substring(F.encode("text", "UTF-8"), (begin + 1).cast("int"), size.cast("int")), "UTF-8")
+    j = j.select("file", "size", F.split(F.concat(rest, new), "\n", -1).alias("parts"))
+    lines = j.select("file", F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("n", "line"))
+    return lines, j.select("file", F.col("size").alias("offset"), F.element_at("parts", -1).alias("rest"))
+
+
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a Parquet table, a file or a folder, as a stream. Its name
     stands as a pattern, which the source takes for either."""

@@ -38,7 +38,9 @@ CASES = [
     ("revive-deleted-parent", [("rm", "/d2")], [("write", "/d2/new.txt", "new\n")], {"/d2/new.txt": "new\n", "/d2": None, "/d2/c.txt": "absent"}, set()),
     ("directory-becomes-file", [("rm", "/d1"), ("write", "/d1", "file\n")], [("write", "/d1/z.txt", "z\n")], {"/d1": "file\n", "/d1/z.txt": "absent"}, set()),
     ("add-add-same", [("write", "/same.txt", "x\n")], [("write", "/same.txt", "x\n")], {"/same.txt": "x\n"}, set()),
-    ("add-add-different", [("write", "/new.txt", "left\n")], [("write", "/new.txt", "right\n")], {}, {("/new.txt", "add/add")}),
+    ("add-add-different", [("write", "/new.txt", "left\n")], [("write", "/new.txt", "right\n")], {"/new.txt": "<<<<<<< ours\nleft\n=======\nright\n>>>>>>> theirs\n"}, {("/new.txt", "add/add")}),
+    ("nested-creation-and-sort-edges", [("mkdir", "/n1/n2"), ("write", "/n1/n2/deep.txt", "deep\n"), ("write", "/n1.y", "dot\n"), ("write", "/n1-z", "dash\n")], [("write", "/n1x.txt", "x\n"), ("write", "/d1/a.b", "ab\n")], {"/n1": None, "/n1/n2": None, "/n1/n2/deep.txt": "deep\n", "/n1.y": "dot\n", "/n1-z": "dash\n", "/n1x.txt": "x\n", "/d1/a.b": "ab\n"}, set()),
+    ("both-move-elsewhere", [("mv", "/d2/c.txt", "/c-left.txt")], [("mv", "/d2/c.txt", "/c-right.txt")], {"/c-left.txt": "c\n", "/c-right.txt": "absent", "/d2/c.txt": "absent"}, set()),
     ("delete-directory", [("rm", "/d1")], [("rm", "/d1/a.txt")], {"/d1": "absent", "/d1/b.txt": "absent"}, set()),
 ]
 
@@ -79,6 +81,52 @@ def test_refusals_tell_their_code_and_index(spark, change, code):
     assert e.value.args[0] == code and e.value.args[-1] == 1
 
 
+def test_metadata_is_merged_by_field_and_time_as_one(spark):
+    """Each path's (seconds, nanoseconds, mode) on base, ours, theirs and merged; the texts differ on both sides where decided."""
+    rows = {  # text changes, then base, ours, theirs, merged
+        "/one": ((0, 1), (100, 5, 0o644), (100, 5, 0o644), (50, 9, 0o644), (50, 9, 0o644)),
+        "/two": ((1, 1), (100, 5, 0o644), (200, 7, 0o600), (300, 1, 0o644), (200, 7, 0o600)),
+        "/three": ((1, 0), (100, 5, 0o644), (200, 7, 0o600), (300, 1, 0o640), (200, 7, 0o600)),
+        "/four": ((0, 0), (100, 5, 0o644), (100, 5, 0o600), (100, 6, 0o644), (100, 6, 0o600)),
+    }
+    schema = "path string, serial long, kind int, content_id string, mode int, mtime_s long, mtime_ns int"
+    side = lambda k: spark.createDataFrame([(p, i, 1, f"{p}{k if k and r[0][k - 1] else 0}", r[1 + k][2], r[1 + k][0], r[1 + k][1]) for i, (p, r) in enumerate(rows.items())], schema)
+    texts = spark.createDataFrame([(f"{p}{k}", "\n".join("abcdefgh"[: 7 - k] + str(k) * k)) for p in rows for k in range(3)], "content_id string, text string")
+    tree, conflicts = merge.merged_tree(side(0), side(1), side(2), texts)
+    assert {r["path"]: (r["mtime_s"], r["mtime_ns"], r["mode"]) for r in tree.collect()} == {p: r[4] for p, r in rows.items()}
+    assert ("/three", "mode") in {(r["path"], r["conflict"]) for r in conflicts.collect()}
+    assert not [r for r in conflicts.collect() if r["conflict"] == "mode" and r["path"] != "/three"]
+
+
+@pytest.mark.parametrize(
+    ("change", "code"),
+    [
+        (("symlink", "/top.txt", "x"), "AlreadyExists"),
+        (("link", "/d1", "/d3"), "IsDirectory"),
+        (("unlink", "/d1"), "IsDirectory"),
+        (("rmdir", "/d1"), "NotEmpty"),
+        (("rmdir", "/top.txt"), "NotDirectory"),
+        (("rename", "/d1", "/d1/x"), "InvalidInput"),
+        (("rename", "/d1", "/d2"), "NotEmpty"),
+        (("rename", "/d1", "/top.txt"), "NotDirectory"),
+        (("rename", "/top.txt", "/d1"), "IsDirectory"),
+        (("rename", "/top.txt", "/d1/a.txt", False), "AlreadyExists"),
+        (("setattr", "/d1", None, 3), "IsDirectory"),
+    ],
+)
+def test_workspace_refusals(spark, change, code):
+    with pytest.raises(writes.Refused) as e:
+        writes.apply(seed(spark), [change])
+    assert e.value.args[0] == code
+
+
+def test_results_of_changes(spark):
+    assert writes.apply_result(seed(spark), [("write", "/top.txt", TOP)], "b")[0] == "UpToDate"
+    assert writes.apply_result(seed(spark), [("write", "/top.txt", "x")], "b")[0] == "Committed"
+    with pytest.raises(writes.Refused):
+        writes.apply_result(seed(spark), [], "main")
+
+
 def test_difference_of_a_tree_with_itself_is_empty(spark):
     t = as_tree(seed(spark), 1).withColumn("parent_path", F.lit("")).withColumn("name", F.lit("")).withColumn("size", F.lit(1))
     assert diff.diff_trees(t, t).count() == 0
