@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, few, same, table, tidied, utf8
+from arbor.llm.common import chunks, few, fresh, same, table, tidied, utf8
 from arbor.llm.textnum import LOWER, U, mix
 from arbor.session import ship
 
@@ -170,15 +170,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(dense([r[2:] for r in whole]), [r[1] for r in whole], cut=[r for r in got if r[0]])
 
 
-IDENTIFIED = "lang_pred string, score double, rejected boolean"
 
-
-def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """lang_pred, score (cosine to the nearest centroid) and rejected beside the
     columns keep of docs(text, ...). A text that is null or has no letter is
     `und`, scores 0 and is rejected, as is one too far from all centroids of its
     language: farther than almost all learned documents, or their starts of as many letters. Without any labelled document everything is `und`. Repeated rows
-    give a row each; an empty table gives none."""
+    give a row each; an empty table gives none. names are those of the new columns."""
+    told = names
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -187,8 +186,8 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            data, offsets = utf8(b.column("_text"))
-            held = [b.column(c) for c in keep]
+            data, offsets = utf8(b.column(0))
+            held = b.columns[1:]
             for i, j in chunks(offsets, 1 << 19):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 low = LOWER[part]
@@ -206,10 +205,10 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     names += [m.names[x] if y else "und" for x, y in zip(lang.tolist(), ok.tolist())]
                     scores += np.where(ok, score, 0.0).tolist()
                     rejected += (~ok | (score < m.limit(lang, size[s:e]))).tolist()
-                yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, *told])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [IDENTIFIED])
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidied(run), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [f"`{n}` {k}" for n, k in zip(told, ("string", "double", "boolean"))])
+    return docs.select(F.col("text").alias(*fresh(docs, "_text")), *keep).mapInArrow(tidied(run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,20 +131,23 @@ ITEM = "struct<pos:int,kind:string,text:string,ref:string,caption:string>"
 _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
 
-def sequences(pages: DataFrame, key: str, column: str, *keep: str) -> DataFrame:
-    """key, the columns keep and items of each row. A null or empty page has no
-    items; repeated rows and null keys give a row each; other columns are ignored."""
+def sequences(pages: DataFrame, key: str, column: str, first=None, made: dict[str, str] | None = None) -> DataFrame:
+    """key and items of each row. A null or empty page has no items; repeated
+    rows and null keys give a row each; other columns are ignored. first, if
+    given, makes the pages of batches of (key, _html) in the same task, with the
+    columns made, name -> type, beside them."""
     ship(pages.sparkSession)
+    columns = [key, *(made or {})]
 
     def run(batches):
-        for b in batches:
+        for b in batches if first is None else first(batches):
             for i, j in chunks(utf8(b.column("_html"))[1], 1 << 20):
                 items = [parse(t) for t in b.column("_html").slice(i, j - i).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (key, *keep)), pa.array(items, pa.list_(_ITEM))], names=[key, *keep, "items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in columns), pa.array(items, pa.list_(_ITEM))], names=[*columns, "items"])
 
-    rows = pages.select(key, *keep, F.col(column).cast("string").alias("_html"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep))
-    return rows.mapInArrow(tidied(run), f"{kinds}, items array<{ITEM}>")
+    rows = pages.select(key, F.col(column).cast("string").alias("_html"))
+    kinds = {key: rows.schema[0].dataType.simpleString()} | (made or {})
+    return rows.mapInArrow(tidied(run), ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", items array<{ITEM}>")
 
 
 def references(found: DataFrame, key: str, *keep: str) -> DataFrame:
@@ -217,20 +220,15 @@ def page(text: str, digest: str) -> str:
     return "<html><head><title>page</title></head><body>" + "\n".join(body) + "</body></html>"
 
 
-def pages_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest of the payload and html of each row of docs(doc_id, text)."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            for i, j in chunks(utf8(b.column("text"))[1], 1 << 20):
-                texts = [t or "" for t in b.column("text").slice(i, j - i).to_pylist()]
-                raw = [t.encode() for t in texts]
-                digests = [hashlib.sha256(padded(r)).hexdigest() for r in raw]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(r) for r in raw], pa.int64()), pa.array(digests, pa.string()), pa.array(map(page, texts, digests), pa.string())], names=["doc_id", "n_bytes", "digest", "html"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(run), "doc_id long, n_bytes long, digest string, html string")
+def page_batches(batches):
+    """From batches of (doc_id, _html), _html being a text, to doc_id, n_bytes and
+    _html, the text's page with the image of its payload."""
+    for b in batches:
+        for i, j in chunks(utf8(b.column("_html"))[1], 1 << 20):
+            texts = [t or "" for t in b.column("_html").slice(i, j - i).to_pylist()]
+            raw = [t.encode() for t in texts]
+            digests = [hashlib.sha256(padded(r)).hexdigest() for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([len(r) for r in raw], pa.int64()), pa.array(map(page, texts, digests), pa.string())], names=["doc_id", "n_bytes", "_html"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -286,7 +284,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     Repeated rows and null ids give a row each; equal texts share a payload and
     have equal values; other columns are ignored; an empty table gives none."""
-    refs = references(sequences(pages_of(docs), "doc_id", "html", "n_bytes"), "doc_id", "n_bytes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    refs = references(sequences(rows, "doc_id", "text", page_batches, {"n_bytes": "long"}), "doc_id", "n_bytes")
     store = store_texts(docs)
     often = written(store.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("digest"), "often")
     found = resolve(refs, features(store), often)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, same, table, tidied, utf8
+from arbor.llm.common import chunks, fresh, same, table, tidied, utf8
 from arbor.llm.langid import remainder
 from arbor.llm.textnum import _BYTE, LOWER, U, exact_codes, span_hashes, word_spans
 from arbor.session import ship
@@ -173,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """score, from 0 to 1, beside the columns keep of docs(text, ...). A null or
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """A score, from 0 to 1, beside the columns keep of docs(text, ...). A null or
     empty text, or one without words, scores the share of toxic documents among the labelled ones; repeated rows
     give a row each; an empty table gives none. Without labels all score 0.5."""
     spark = docs.sparkSession
@@ -185,14 +185,14 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def run(batches):
         known: dict[bytes, float] = {}
         for b in batches:
-            data, offsets = utf8(b.column("_text"))
-            held = [b.column(c) for c in keep]
+            data, offsets = utf8(b.column(0))
+            held = b.columns[1:]
             for i, j in chunks(offsets, 1 << 19):
                 value = shared.value.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known)
-                yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(value, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(same(c, i, j) for c in held), pa.array(value, pa.float64())], names=[*keep, name])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["score double"])
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(tidied(run), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [f"`{name}` double"])
+    return docs.select(F.col("text").alias(*fresh(docs, "_text")), *keep).mapInArrow(tidied(run), schema)
 
 
 #: A score from here on is toxic.

@@ -108,14 +108,14 @@ def parse(raw: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "payload": payload}
 
 
-def archived(pages: DataFrame, least: int = 0) -> DataFrame:
+def archived(pages: DataFrame, least: int = 0, then=None, schema: str = "archive string, records long, content binary") -> DataFrame:
     """Archives (archive, records, content) of pages(page_id, url, html). Of pages with equal payloads of at least `least` bytes
     that with the largest page_id is the response, others revisit it.
 
     A null html is an empty payload, a null url is left out. Rows that repeat
     the largest page_id are responses each; a null page_id never is a
     response's unless all its equals have none. Other columns are ignored; an
-    empty table gives no archive."""
+    empty table gives no archive. then makes batches of schema of these, in the same task."""
     ship(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -146,7 +146,7 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.zst"]), pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["archive", "records", "content"])
 
-    return dealt.select("page_id", "url", "html", "refers_to").mapInArrow(tidied(run), "archive string, records long, content binary")
+    return dealt.select("page_id", "url", "html", "refers_to").mapInArrow(tidied(run if then is None else lambda batches: then(run(batches))), schema)
 
 
 def _files(uri: str):
@@ -158,11 +158,10 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
 
 
-def save(archives: DataFrame, folder: str) -> DataFrame:
-    """Write archives(archive, records, content) as files below folder, a URI
-    that all executors reach, and return (file, records, bytes), written. A
-    task that runs again writes files of its own: only those listed count."""
-    ship(archives.sparkSession)
+def save(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
+    """Write the archives of archived() as files below folder, a URI that all
+    executors reach, and return (file, records, bytes), written. A task that
+    runs again writes files of its own: only those listed count."""
 
     def run(batches):
         import uuid
@@ -177,7 +176,7 @@ def save(archives: DataFrame, folder: str) -> DataFrame:
                     f.write(held)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64()), pa.array([held.size], pa.int64())], names=["file", "records", "bytes"])
 
-    return written(archives.select("archive", "records", "content").mapInArrow(tidied(run), "file string, records long, bytes long"), "warc-list")
+    return written(archived(pages, least, run, "file string, records long, bytes long"), "warc-list")
 
 
 READ = [("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"), ("payload", "binary")]
@@ -221,6 +220,6 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = save(archived(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
+    files = save(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     dealt = files.repartition(max(1, files.count()), "file")  # a listing is small, its archives aren't
     return read(dealt, payloads=False).drop("url")

@@ -15,7 +15,7 @@ from tests.llm.conftest import empty, frame
 def test_archives_round_trip(spark):
     rows = [(i, f"http://e.com/{i}\r\nX: y", f"<p>page {i % 7}</p>" * 20) for i in range(60)] + [(60, None, None), (61, "u", ""), (62, "u", "é\r\n\r\nWARC/1.1"), (62, "u", "é\r\n\r\nWARC/1.1"), (None, "u", "alone")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(5)).withColumn("digest", F.lit("x"))
-    files = warc.save(warc.archived(pages), scratch(spark, "files"))
+    files = warc.save(pages, scratch(spark, "files"))
     got = warc.read(files).toPandas()
     assert sum(r["records"] for r in files.collect()) == len(got) and all(r["file"].endswith(".warc.zst") for r in files.collect())
     assert len(got) == len(rows) and files.agg(F.sum("records")).first()[0] == len(rows)

@@ -20,6 +20,15 @@ def test_stages(spark, tmp_path):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    """A table that has the names that stages use themselves."""
+    docs = table(spark, D, "documents").selectExpr("*", "'a' AS score", "'b' AS rejected", "'c' AS _row", "'d' AS _text", "'e' AS lang_pred")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("score", "rejected", "_row", "_text", "lang_pred").distinct().collect()} == {tuple("abcde")}
+        assert stage(spark, docs.where("false"), D).count() == 0
+
+
 def test_near_duplicates_are_judged_by_row(spark):
     """Null, repeated and shared ids: one row of each class stays, and every row that no link connects."""
     words = lambda tag, n=40: [f"{tag}{i}" for i in range(n)]
