@@ -1,7 +1,7 @@
 """The graph of commits, branches and layers.
 
-Ancestry is a closure by doubling: as many rounds as the logarithm of the
-longest path, each one join, written so that a round is not computed twice."""
+Ancestry is told by runs of first parents: what a commit holds of a run is told
+by one depth (frontier). Only the list of all ancestors is a closure."""
 
 from __future__ import annotations
 
@@ -24,31 +24,50 @@ def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reach
 
 
-def ancestors_of(wanted: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and ancestor of wanted(id) alone: a frontier, and what it has not seen."""
-    seen = front = written(wanted.select(F.col("id").alias("node"), F.col("id").alias("ancestor")).distinct(), "seen")
-    while True:
-        step = front.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
-        front = written(step.join(seen, ["node", "ancestor"], "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = written(seen.unionAll(front), "seen")
-
-
 def lineage(commits: DataFrame) -> DataFrame:
     """id, run and depth: a run follows first parents; of several children of a
     commit the one of least id goes on, others begin their own run."""
-    rank = F.row_number().over(Window.partitionBy("parent").orderBy("id"))
-    here = commits.select("id", "parent").withColumn("goes_on", F.col("parent").isNotNull() & (rank == 1))
-    hops = written(here.select("id", F.when(F.col("goes_on"), F.col("parent")).otherwise(F.col("id")).alias("to"), F.col("goes_on").cast("int").alias("n"), "parent", F.when(F.col("parent").isNull(), F.col("id")).otherwise(F.col("parent")).alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")), "hops")
+    heirs = commits.where("parent is not null").groupBy("parent").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("goes_on"))
+    here = commits.select("id", "parent").join(heirs, "id", "left")
+    hops = written(here.select("id", F.when(F.col("goes_on"), F.col("parent")).otherwise(F.col("id")).alias("to"), F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")), "hops")
     while True:
-        a = hops.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        b = hops.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        after = hops.join(a, "to").join(b, "up").select("id", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"), "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        after = written(after, "hops")
-        if after.agg(F.sum(F.col("n") + F.col("depth"))).first()[0] == hops.agg(F.sum(F.col("n") + F.col("depth"))).first()[0]:
-            return after.select("id", F.col("to").alias("run"), "depth")
-        hops = after
+        to = hops.select(F.col("id").alias("to"), F.col("to").alias("to2"))
+        up = hops.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        after = hops.join(to, "to").join(up, "up").select("id", F.col("to2").alias("to"), F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), ((F.col("to") != F.col("to2")) | (F.col("up") != F.col("up2"))).alias("moved"))
+        hops = written(after, "hops")
+        if hops.where("moved").isEmpty():
+            return hops.select("id", F.col("to").alias("run"), "depth")
+        hops = hops.drop("moved")
+
+
+def crossings(chain: DataFrame, edges: DataFrame) -> DataFrame:
+    """run, at, to_run, to_depth: the commit of a run at depth `at` has a parent
+    in another run. Only those that lead further up that run than all before."""
+    child, parent = chain.toDF("child", "run", "at"), chain.toDF("parent", "to_run", "to_depth")
+    met = edges.join(child, "child").join(parent, "parent").where("run <> to_run").groupBy("run", "to_run", "at").agg(F.max("to_depth").alias("to_depth"))
+    w = Window.partitionBy("run", "to_run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    best = met.withColumn("before", F.max("to_depth").over(w)).where("before is null or to_depth > before")
+    return written(best.select("run", "at", "to_run", "to_depth"), "crossings")
+
+
+def frontier(wanted: DataFrame, chain: DataFrame, cross: DataFrame) -> DataFrame:
+    """node, run and depth: of each run that the ancestry of wanted(id) meets,
+    how far down it goes; all commits of a run above are ancestors, too. A row a
+    run instead of one an ancestor; as many rounds as runs lie one behind another."""
+    best = front = written(wanted.select("id").distinct().join(chain, "id").select(F.col("id").alias("node"), "run", "depth"), "best")
+    while True:
+        step = front.join(cross, "run").where("at <= depth").groupBy("node", F.col("to_run").alias("run")).agg(F.max("to_depth").alias("to_depth"))
+        new = step.join(best, ["node", "run"], "left").where("depth is null or to_depth > depth")
+        front = written(new.select("node", "run", F.col("to_depth").alias("depth")), "front")
+        if front.isEmpty():
+            return best
+        best = written(best.unionAll(front).groupBy("node", "run").agg(F.max("depth").alias("depth")), "best")
+
+
+def holds(pairs: DataFrame, found: DataFrame, chain: DataFrame) -> DataFrame:
+    """Those of pairs(l, r) where l's ancestry, of the frontier, holds r."""
+    at = pairs.select("l", "r").distinct().join(chain.toDF("r", "run", "at"), "r")
+    return at.join(found.withColumnRenamed("node", "l"), ["l", "run"]).where("depth >= at").select("l", "r")
 
 
 def first_parents(heads: DataFrame, commits: DataFrame) -> DataFrame:
@@ -59,29 +78,57 @@ def first_parents(heads: DataFrame, commits: DataFrame) -> DataFrame:
     return own.join(chain, "run").where("depth <= top").select("branch", "id", "depth")
 
 
-def merge_bases(pairs: DataFrame, reach: DataFrame, rank: DataFrame) -> DataFrame:
+def merge_bases(pairs: DataFrame, found: DataFrame, chain: DataFrame, cross: DataFrame, rank: DataFrame) -> DataFrame:
     """l, r and their merge base: of the common ancestors that no other one
     descends from, that of the newest layer, the greatest depth, the least id.
-    rank(id, height, depth)."""
-    common = pairs.join(reach.toDF("l", "id"), "l").join(reach.toDF("r", "id"), ["r", "id"]).select("l", "r", "id")
-    below = common.toDF("l", "r", "other").join(reach.toDF("other", "id"), "other").where("other <> id").select("l", "r", "id")
-    best = common.join(below, ["l", "r", "id"], "left_anti").join(rank, "id")
+    found is the frontier of both sides' commits; rank(id, height, depth).
+
+    Of each run only the lowest common commit can be the base, and what descends
+    from it in common does so through a child in another run: a crossing."""
+    left, right = found.toDF("l", "run", "dl"), found.toDF("r", "run", "dr")
+    common = pairs.select("l", "r").distinct().join(left, "l").join(right, ["r", "run"]).select("l", "r", "run", F.least("dl", "dr").alias("depth"))
+    passed = common.join(cross, "run").where("at <= depth").groupBy("l", "r", F.col("to_run").alias("run")).agg(F.max("to_depth").alias("passed"))
+    lowest = common.join(passed, ["l", "r", "run"], "left").where("passed is null or passed < depth")
+    best = lowest.select("l", "r", "run", "depth").join(chain, ["run", "depth"]).select("l", "r", "id").join(rank, "id")
     order = F.row_number().over(Window.partitionBy("l", "r").orderBy(F.desc("height"), F.desc("depth"), "id"))
     return best.withColumn("n", order).where("n = 1").select("l", "r", F.col("id").alias("base"))
 
 
-def absorbed(reach: DataFrame, layers: DataFrame) -> DataFrame:
-    """id and the height of the first layer whose ancestry holds the commit."""
-    return layers.select(F.col("source_commit").alias("node"), "height").join(reach, "node").groupBy(F.col("ancestor").alias("id")).agg(F.min("height").alias("height"))
+def running(left: DataFrame, right: DataFrame, at: str, value: str, step: int, least: bool = False) -> DataFrame:
+    """left with the greatest `value` of right's rows of the same run at or
+    before left's `at`; or the least of those at or after it. By ranges of
+    `step` of the axis, and what the other ranges of a run carry over."""
+    pick, kind = (F.min if least else F.max), right.schema[value].dataType
+    ranged = lambda df: df.withColumn("_range", F.floor(F.col(at) / step))
+    l, r = ranged(left), ranged(right.select("run", at, value))  # noqa: E741
+    both = l.withColumn("_v", F.lit(None).cast(kind)).withColumn("_left", F.lit(True)).unionByName(r.select("run", at, "_range", F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True)
+    order = [F.col(at).desc() if least else F.col(at), "_left"]
+    near = both.withColumn("_near", pick("_v").over(Window.partitionBy("run", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where("_left")
+    edge = both.groupBy("run", "_range").agg(pick("_v").alias("_edge"))
+    far = edge.withColumn("_far", pick("_edge").over(Window.partitionBy("run").orderBy(F.desc("_range") if least else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)))
+    told = near.join(far.select("run", "_range", "_far"), ["run", "_range"])
+    return told.withColumn(value, (F.least if least else F.greatest)("_near", "_far")).drop("_v", "_left", "_near", "_range", "_far")
+
+
+#: Depths of a range in running().
+RANGE = 4096
+
+
+def absorbed(found: DataFrame, chain: DataFrame, layers: DataFrame) -> DataFrame:
+    """id and the height of the first layer whose ancestry holds the commit;
+    found is the frontier of the layers' source commits."""
+    tops = layers.select(F.col("source_commit").alias("node"), "height").join(found, "node").groupBy("run", "depth").agg(F.min("height").alias("height"))
+    return running(chain, tops, "depth", "height", RANGE, least=True).where("height is not null").select("id", "height")
 
 
-def covered(heads: DataFrame, reach: DataFrame, layers: DataFrame) -> DataFrame:
+def covered(heads: DataFrame, found: DataFrame, chain: DataFrame, layers: DataFrame) -> DataFrame:
     """branch, the newest layer published from its head's ancestry (0 if none),
-    and how many layers lie above that: what a publish would pass over."""
+    and how many layers lie above that: what a publish would pass over. found
+    is the frontier of the heads."""
     top = layers.agg(F.coalesce(F.max("height"), F.lit(0)).alias("head"))
-    found = heads.join(reach, F.col("id") == F.col("node")).join(layers.select(F.col("source_commit").alias("ancestor"), "height"), "ancestor")
-    best = found.groupBy("branch").agg(F.max("height").alias("height"))
-    out = heads.select("branch").join(best, "branch", "left").crossJoin(F.broadcast(top))  # one row
+    at = layers.select(F.col("source_commit").alias("id"), "height").join(chain, "id").groupBy("run", "depth").agg(F.max("height").alias("height"))
+    reach = running(found, at, "depth", "height", RANGE).groupBy("node").agg(F.max("height").alias("height"))
+    out = heads.select("branch", F.col("id").alias("node")).join(reach, "node", "left").crossJoin(F.broadcast(top))  # one row
     return out.select("branch", F.coalesce("height", F.lit(0)).alias("covered"), (F.col("head") - F.coalesce("height", F.lit(0))).alias("overwrote"))
 
 
@@ -182,10 +229,10 @@ def fork(branches: DataFrame, name: str, source: str) -> DataFrame:
     return new.where(F.lit(name != "main") & valid_history_name(F.lit(name))).withColumn("forked_from", F.col("branch")).withColumn("branch", F.lit(name))
 
 
-def publish(heads: DataFrame, reach: DataFrame, layers: DataFrame) -> DataFrame:
+def publish(heads: DataFrame, found: DataFrame, chain: DataFrame, layers: DataFrame) -> DataFrame:
     """What publishing each branch's head does: UpToDate if a layer's ancestry
     has it already, else Added at the height that the first such branch gets."""
-    done = absorbed(reach, layers)
+    done = absorbed(found, chain, layers)
     return heads.join(done, "id", "left").select("branch", F.when(F.col("height").isNotNull(), "UpToDate").otherwise("Added").alias("result"), F.col("height").alias("layer"))
 
 
@@ -196,13 +243,13 @@ def commit_checks(attempts: DataFrame, heads: DataFrame) -> DataFrame:
     return j.select("branch", F.when(F.col("root").eqNullSafe(F.col("at")), "UpToDate").when(~F.col("seen").eqNullSafe(F.col("head")), "Moved").otherwise("Committed").alias("result"))
 
 
-def publish_rows(heads: DataFrame, reach: DataFrame, layers: DataFrame) -> DataFrame:
+def publish_rows(heads: DataFrame, found: DataFrame, chain: DataFrame, layers: DataFrame) -> DataFrame:
     """What publishing heads(branch, id, root, seen) does, in the order of
     branches, and the layer rows that it appends. UpToDate if a layer's ancestry
     has the head already; Moved if the newest layer is no more the one seen;
     NoChanges if its root is the newest layer's; else Added, above the newest."""
     top = layers.agg(F.max_by("id", "height").alias("top"), F.max_by("root", "height").alias("top_root"), F.coalesce(F.max("height"), F.lit(0)).alias("high"))
-    j = heads.join(absorbed(reach, layers), "id", "left").crossJoin(F.broadcast(top))  # one row
+    j = heads.join(absorbed(found, chain, layers), "id", "left").crossJoin(F.broadcast(top))  # one row
     result = F.when(F.col("height").isNotNull(), "UpToDate").when(~F.col("seen").eqNullSafe(F.col("top")), "Moved").when(F.col("root").eqNullSafe(F.col("top_root")), "NoChanges").otherwise("Added")
     return j.select("branch", result.alias("result"), F.when(result == "Added", F.col("high") + 1).otherwise(F.col("height")).alias("layer"), F.when(result == "Added", F.col("top")).alias("parent"), F.when(result == "Added", F.col("id")).alias("source_commit"))
 

@@ -253,12 +253,13 @@ def commit_merge(base: DataFrame, head: DataFrame, mine: DataFrame, texts: DataF
     return merged_tree(base, head, mine, texts, rules_of(mine, texts))
 
 
-def merge_outcomes(pairs: DataFrame, reach: DataFrame, bases: DataFrame) -> DataFrame:
+def merge_outcomes(pairs: DataFrame, held: DataFrame, bases: DataFrame) -> DataFrame:
     """What merging each of pairs(a, b, l, r), branches and their heads, comes
     to: InvalidInput for a branch with itself; FastForward to the newer head if
-    one holds the other already; else Merge from base, or Unrelated."""
-    up = reach.select(F.col("node").alias("l"), F.col("ancestor").alias("r"), F.lit(True).alias("held"))
-    down = reach.select(F.col("ancestor").alias("l"), F.col("node").alias("r"), F.lit(True).alias("behind"))
+    one holds the other already; else Merge from base, or Unrelated. held(l, r)
+    are the pairs, either way round, of which l's ancestry holds r."""
+    up = held.select("l", "r", F.lit(True).alias("held"))
+    down = held.select(F.col("r").alias("l"), F.col("l").alias("r"), F.lit(True).alias("behind"))
     j = pairs.join(up, ["l", "r"], "left").join(down, ["l", "r"], "left").join(bases, ["l", "r"], "left")
     result = F.when(F.col("a") == F.col("b"), "InvalidInput").when(F.col("held") | F.col("behind"), "FastForward").when(F.col("base").isNotNull(), "Merge").otherwise("Unrelated")
     head = F.when(F.col("a") == F.col("b"), None).when(F.col("held"), F.col("l")).when(F.col("behind"), F.col("r"))

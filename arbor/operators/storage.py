@@ -105,10 +105,12 @@ def edited_manifest(manifest: DataFrame, edits: DataFrame, cut: int) -> DataFram
     return before.unionAll(behind).unionAll(head).unionAll(tail).unionAll(own)
 
 
-def covering(manifest: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+def covering(manifest: DataFrame, wanted: DataFrame, by: str, step: int = 1 << 20) -> DataFrame:
     """wanted(by, at) with the piece of manifest(by, offset, length, ...) that
-    holds byte `at`: an equi join on `by`, the range within it."""
-    return wanted.join(manifest, by).where("offset <= at and at < offset + length")
+    holds byte `at`: an equi join on `by` and the step of the axis, of which a
+    piece has as many as it lies on; the range within it."""
+    cells = manifest.where("length > 0").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("offset") / step), F.floor((F.col("offset") + F.col("length") - 1) / step))))
+    return wanted.withColumn("_cell", F.floor(F.col("at") / step)).join(cells, [by, "_cell"]).where("offset <= at and at < offset + length").drop("_cell")
 
 
 def similar(content: DataFrame, least: int = 2) -> DataFrame:

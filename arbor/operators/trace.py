@@ -49,11 +49,13 @@ def counter_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return before.select(key, F.col("value").alias("b")).join(after.select(key, F.col("value").alias("a")), key, "full_outer").select(key, (F.col("a") - F.col("b")).alias("change"))
 
 
-def run_values(runs: DataFrame, values: DataFrame) -> DataFrame:
+def run_values(runs: DataFrame, values: DataFrame, step: int = 1024) -> DataFrame:
     """runs(id, json), json a list of [first, last] ordinals, joined to
-    values(id, ordinal, value) within each run: equal id, ordinal in range."""
+    values(id, ordinal, value) within each run: equal id, ordinal in range. A
+    run meets only the values of the steps of the axis that it lies on."""
     run = runs.select("id", F.explode(F.from_json("json", "array<array<long>>")).alias("r")).select("id", F.col("r")[0].alias("first"), F.col("r")[1].alias("last"))
-    return run.join(values, "id").where("ordinal between first and last").select("id", "ordinal", "value")
+    cells = run.where("first <= last").withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor(F.col("last") / step))))
+    return cells.join(values.withColumn("cell", F.floor(F.col("ordinal") / step)), ["id", "cell"]).where("ordinal between first and last").select("id", "ordinal", "value")
 
 
 def observations(rows: DataFrame) -> DataFrame:

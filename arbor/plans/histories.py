@@ -21,6 +21,17 @@ def _reach(s, d):
     return H.closure(_commit(s, d), view(s, d, "edge"))
 
 
+def _index(s, d, ids):
+    """The frontier of ids(id), and the runs and crossings that it is made of."""
+    chain = H.lineage(_commit(s, d))
+    cross = H.crossings(chain, view(s, d, "edge"))
+    return H.frontier(ids, chain, cross), chain, cross
+
+
+def _sources(s, d):
+    return view(s, d, "layer").select(F.col("source_commit").alias("id"))
+
+
 _REACH = "RECURSIVE WITH reach AS (SELECT id AS node, id AS ancestor FROM commit UNION SELECT r.node, e.parent FROM reach r JOIN edge e ON e.child = r.ancestor), heads AS (SELECT c.* FROM commit c JOIN branch b ON b.branch = c.branch AND b.last = c.depth) "
 #: base layer of a commit: the newest published from an earlier conversation
 _HEIGHT = "(SELECT coalesce(max(height), 0) FROM layer l WHERE l.conv_id < c.conv_id)"
@@ -38,13 +49,13 @@ def _pairs(s, d):
 
 
 def merge_base_pairs(s, d):
-    return H.merge_bases(_pairs(s, d), _reach(s, d), _ranked(s, d))
+    return H.merge_bases(_pairs(s, d), *_index(s, d, _heads(s, d)), _ranked(s, d))
 
 
 def is_ancestor_pairs(s, d):
     p = _pairs(s, d)
-    reach = H.ancestors_of(p.select(F.col("l").alias("id")), view(s, d, "edge"))
-    return p.join(reach.select(F.col("node").alias("l"), F.col("ancestor").alias("r"), F.lit(True).alias("yes")), ["l", "r"], "left").select("l", "r", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
+    found, chain, _ = _index(s, d, p.select(F.col("l").alias("id")))
+    return p.join(H.holds(p, found, chain).withColumn("yes", F.lit(True)), ["l", "r"], "left").select("l", "r", F.coalesce("yes", F.lit(False)).alias("is_ancestor"))
 
 
 def overwritten_layers(s, d):
@@ -77,7 +88,18 @@ def list_revisions(s, d):
 
 
 def publish_layer(s, d):
-    return H.publish(_heads(s, d).select("branch", "id"), _reach(s, d), view(s, d, "layer"))
+    found, chain, _ = _index(s, d, _sources(s, d))
+    return H.publish(_heads(s, d).select("branch", "id"), found, chain, view(s, d, "layer"))
+
+
+def absorbed_height(s, d):
+    found, chain, _ = _index(s, d, _sources(s, d))
+    return H.absorbed(found, chain, view(s, d, "layer"))
+
+
+def covered_layers(s, d):
+    found, chain, _ = _index(s, d, _heads(s, d))
+    return H.covered(_heads(s, d), found, chain, view(s, d, "layer"))
 
 
 def commit_branch(s, d):
@@ -130,15 +152,17 @@ def merge_outcomes(s, d):
     older = _commit(s, d).where("depth = 0").select("branch", F.col("id").alias("r"))
     behind = h.select("branch", F.col("branch").alias("a"), F.col("id").alias("l")).join(older, "branch").select("a", F.concat("branch", F.lit("-old")).alias("b"), "l", "r")
     pairs = two.select("a", "b", "l", "r").unionAll(behind).unionAll(h.select(F.col("branch").alias("a"), F.col("branch").alias("b"), F.col("id").alias("l"), F.col("id").alias("r")))
-    reach = _reach(s, d)
-    return merge.merge_outcomes(pairs, reach, H.merge_bases(pairs.where("a <> b").select("l", "r").distinct(), reach, _ranked(s, d)))
+    found, chain, cross = _index(s, d, pairs.select(F.col("l").alias("id")).unionAll(pairs.select("r")))
+    both = pairs.select("l", "r").unionAll(pairs.select("r", "l"))
+    return merge.merge_outcomes(pairs, H.holds(both, found, chain), H.merge_bases(pairs.where("a <> b"), found, chain, cross, _ranked(s, d)))
 
 
 def publish_rows(s, d):
     layers = view(s, d, "layer").withColumn("root", F.col("logical") % 5)
     top = layers.agg(F.max_by("id", "height")).first()[0]  # what each caller has seen
     heads = _heads(s, d).select("branch", "id", (F.col("logical") % 5).alias("root"), F.when(F.col("conv_id") % 4 == 0, F.lit("old")).otherwise(F.lit(top)).alias("seen"))
-    return H.publish_rows(heads, _reach(s, d), layers)
+    found, chain, _ = _index(s, d, _sources(s, d))
+    return H.publish_rows(heads, found, chain, layers)
 
 
 def commit_rows(s, d):
@@ -161,8 +185,8 @@ QUERIES = {
         most AS (SELECT * FROM common k WHERE NOT EXISTS (SELECT 1 FROM common o JOIN reach x ON x.node = o.id AND x.ancestor = k.id WHERE o.l = k.l AND o.r = k.r AND o.id <> k.id))
         SELECT l, r, base FROM (SELECT m.l, m.r, m.id AS base, row_number() OVER (PARTITION BY m.l, m.r ORDER BY {_HEIGHT} DESC, c.depth DESC, c.id) AS n FROM most m JOIN commit c ON c.id = m.id) q WHERE n = 1""")),
     "lineage_depth_run": (lambda s, d: H.lineage(_commit(s, d)), oracle("SELECT c.id, f.id AS run, c.depth FROM commit c JOIN commit f ON f.branch = c.branch AND f.depth = 0")),
-    "absorbed_height": (lambda s, d: H.absorbed(_reach(s, d), view(s, d, "layer")), oracle(_REACH + "SELECT r.ancestor AS id, min(l.height) AS height FROM layer l JOIN reach r ON r.node = l.source_commit GROUP BY r.ancestor")),
-    "covered_layers": (lambda s, d: H.covered(_heads(s, d), _reach(s, d), view(s, d, "layer")), oracle(_REACH + ", k AS (SELECT h.branch, coalesce(max(l.height), 0) AS covered FROM heads h LEFT JOIN (reach r JOIN layer l ON l.source_commit = r.ancestor) ON r.node = h.id GROUP BY h.branch) SELECT branch, covered, (SELECT max(height) FROM layer) - covered AS overwrote FROM k")),
+    "absorbed_height": (absorbed_height, oracle(_REACH + "SELECT r.ancestor AS id, min(l.height) AS height FROM layer l JOIN reach r ON r.node = l.source_commit GROUP BY r.ancestor")),
+    "covered_layers": (covered_layers, oracle(_REACH + ", k AS (SELECT h.branch, coalesce(max(l.height), 0) AS covered FROM heads h LEFT JOIN (reach r JOIN layer l ON l.source_commit = r.ancestor) ON r.node = h.id GROUP BY h.branch) SELECT branch, covered, (SELECT max(height) FROM layer) - covered AS overwrote FROM k")),
     "overwritten_layers": (overwritten_layers, oracle("SELECT id, height, conv_id FROM layer WHERE height < (SELECT max(height) FROM layer) AND height >= (SELECT max(height) FROM layer) - 3")),
     "first_parent_containment": (containment, oracle("SELECT l.id AS low, h.id AS high, h.depth >= 1 AS contains FROM commit l JOIN commit h USING (conv_id) WHERE l.depth = 1")),
     "base_layer_as_of": (_ranked, oracle(f"SELECT c.id, {_HEIGHT} AS height, c.depth FROM commit c")),
