@@ -54,14 +54,14 @@ def frontier(wanted: DataFrame, chain: DataFrame, cross: DataFrame) -> DataFrame
     """node, run and depth: of each run that the ancestry of wanted(id) meets,
     how far down it goes; all commits of a run above are ancestors, too. A row a
     run instead of one an ancestor; as many rounds as runs lie one behind another."""
-    best = front = written(wanted.select("id").distinct().join(chain, "id").select(F.col("id").alias("node"), "run", "depth"), "best")
+    best = written(wanted.select("id").distinct().join(chain, "id").select(F.col("id").alias("node"), "run", "depth", F.lit(True).alias("new")), "best")
     while True:
-        step = front.join(cross, "run").where("at <= depth").groupBy("node", F.col("to_run").alias("run")).agg(F.max("to_depth").alias("to_depth"))
-        new = step.join(best, ["node", "run"], "left").where("depth is null or to_depth > depth")
-        front = written(new.select("node", "run", F.col("to_depth").alias("depth")), "front")
-        if front.isEmpty():
-            return best
-        best = written(best.unionAll(front).groupBy("node", "run").agg(F.max("depth").alias("depth")), "best")
+        front = best.where("new").select("node", "run", "depth").join(cross, "run").where("at <= depth")
+        step = front.select("node", F.col("to_run").alias("run"), F.col("to_depth").alias("depth"), F.lit(None).cast("int").alias("old"))
+        both = best.select("node", "run", "depth", F.col("depth").alias("old")).unionAll(step).groupBy("node", "run").agg(F.max("depth").alias("depth"), F.max("old").alias("old"))
+        best = written(both.select("node", "run", "depth", F.expr("old is null or depth > old").alias("new")), "best")
+        if best.where("new").isEmpty():
+            return best.select("node", "run", "depth")
 
 
 def holds(pairs: DataFrame, found: DataFrame, chain: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbor.operators import history as H
+from arbor.session import written
 from arbor.sources.adapter import oracle, view
 
 
@@ -23,8 +24,10 @@ def _reach(s, d):
 
 def _index(s, d, ids):
     """The frontier of ids(id), and the runs and crossings that it is made of."""
-    chain = H.lineage(_commit(s, d))
-    cross = H.crossings(chain, view(s, d, "edge"))
+    commits = written(_commit(s, d).select("id", "parent", "second_parent"), "commits")
+    edges = commits.select(F.col("id").alias("child"), "parent").unionAll(commits.select("id", "second_parent")).where("parent is not null")
+    chain = H.lineage(commits)
+    cross = H.crossings(chain, edges)
     return H.frontier(ids, chain, cross), chain, cross
 
 
