@@ -19,13 +19,9 @@ EPOCHS = 4
 #: Documents seen in training at least, over more epochs if need be.
 STEPS = 16_000
 RATE = 0.5
-#: A subword seen in n documents of the sample keeps n / (n + SHRINK) of its part.
-SHRINK = 2
-#: A word counts so often in a text at most, and so many empty words are averaged with them:
-#: neither one word repeated nor a text of a few words stands out by itself. These settings were
-#: compared on a quarter of the rows that may be learned from (crc32 mod 4 = 3), never on held-out ones.
+#: A word counts so often in a text's average at most, so that one word repeated doesn't stand out by itself. Compared
+#: on a quarter of the rows that may be learned from (crc32 mod 4 = 3), never on held-out ones.
 MOST = 2
-EMPTY = 50
 #: Words whose parts a task remembers.
 KNOWN_WORDS = 200_000
 #: Toxic documents that the model is fitted on, those of least hash, and three times as many others.
@@ -49,10 +45,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
 
 
 def weights(row: np.ndarray, code: np.ndarray, words: int, rows: int):
-    """(row, word, weight) of the distinct words of each row."""
+    """(row, word, weight) of the distinct words of each row; a row's weights sum to one."""
     pair, times = np.unique(row * max(1, words) + code, return_counts=True)
     row, code, times = pair // max(1, words), pair % max(1, words), np.minimum(times, MOST)
-    return row, code, times / (np.bincount(row, times, rows) + EMPTY)[row]
+    return row, code, times / np.bincount(row, times, rows)[row]
 
 
 def subwords(low: np.ndarray, s: np.ndarray, e: np.ndarray):
@@ -150,7 +146,8 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
             gb += p * p
             b -= step * 0.2 * p / np.sqrt(gb)
     seen = np.bincount(np.concatenate([at for at, _ in bags]), minlength=BUCKETS) if bags else np.zeros(BUCKETS)
-    return Model((e @ (w[:, 1] - w[:, 0]) * seen / (seen + SHRINK)).astype(np.float32), float(b[1] - b[0]))
+    # what was never seen has learned nothing and is as good as zero
+    return Model((e @ (w[:, 1] - w[:, 0]) * (seen > 0)).astype(np.float32), float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
