@@ -110,6 +110,81 @@ SIGNATURES = [
     ("cc", 35, "creativecommons.org", r"https?://creativecommons\.org/(?:licenses|publicdomain)/[a-z-]+"),
 ]
 
+#: label, priority, keyword, pattern: where licenses are published, and licenses and terms without a family.
+ADDRESSES = [
+    ("gpl-1.0", 85, "gnu.org/", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
+    ("gpl-2.0", 85, "gnu.org/", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", 85, "gnu.org/", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl", 60, "gnu.org/", r"gnu\.org/(?:licenses|copyleft)/gpl(?:\.html|\.txt)?(?![\w-])"),
+    ("lgpl-2.0", 85, "gnu.org/", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
+    ("lgpl-2.1", 85, "gnu.org/", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", 85, "gnu.org/", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("lgpl", 60, "gnu.org/", r"gnu\.org/(?:licenses/lgpl|copyleft/lesser)(?:\.html|\.txt)?(?![\w-])"),
+    ("agpl-3.0", 85, "gnu.org/", r"gnu\.org/licenses/agpl(?:-3\.0)?"),
+    ("gfdl-1.3", 85, "gnu.org/", r"gnu\.org/licenses/fdl-1\.3"),
+    ("mit", 85, "opensource.org/", r"opensource\.org/licenses?/mit(?![\w-])"),
+    ("mit-0", 85, "opensource.org/", r"opensource\.org/licenses?/mit-0"),
+    ("isc", 85, "opensource.org/", r"opensource\.org/licenses?/isc"),
+    ("0bsd", 85, "opensource.org/", r"opensource\.org/licenses?/0bsd"),
+    ("bsd-2-clause", 85, "opensource.org/", r"opensource\.org/licenses?/bsd-(?:2-clause|license)"),
+    ("bsd-3-clause", 85, "opensource.org/", r"opensource\.org/licenses?/bsd-3-clause"),
+    ("apache-2.0", 85, "opensource.org/", r"opensource\.org/licenses?/apache-2\.0"),
+    ("mpl-1.1", 85, "mozilla.org/", r"mozilla\.org/mpl/(?:mpl-)?1\.1"),
+    ("mpl-2.0", 85, "opensource.org/", r"opensource\.org/licenses?/mpl-2\.0"),
+    ("epl-1.0", 85, "eclipse.org/", r"eclipse\.org/(?:legal/epl-v10|org/documents/epl-v10)"),
+    ("epl-2.0", 85, "eclipse.org/", r"eclipse\.org/(?:legal/epl-(?:v20|2\.0)|org/documents/epl-2\.0)"),
+    ("cddl-1.0", 85, "opensource.org/", r"opensource\.org/licenses?/cddl-1\.0"),
+    ("artistic-2.0", 85, "opensource.org/", r"opensource\.org/licenses?/artistic-2\.0"),
+    ("zlib", 85, "zlib", r"(?:opensource\.org/licenses?/zlib|zlib\.net/zlib_license)"),
+    ("bsl-1.0", 85, "boost.org/", r"boost\.org/license_1_0"),
+    ("busl-1.1", 85, "mariadb.com/", r"mariadb\.com/bsl11"),
+    ("unlicense", 85, "unlicense.org", r"(?<![\w.])(?:www\.)?unlicense\.org"),
+    ("wtfpl", 85, "wtfpl.net", r"wtfpl\.net"),
+    ("psf-2.0", 85, "python", r"(?:python\.org/psf/license|docs\.python\.org/3/license)"),
+    ("php-3.01", 85, "php.net/", r"php\.net/license/3_01"),
+    ("ofl-1.1", 85, "sil.org/", r"scripts\.sil\.org/ofl"),
+    ("ofl-1.1", 85, "openfontlicense.org", r"openfontlicense\.org"),
+    ("openssl", 85, "openssl.org/", r"openssl\.org/source/license"),
+    ("ms-pl", 85, "opensource.org/", r"opensource\.org/licenses?/ms-pl"),
+    ("ms-rl", 85, "opensource.org/", r"opensource\.org/licenses?/ms-rl"),
+    ("sspl-1.0", 85, "mongodb.com/", r"mongodb\.com/(?:legal/)?licensing/server-side-public-license"),
+    ("elastic-2.0", 85, "elastic.co/", r"elastic\.co/licensing/elastic-license"),
+    ("odbl-1.0", 85, "opendatacommons.org/", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by-1.0", 85, "opendatacommons.org/", r"opendatacommons\.org/licenses/by"),
+    ("pddl-1.0", 85, "opendatacommons.org/", r"opendatacommons\.org/licenses/pddl"),
+    ("cc0-1.0", 86, "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("cc-by-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by/4\.0"),
+    ("cc-by-sa-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by-sa/4\.0"),
+    ("cc-by-nc-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc/4\.0"),
+    ("cc-by-nd-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nd/4\.0"),
+    ("cc-by-nc-sa-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc-sa/4\.0"),
+    ("cc-by-nc-nd-4.0", 86, "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc-nd/4\.0"),
+    ("gpl", 55, "this program is free software", r"this program is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("lgpl", 55, "this library is free software", r"this library is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("perl", 50, "same terms as perl", r"(?:redistribute|distributed|modify) .{0,40}?under the same terms as perl(?: itself)?"),
+    ("beerware", 85, "do whatever you want with this stuff", r"as long as you retain this notice,? you can do whatever you want with this stuff"),
+    ("json", 85, "shall be used for good", r"the software shall be used for good, not evil"),
+    ("ijg", 85, "independent jpeg group", r"based in part on the work of the independent jpeg group"),
+    ("zpl-2.1", 75, "zope public", r"zope public license,? (?:\(zpl\) )?(?:version |v)?2\.1"),
+    ("qpl-1.0", 75, "q public license", r"\bq public license,? (?:version |v)?1\.0"),
+    ("apsl-2.0", 75, "apple public source", r"apple public source license,? (?:version |v)?2(?:\.0)?"),
+    ("cecill-2.1", 75, "cecill", r"\bcecill (?:free software license|v\.? ?2\.1|2\.1)"),
+    ("mulanpsl-2.0", 75, "mulan", r"mulan (?:permissive software license,? |psl ?)v(?:ersion )?2"),
+    ("blueoak-1.0.0", 75, "blue oak", r"blue oak model license(?: 1\.0\.0)?"),
+    ("lppl-1.3c", 75, "latex project public", r"latex project public license,? (?:either )?(?:version |v)?1\.3c?"),
+    ("ipl-1.0", 75, "ibm public license", r"ibm public license,? (?:version |v)?1\.0"),
+    ("npl-1.1", 75, "netscape public", r"netscape public license,? (?:version |v)?1\.1"),
+    ("spl-1.0", 75, "sun public license", r"\bsun public license,? (?:version |v)?1\.0"),
+    ("rpl-1.5", 75, "reciprocal public", r"reciprocal public license,? (?:version |v)?1\.5"),
+    ("polyform-noncommercial-1.0.0", 75, "polyform", r"polyform noncommercial license(?: 1\.0\.0)?"),
+    ("polyform-shield-1.0.0", 75, "polyform", r"polyform shield license(?: 1\.0\.0)?"),
+    ("commons-clause", 75, "commons clause", r"commons clause(?:\W{1,3}license condition| restriction| v1\.0)"),
+    ("non-commercial", 30, "commercial", r"for (?:personal and )?non-?commercial (?:use|purposes) only"),
+    ("dual", 30, "dual", r"\bdual[- ]licen[sc]ed (?:under|as)\b"),
+    ("no-reproduction", 40, "without", r"may not be (?:copied|reproduced|redistributed)[^.]{0,80}? without (?:the )?(?:express |prior |written ){1,3}(?:consent|permission)"),
+    ("as-is", 15, "without warranty", r"provided [\"'\u2018\u201c]{0,2}as[ -]is[\"'\u2019\u201d]{0,2},? without warrant(?:y|ies) of any kind"),
+]
+
 #: Titles and sentences of grants and disclaimers, as the licenses have them, in small letters; " stands for any quote.
 #: A title names the license wherever it stands, a sentence stands in its text or notice.
 TITLES = {
@@ -225,7 +300,7 @@ def phrase(text: str) -> str:
 def rules() -> list[tuple[int, str, tuple[str, ...], str, str]]:
     """(priority, label, keywords of which one is in any match, a keyword that
     is in every match, pattern), highest priority first."""
-    out = [(p, label, (key,), key, pattern) for label, p, key, pattern in SIGNATURES]
+    out = [(p, label, (key,), key, pattern) for label, p, key, pattern in SIGNATURES + ADDRESSES]
     for priority, texts in ((65, TITLES), (86, SENTENCES)):
         out += [(priority, label, (max(t.split('"'), key=len),), next(k for k in _ANY if k in max(t.split('"'), key=len)), phrase(t)) for label, held in texts.items() for t in held]
     for label, spdx, names, keys in FAMILIES:

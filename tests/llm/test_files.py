@@ -160,6 +160,7 @@ def test_plain_mentions():
         "Boost Software License - Version 1.0": "bsl-1.0", "Eclipse Public License - v 2.0": "epl-2.0", "Mozilla Public License Version 2.0": "mpl-2.0", "Mozilla Public License, 1.1": "mpl-1.1",
         "the Business Source License": "busl-1.1", "GNU Lesser General Public License, version 3": "lgpl-3.0", "GNU General Public License v2": "gpl-2.0", "GPLv3": "gpl-3.0", "The Unlicense": "unlicense",
         "the SIL Open Font License.": "ofl-1.1", "see the Artistic License 2.0": "artistic-2.0", "X11 License": "x11",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0", "see <http://www.gnu.org/licenses/gpl-3.0.html>": "gpl-3.0", "https://opensource.org/license/mit-0": "mit-0", "www.gnu.org/copyleft/gpl.html": "gpl",
     }
     for text, label in said.items():
         assert {f[2] for f in licenses.detect(text.lower(), compiled, keywords)} == {label}, text
