@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,37 +20,66 @@ from arbor.session import ship, written
 WINDOW = 2048
 #: Pieces that one task packs.
 SHARD = 50_000
-#: Pre-tokens whose ids a task remembers; they take about 200 bytes each.
+#: Pre-tokens whose ids a worker remembers, and those of one more chunk of texts; they take about 200 bytes each.
 KNOWN_WORDS = 300_000
+#: Pre-tokens that the library is given in one call.
+AT_ONCE = 20_000
 
 
 class WordIds:
-    """Ids of pre-tokens, encoded once each while they are remembered."""
+    """Ids of pre-tokens, encoded once each while they are remembered. When
+    they are too many, those asked for only once since the last time go."""
 
     def __init__(self, tokenizer, most: int = KNOWN_WORDS):
         self.tokenizer, self.most = tokenizer, most
-        self.forget()
+        self._hold({}, np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _hold(self, place: dict[str, int], size: np.ndarray, flat: np.ndarray) -> None:
+        self.place, self.size, self.flat = place, size, flat
+        self.again = np.zeros(len(size), bool)
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ends, self.flat = array("q", [0]), array("I")
+        stay = self.again if np.count_nonzero(self.again) <= self.most // 2 else np.zeros(len(self.again), bool)
+        words = [w for w, s in zip(self.place, stay.tolist()) if s]  # places are in the order of the words
+        self._hold({w: i for i, w in enumerate(words)}, self.size[stay], self.flat[np.repeat(stay, self.size)])
+
+    def _learn(self, words: list[str]) -> None:
+        at = len(self.place)
+        self.place.update(zip(words, range(at, at + len(words))))
+        sizes, ids = [self.size], [self.flat]
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            ids.append(np.array(got.ids, np.uint32))
+        self.size, self.flat = np.concatenate(sizes), np.concatenate(ids)
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First place and number of the ids of each word, and all ids."""
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > self.most:
+        """First place and number of the ids of each word (words are distinct), and all ids."""
+        if len(self.place) > self.most:
             self.forget()
-            new = words
-        if new:
-            at = len(self.place)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.place[w] = at
-                at += 1
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
-        row = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        ends = np.array(self.ends, np.int64)
-        return ends[row], ends[row + 1] - ends[row], np.array(self.flat, np.uint32)
+        row = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        self.again[row[row >= 0]] = True
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        ends = np.cumsum(self.size)
+        return ends[row] - self.size[row], self.size[row], self.flat
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str, stamp: tuple) -> WordIds:
+    """Kept from task to task of a worker; stamp tells a changed file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    t.no_truncation()
+    t.no_padding()
+    return WordIds(t)
 
 
 class OpenWindows:
@@ -113,15 +143,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, special: str, s
     """Documents' ids, ended by end_id, cut into full windows and a rest."""
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        word_ids = WordIds(t)
+        told = os.stat(path)
+        word_ids = _word_ids(path, (told.st_mtime_ns, told.st_size))
         for b in batches:
             _, offsets = utf8(b.column("text"))
-            for i, j in chunks(offsets, 1 << 19):
+            for i, j in chunks(offsets):
                 ids = b.column("doc_id").slice(i, j - i).to_pylist()
                 parts, owner = [], []
                 for k, text in enumerate(b.column("text").slice(i, j - i).to_pylist()):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -81,3 +82,17 @@ def test_best_fit_takes_the_tightest_window():
         else:
             room.append(100 - size)
     assert where.max() + 1 == len(room) and sorted(100 - np.bincount(where, lengths)) == sorted(room)
+
+
+def test_remembered_words_are_forgotten_in_parts():
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    rng, held = random.Random(3), packing.WordIds(t, 50)
+    often = [" the", "é", " \n", "'s", "<|endoftext|>"]
+    for _ in range(40):
+        words = list(dict.fromkeys(often + ["".join(rng.choice("abcé 你\t") for _ in range(rng.randrange(1, 9))) for _ in range(30)]))
+        rng.shuffle(words)
+        first, size, flat = held.of(words)
+        assert [flat[f : f + n].tolist() for f, n in zip(first, size)] == [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+        assert len(held.place) <= 50 + len(words) and set(often) <= held.place.keys()
+    assert all(len(x) == 0 for x in packing.WordIds(t).of([]))
