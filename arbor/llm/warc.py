@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm.common import few, table, tidied, utf8
-from arbor.session import scratch, ship, written
+from arbor.session import qualified, scratch, ship, written
 
 #: The magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -150,18 +150,20 @@ def archived(pages: DataFrame, least: int = 0, then=None, schema: str = "archive
 
 
 def _files(uri: str):
-    """The file system and path of a URI below the shared folder."""
+    """The file system and path of a qualified URI below the shared folder."""
     from pyarrow import fs
 
     scheme, _, rest = uri.partition(":")
-    uri = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
-    return fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
+    if scheme == "file":  # as it stands: Spark's paths are not percent-encoded
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
 
 
 def save(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Write the archives of archived() as files below folder, a URI that all
-    executors reach, and return (file, records, bytes), written. A task that
+    """Write the archives of archived() as files below folder, a path or URI that
+    all executors reach, and return (file, records, bytes), written. A task that
     runs again writes files of its own: only those listed count."""
+    folder = qualified(pages.sparkSession, folder)
 
     def run(batches):
         import uuid

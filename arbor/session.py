@@ -102,6 +102,14 @@ def _delete(sc, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and place that Spark gives it: one without a
+    scheme, such as /shared/x, lies on Spark's default file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def scratch_mark(spark: SparkSession) -> int:
     """The place in the list of scratch paths from which later ones stand."""
     return len(getattr(spark.sparkContext, "_arbor_scratch", ()))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import zlib
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -34,6 +35,14 @@ def test_archives_round_trip(spark):
     assert {r["record_type"] for r in warc.read(warc.archived(pages, 10**6)).collect()} == {"response"}
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_archives_below_a_folder_with_or_without_a_scheme(spark, tmp_path, scheme):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string")
+    files = warc.save(pages, f"{scheme}{tmp_path}/a b%20c/arbor-warc")
+    assert sorted((r["page_id"], r["refers_to"]) for r in warc.read(files).collect()) == [(1, 2), (2, None), (3, None)]
+    assert files.count() == len(list((tmp_path / "a b%20c" / "arbor-warc").iterdir()))
+
+
 def test_records_are_frames_of_their_own_behind_a_dictionary():
     raw = [warc.record(i, "u", b"<html>" + str(i).encode() * 50, None) for i in range(200)]
     content = warc.archive(raw)
