@@ -219,7 +219,12 @@ def set_attributes(tree: DataFrame, path: str, mode: int | None = None, size: in
     return tree
 
 
-OPS = {"write": write, "edit": edit, "mkdir": mkdir, "rm": remove, "mv": move, "cp": copy, "chmod": chmod, "symlink": symlink, "link": link, "unlink": unlink, "rmdir": rmdir, "rename": rename, "setattr": set_attributes}
+def there(tree: DataFrame, path: str, *changes: tuple) -> DataFrame:
+    """Changes that are asked for only where path has an entry; else the tree stays."""
+    return tree if _at(tree, path) is None else apply(tree, list(changes))
+
+
+OPS = {"there": there, "write": write, "edit": edit, "mkdir": mkdir, "rm": remove, "mv": move, "cp": copy, "chmod": chmod, "symlink": symlink, "link": link, "unlink": unlink, "rmdir": rmdir, "rename": rename, "setattr": set_attributes}
 
 
 def apply(tree: DataFrame, changes: list[tuple]) -> DataFrame:
