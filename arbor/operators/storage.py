@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import chunking
-from arbor.session import ship
+from arbor.session import ship, written
 
 
 def locate(ids: DataFrame, locations: DataFrame, packs: DataFrame) -> DataFrame:
@@ -116,19 +116,41 @@ def covering(manifest: DataFrame, wanted: DataFrame, by: str, step: int = 1 << 2
 def similar(content: DataFrame, least: int = 2) -> DataFrame:
     """content_id, the earlier content (by its id) of most shared signature
     hashes, ties to the smaller id, and how many; at least `least`. A proposal
-    only, which the bytes decide. Contents with equal signatures stand for
-    each other, so that copies do not multiply."""
+    only, which the bytes decide. content may repeat an id, with the same bytes.
+
+    No pairs are made. Of each set of hashes that a signature holds, the least
+    content that holds it, too, is told; the largest set whose least content is
+    an earlier one tells both. A hash of one signature alone is in no such set.
+    Contents with equal signatures are one kind, known by its least content;
+    every one of them is told its own earlier content."""
     ship(content.sparkSession)
 
     @F.pandas_udf("array<long>")
     def sign(raw: pd.Series) -> pd.Series:
         return pd.Series([chunking.signature(bytes(x)) for x in raw])
 
-    signed = content.select("content_id", sign("bytes").alias("sig")).where(F.size("sig") > 0)
-    kinds = signed.groupBy("sig").agg(F.min("content_id").alias("content_id"), F.sort_array(F.collect_set("content_id")).alias("copies"))
-    at = kinds.select("content_id", F.explode("sig").alias("h"))
-    pairs = at.join(at.select(F.col("content_id").alias("candidate"), "h"), "h").where("candidate < content_id").groupBy("content_id", "candidate").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= least).groupBy("content_id").agg(F.max(F.struct("shared", F.col("candidate"))).alias("b"), F.max("shared").alias("shared")).join(pairs, ["content_id", "shared"]).groupBy("content_id", "shared").agg(F.min("candidate").alias("candidate"))
+    signed = content.select("content_id", sign("bytes").alias("sig")).groupBy("content_id").agg(F.first("sig").alias("sig"))
+    signed = written(signed.where(F.size("sig") >= least), "signatures")
+    # numbers in the order of the ids stand for them
+    kinds = signed.groupBy("sig").agg(F.min("content_id").alias("content_id"), F.count("*").alias("times")).orderBy("content_id")
+    kinds = written(kinds.withColumn("no", F.monotonically_increasing_id()), "kinds")
+    at = kinds.select("no", F.explode("sig").alias("h"))
+    common = at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a hash has 32 bits
+    held = at.join(common, "h", "left_semi").groupBy("no").agg(F.sort_array(F.collect_list((F.col("h") - F.lit(1 << 31)).cast("int"))).alias("held"))
+    held = written(held.where(F.size("held") >= least), "common")
+    every = F.aggregate("held", F.array(F.array().cast("array<int>")), lambda a, h: F.concat(a, F.transform(a, lambda x: F.concat(x, F.array(h)))))
+    sets = held.select("no", F.explode(F.filter(every, lambda x: F.size(x) >= least)).alias("part"))
+    first = sets.groupBy("part").agg(F.min("no").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = sets.join(first, "part").where("first < no").groupBy("no").agg(F.min(F.struct((-F.size("part")).alias("less"), "first")).alias("best"))
+    named = kinds.select(F.col("no").alias("first"), F.col("content_id").alias("candidate"))
+    found = found.select("no", (-F.col("best.less")).cast("long").alias("shared"), F.col("best.first").alias("first")).join(named, "first").drop("first")
+    told = written(kinds.join(found, "no", "left").select("content_id", "sig", "times", "shared", "candidate"), "similar")
+    # another content of a kind shares all with its least one, if not with one before that
+    again = signed.join(told.where("times > 1").select("sig", F.col("content_id").alias("least"), "shared", "candidate"), "sig").where("content_id <> least")
+    size = F.size("sig").cast("long")
+    again = again.select("content_id", size.alias("shared"), F.when(F.col("shared") == size, F.col("candidate")).otherwise(F.col("least")).alias("candidate"))
+    return told.where("shared is not null").select("content_id", "shared", "candidate").unionByName(again)
 
 
 def qualify(inodes: DataFrame, bindings: DataFrame, root: int) -> DataFrame:
