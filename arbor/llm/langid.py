@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, few, fresh, same, table, tidied, utf8
+from arbor.llm.common import chunks, few, fresh, give_back, same, table, tidied, utf8
 from arbor.llm.textnum import LOWER, U, mix
 from arbor.session import ship
 
@@ -70,6 +70,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
+def weighted(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """unit(x * by), made in place of x: whole samples stand in the driver's memory once."""
+    for i in range(0, len(x), 256):
+        x[i : i + 256] = unit(x[i : i + 256] * by)
+    return x
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from spread-out first centroids."""
     centre = unit(x.mean(0, keepdims=True))
@@ -94,13 +101,13 @@ class Model:
     """Centroids, their languages, the idf weights, and for each language the
     least cosine that is not rejected, by the text's letters.
 
-    cut has the starts of the learned documents: letters, language, and places and values of the profile."""
+    tf is used up. cut has the starts of the learned documents: letters, language, and places and values of the profile."""
 
     def __init__(self, tf: np.ndarray, lang: list[str], k: int = CENTROIDS, cut: list[tuple[int, str, bytes, bytes]] = ()):
         names = sorted(set(lang))
         df = (tf > 0).sum(0)
         self.idf = np.log((1 + len(tf)) / (1 + df)).astype(np.float32) + 1
-        x, y = unit(tf * self.idf), np.array(lang)
+        x, y = weighted(tf, self.idf), np.array(lang)
         parts = [cluster(x[y == n], k) for n in names]
         self.names = names
         self.centroids = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, BUCKETS), np.float32)
@@ -113,7 +120,7 @@ class Model:
         self.short = []
         for n, p in zip(names, parts):
             at = [s for s in STARTS if (n, s) in found]
-            self.short.append((np.log(at), [START_SLACK * np.quantile((unit(dense(found[n, s]) * self.idf) @ p.T).max(1), 0.05) for s in at]))
+            self.short.append((np.log(at), [START_SLACK * np.quantile((weighted(dense(found[n, s]), self.idf) @ p.T).max(1), 0.05) for s in at]))
 
     def limit(self, lang: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The least cosine that is not rejected, for rows of these languages and bytes of letters."""
@@ -167,8 +174,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.select("text", "lang").mapInArrow(tidied(run), "letters int, lang string, at binary, value binary").toArrow()
     got = list(zip(*(got.column(c).to_pylist() for c in ("letters", "lang", "at", "value"))))
     whole = [r for r in got if not r[0]]
-    return Model(dense([r[2:] for r in whole]), [r[1] for r in whole], cut=[r for r in got if r[0]])
-
+    model = Model(dense([r[2:] for r in whole]), [r[1] for r in whole], cut=[r for r in got if r[0]])
+    del got, whole
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:

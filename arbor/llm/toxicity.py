@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import chunks, fresh, same, table, tidied, utf8
+from arbor.llm.common import chunks, fresh, give_back, same, table, tidied, utf8
 from arbor.llm.langid import remainder
 from arbor.llm.textnum import _BYTE, LOWER, U, exact_codes, span_hashes, word_spans
 from arbor.session import ship
@@ -167,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     model = train(got.column("text").to_pylist(), got.column("toxic").to_numpy())
     model.share = float(share)
+    del got
+    give_back()
     return model
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from arbor.llm import langid, toxicity
@@ -68,3 +69,18 @@ def test_what_no_language_resembles_is_rejected(spark):
     held = [r for r in found if r["lang"] and any(c.isalpha() for c in r["text"] or "") and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
     assert len(held) > 200 and sum(r["rejected"] for r in held) <= 0.01 * len(held)
     assert all(r["rejected"] for r in found if r["doc_id"] >= 10**9)
+
+
+def test_fits_leave_little_memory_with_the_driver(spark, monkeypatch):
+    given = []
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "give_back", lambda name=module.__name__: given.append(name))
+    docs = spark.createDataFrame([(i, f"some words {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    langid.fit(docs)
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    assert given == [langid.__name__, toxicity.__name__]
+    rng = np.random.default_rng(1)
+    tf, by = rng.random((700, 64), np.float32), rng.random(64, np.float32)
+    told = langid.unit(tf * by)
+    x = langid.weighted(tf, by)
+    assert x is tf and np.array_equal(x, told)
