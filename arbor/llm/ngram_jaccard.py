@@ -85,6 +85,18 @@ def _whole_sets(k: int):
     return run
 
 
+def _pressed(tokens: np.ndarray) -> bytes:
+    """Ascending tokens by their gaps, the upper and the lower halves of which
+    stand apart: the denser they are, the fewer bytes."""
+    gaps = np.diff(tokens, prepend=U(0))
+    return press(gaps >> U(32)) + press(gaps & U(0xFFFFFFFF))
+
+
+def _unpressed(b: bytes) -> np.ndarray:
+    upper, rest = spread(b)
+    return np.cumsum((upper.astype(U) << U(32)) | spread(rest)[0].astype(U), dtype=U)
+
+
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("marks", pa.binary()), ("codes", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])))])
 
 
@@ -105,7 +117,7 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str, first=l
             found, code, count = np.unique(flat, return_inverse=True, return_counts=True)
             bucket = ((found >> U(32)) * U(buckets)) >> U(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U)).tolist()
-            packs = [{"bucket": x, "tokens": found[s:e].tobytes(), "counts": press(count[s:e])} for x, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+            packs = [{"bucket": x, "tokens": _pressed(found[s:e]), "counts": press(count[s:e])} for x, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, ids, ns, [len(x) // 8 for x in held], b"".join(marks), press(code), packs), _BLOCK)], schema=_BLOCK)
 
         for b in first(batches):
@@ -122,7 +134,7 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str, first=l
             yield out()
 
     def count(key, group):
-        tokens = [np.frombuffer(x, U) for x in group.column("tokens").to_pylist()]
+        tokens = [_unpressed(x) for x in group.column("tokens").to_pylist()]
         times = np.concatenate([spread(x)[0] for x in group.column("counts").to_pylist()])
         _, code = np.unique(np.concatenate(tokens), return_inverse=True)
         df = np.minimum(np.bincount(code, times), 2**32 - 1).astype(np.uint32)[code]
@@ -131,7 +143,7 @@ def _counted(sets: DataFrame, tag: str, buckets: int, back, schema: str, first=l
 
     def join(key, left, right):
         packs = left.column("packs")[0].as_py()
-        tokens = np.concatenate([np.frombuffer(p["tokens"], U) for p in packs])
+        tokens = np.concatenate([_unpressed(p["tokens"]) for p in packs])
         give_back()
         df = np.concatenate([spread(x)[0] for _, x in sorted(zip(right.column("bucket").to_pylist(), right.column("df").to_pylist()))])
         code = spread(left.column("codes")[0].as_py())[0]
@@ -226,20 +238,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "x").join(two, "y").select("x", "y", "xn", "yn", "xt", "xm", "yt", "ym").mapInArrow(tidied(run), "x long, y long")
 
 
-def links(docs: DataFrame, reps: DataFrame, heads: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def living(reps: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """id and times (rows) of the sets of reps(id, doc_id, digest) whose heads
+    leave it open that they have a partner, written."""
+    buckets = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = heads.join(reps.select("id", "doc_id", "digest"), ["doc_id", "digest"]).select("id", "n", "tokens", F.lit(b"").alias("marks"))
+    alive = _counted(first, "heads", buckets, _alive(num, den), "id long")
+    return written(alive.groupBy("id").agg(F.count("*").alias("times")), "alive")
+
+
+def links(docs: DataFrame, reps: DataFrame, alive: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links x, y between the sets of reps(id, doc_id, digest) that connect all
-    that are connected. A set is known by its id, whatever doc_ids hold it."""
+    that are connected, alive being living() of them. A set is known by its id,
+    whatever doc_ids hold it."""
     spark = docs.sparkSession
+    mark = scratch_mark(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = heads.join(reps.select("id", "doc_id", "digest"), ["doc_id", "digest"]).select("id", "n", "tokens", F.lit(b"").alias("marks"))
-    alive = written(_counted(first, "heads", buckets, _alive(num, den), "id long"), "alive")
-    once = alive.groupBy("id").agg(F.count("*").alias("times"))
-    again, alive = not once.where("times > 1").isEmpty(), once.select("id")
-    wanted = written(reps.join(few(alive), "id", "left_semi").select("id", "doc_id", "digest"), "wanted")
+    wanted = written(reps.join(few(alive.select("id")), "id", "left_semi").select("id", "doc_id", "digest"), "wanted")
     full = docs.join(few(wanted), "doc_id").select("id", "digest", "text")
-    if again:  # rows that repeat doc_id and text
+    if not alive.where("times > 1").isEmpty():  # rows that repeat doc_id and text
         full = full.dropDuplicates(["id", "text"])
     sets = written(_counted(full, "sets", buckets, _ordered(num, den), _ORDERED, _whole_sets(k)), "ordered")
+    forget(spark, mark, sets)
     at = sets.select("id", "n", "unique", "level", F.posexplode("prefix").alias("p", "token")).withColumn("p", F.col("p") + F.col("unique"))
 
     # round 1: each set and the least unusual one that holds a token of its prefix
@@ -301,11 +321,14 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     repeat a doc_id have each the component of their own text; other columns are
     ignored; an empty table gives none. Shingles and sets are told apart by 128
     bits, made from BLAKE2 digests of the words."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    mark = scratch_mark(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = written(_sets(docs, k, num, den), "sets")
+    rows = written(heads.drop("tokens"), "rows")  # what is left of them when the heads have been counted
     # exact copies: one set, which goes by its least doc_id
-    reps = heads.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    reps = rows.where("doc_id is not null and n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     reps = written(reps, "reps")
     # a doc_id that is the least of several sets can't be the id of each
     shared, seed, named = reps.groupBy("doc_id").count().where("count > 1"), 0, reps.withColumn("id", F.col("doc_id"))
@@ -315,9 +338,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         if named.groupBy("id").count().where("count > 1").isEmpty():
             break
         seed += 1
-    mark = scratch_mark(docs.sparkSession)
-    joined = components(links(docs, named, heads, k, num, den))
-    forget(docs.sparkSession, mark, joined)
+    alive = living(named, heads, num, den)
+    forget(spark, mark, rows, reps, alive)  # large steps go as soon as their rows are used up, not at the end
+    joined = components(links(docs, named, alive, k, num, den))
+    forget(spark, mark, rows, reps, joined)
     joined = joined.select(F.col("node").alias("id"), F.col("component_id").alias("root"))
     of_set = named.select("digest", "copies", "doc_id", "id").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     if plain:
@@ -326,7 +350,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         of_set = of_set.join(of_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
     # only copies, members of larger components and sets of shared ids need to look theirs up
     told = of_set.where("copies > 1 or component_id <> doc_id").select("digest", "component_id")
-    return heads.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(told, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(told, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

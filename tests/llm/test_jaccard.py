@@ -2,10 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 
+from arbor.llm import ngram_jaccard
 from arbor.llm.ngram_jaccard import components, jaccard_classes
+from arbor.session import shared_dir
 from tests.llm.conftest import empty, frame
 
 
@@ -64,3 +68,32 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100)], "x long, y long")
     found = {r["node"]: r["component_id"] for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 41)}, 100: 90}
+
+
+def test_large_steps_go_before_candidates_meet(spark, monkeypatch):
+    """The heads and the blocks of both rounds are used up by then; what stays is small, but the sets that can have a partner."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        w = [f"w{rng.randint(0, 4000)}" for _ in range(120)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:60], "other", *w[61:]]))]
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before, seen, verified = set(folder.iterdir()), [], ngram_jaccard._verified
+    there = lambda: sorted(p.name.split("-")[1] for p in folder.iterdir() if p not in before)
+
+    def watched(*args):
+        seen.append(there())
+        return verified(*args)
+
+    monkeypatch.setattr(ngram_jaccard, "_verified", watched)
+    classes = jaccard_classes(frame(spark, rows), 3, 90, 100)
+    assert seen == [["alive", "ordered", "reps", "rows"], ["alive", "ordered", "prefixes", "reps", "rows", "star"]]
+    assert there() == ["edges", "reps", "rows"]
+    assert got(classes) == brute(rows, 3, 90, 100)
+
+
+def test_tokens_move_by_their_gaps():
+    tokens = np.unique(np.random.default_rng(7).integers(0, 2**64, 1 << 19, np.uint64))
+    for t in (tokens, tokens[:1], tokens[:0], np.array([0, 1, 2**32 - 1, 2**32, 2**64 - 1], np.uint64)):
+        assert np.array_equal(ngram_jaccard._unpressed(ngram_jaccard._pressed(t)), t)
+    assert len(ngram_jaccard._pressed(tokens)) < 6.2 * len(tokens)
